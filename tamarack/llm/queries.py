@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, tokens
+from . import chat, mixing, pii, quality, tokens
 from .common import keep, table
 from .sql import ORACLES
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = keep(quality.measures(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "op3-measures")
+    return quality.judge(measured, quality.references(measured)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+    )
+
+
 def op4_mix_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = keep(mixing.measured(table(spark, sf_dir, "documents")), "op4-sizes")
     return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
@@ -26,7 +37,7 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_water_filling, op5_token_counts, op10_chat_prefix_targets)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op3_quality_divergence, op4_mix_water_filling, op5_token_counts, op10_chat_prefix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
