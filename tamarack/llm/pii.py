@@ -213,7 +213,11 @@ def fit(cells: list[tuple[int, str, str, int]]) -> dict[str, float]:
                     odds += math.log(says[who, v][1] / total[who, 1]) - math.log(says[who, v][0] / total[who, 0])
             post[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     rows = [(features(kind, votes, cell), post[kind, votes], n) for kind, votes, cell, n in cells]
-    total_n = float(sum(n for _, _, n in rows))
+    held: dict[int, float] = defaultdict(float)
+    for kind, _, _, n in cells:
+        held[kind] += n
+    # each kind weighs alike, so that a rare one is learnt as well
+    rows = [(names, y, n / held[kind] / len(held)) for (names, y, n), (kind, *_) in zip(rows, cells, strict=True)]
     weights: dict[str, float] = defaultdict(float)
     for _ in range(300):
         slope: dict[str, float] = defaultdict(float)
@@ -221,7 +225,7 @@ def fit(cells: list[tuple[int, str, str, int]]) -> dict[str, float]:
             z = sum(weights[f] for f in names)
             miss = y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
             for f in names:
-                slope[f] += miss * n / total_n
+                slope[f] += miss * n
         for f, g in slope.items():
             weights[f] += 2.0 * (g - 1e-4 * weights[f])
     return dict(weights)

@@ -1,7 +1,7 @@
 """Token counts and token ids by a public tokenizer, in Arrow functions.
 
-A text is cut at safe boundaries: right before a space that follows anything but white
-space. A byte-level BPE never joins what such a cut parts, and no added token holds white
+A text is cut at safe boundaries: right before a space or newline that follows anything but
+white space. A byte-level BPE never joins what such a cut parts, and no added token holds white
 space, so the pieces' ids, put together, are the ids of the whole text. Pieces repeat a lot;
 each worker encodes a piece once and remembers it (at most ``MEMO`` pieces), and unseen
 pieces go to the library in calls of at most ``CALL_BYTES`` bytes. Only counts leave the
@@ -13,6 +13,8 @@ one piece, however long; other columns and repeated rows pass through unchanged.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -26,7 +28,9 @@ CALL_BYTES = 1 << 20
 
 #: Tokenizers whose pieces split before a space; for the others the whole text is a piece.
 _SPLITS = {"byte_bpe_50k.json"}
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple, tuple] = {}
+_ODD = re.compile(r"[\s\x1c-\x1f][ \n]")
+_ODD_END = re.compile(r"[\s\x1c-\x1f]\Z")
 
 
 def path(name: str) -> str:
@@ -36,37 +40,21 @@ def path(name: str) -> str:
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before each space that follows a character other than white space."""
-    parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-    if parts is None:
-        parts = [parts_ for parts_ in _cut(text)]
-    if "  " not in text and text[:1] != " " and not _odd().search(text):
-        return parts
+    """``text`` cut before each space or newline that follows anything but white space."""
+    if "\0" in text:
+        return [text]
+    parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    if not _ODD.search(text):
+        return parts if parts[0] else parts[1:]
     out: list[str] = []
     for part in parts:
-        if out and (not out[-1] or out[-1][-1].isspace()):
+        if out and (not out[-1] or _ODD_END.search(out[-1])):
             out[-1] += part
         else:
             out.append(part)
     return out
 
 
-def _cut(text: str) -> Iterator[str]:
-    at = 0
-    while (to := text.find(" ", at + 1)) >= 0:
-        yield text[at:to]
-        at = to
-    yield text[at:]
-
-
-def _odd():
-    if "odd" not in _loaded:
-        import re
-
-        _loaded["odd"] = re.compile(r"[\s\x1c-\x1f] ")
-    return _loaded["odd"]
-
-
 def _calls(items: Iterable[str], most: int) -> Iterator[list[str]]:
     """Lists of ``items`` of about ``most`` bytes each; a longer item goes alone."""
     call, held = [], 0
@@ -83,8 +71,6 @@ def _calls(items: Iterable[str], most: int) -> Iterator[list[str]]:
 def encoder(name: str):
     """``encode(list of str) -> list of id lists`` of the library for the file ``name``."""
     if name.endswith(".json"):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,25 +84,34 @@ def encoder(name: str):
     return lambda xs: model.encode(xs, num_threads=1)
 
 
-def counter(name: str = FILE):
-    """``count(list of str) -> list of int``, remembered for the life of the worker."""
-    if name not in _loaded:
-        _loaded[name] = (encoder(name), {})
-    encode, memo = _loaded[name]
+def remembered(name: str, kind: str, value):
+    """``look(texts) -> per text the list of value(ids) of its pieces``, a piece encoded once.
+
+    The memory lives as long as the worker and holds ``MEMO`` pieces at most.
+    """
+    if (name, kind) not in _loaded:
+        _loaded[name, kind] = (encoder(name), {})
+    encode, memo = _loaded[name, kind]
     cut = pieces if name in _SPLITS else lambda text: [text]
 
-    def count(texts: list[str]) -> list[int]:
+    def look(texts: list[str]) -> list[list]:
         split = [cut(t) if t else [] for t in texts]
         new = set().union(*split).difference(memo)
-        once = {}
+        once: dict = {}
         for call in _calls(new, CALL_BYTES):
             into = memo if len(memo) < MEMO else once
-            into.update(zip(call, map(len, encode(call)), strict=True))
+            into.update(zip(call, map(value, encode(call)), strict=True))
         if not once:
-            return [sum(map(memo.__getitem__, s)) for s in split]
-        return [sum(memo[p] if p in memo else once[p] for p in s) for s in split]
+            return [list(map(memo.__getitem__, s)) for s in split]
+        return [[memo[p] if p in memo else once[p] for p in s] for s in split]
+
+    return look
 
-    return count
+
+def counter(name: str = FILE):
+    """``count(texts) -> list of int``."""
+    look = remembered(name, "count", len)
+    return lambda texts: [sum(x) for x in look(texts)]
 
 
 def n_tokens(text: Column, name: str = FILE) -> Column:
@@ -127,7 +122,7 @@ def n_tokens(text: Column, name: str = FILE) -> Column:
         count = counter(name)
         for batch in batches:
             out: list[int] = []
-            for call in _calls(batch.tolist(), 8 * CALL_BYTES):
+            for call in _calls(batch.tolist(), 4 * CALL_BYTES):
                 out += count(call)
             yield pd.Series(out, index=batch.index, dtype="int64")
 
