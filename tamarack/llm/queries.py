@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, quality, tokens, toxicity
+from . import chat, jaccard_join, mixing, packing, pii, quality, tokens, toxicity
 from .common import keep, table
 from .sql import ORACLES
 
@@ -35,6 +35,10 @@ def op6_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op3_quality_divergence, op4_mix_water_filling, op5_token_counts, op6_toxicity_noisy_channel, op9_pack_hilbert, op10_chat_prefix_targets)}
+    return {f.__name__: f for f in (op1_pii_weak_supervision, op3_quality_divergence, op4_mix_water_filling, op5_token_counts, op6_toxicity_noisy_channel, op8_jaccard_partenum, op9_pack_hilbert, op10_chat_prefix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
