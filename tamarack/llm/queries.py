@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard_join, mixing, packing, pii, quality, tokens, toxicity
+from . import chat, jaccard_join, licences, mixing, packing, pii, quality, search, tokens, toxicity
 from .common import keep, table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_search_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = keep(quality.measures(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "op3-measures")
     return quality.judge(measured, quality.references(measured)).select(
@@ -35,6 +39,10 @@ def op6_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,19 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_weak_supervision, op3_quality_divergence, op4_mix_water_filling, op5_token_counts, op6_toxicity_noisy_channel, op8_jaccard_partenum, op9_pack_hilbert, op10_chat_prefix_targets)}
+    named = (
+        op1_pii_weak_supervision,
+        op2_search_block_max_wand,
+        op3_quality_divergence,
+        op4_mix_water_filling,
+        op5_token_counts,
+        op6_toxicity_noisy_channel,
+        op7_licence_sentences,
+        op8_jaccard_partenum,
+        op9_pack_hilbert,
+        op10_chat_prefix_targets,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

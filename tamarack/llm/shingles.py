@@ -46,12 +46,16 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: For search terms, every ASCII character but letters and digits parts words.
+SEARCH_SPACE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     begins = offsets[:-1][offsets[:-1] < n]
