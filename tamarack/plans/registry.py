@@ -1,11 +1,375 @@
-"""Named queries of the library and the SQL that states the same results."""
+"""Named queries of the library over the fixture tables, and the SQL that states their results.
+
+The fixtures stand in for the library's own inputs: ``documents`` for files and chunks
+(``source`` as the file), ``embeddings`` for their vectors (``vec_id`` taken as the uid),
+``benchmark`` for queries, ``events`` for task events (``user_id`` as the task, ``event_id`` as
+the sequence) and ``conversations`` for message lists.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarack.functions import text
+from tamarack.operators import chunks, dialogue, events, index, protocol, retrieval
+from tamarack.plans import sql
+from tamarack.sources import pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _chunks(spark, d):
+    return retrieval.documents_as_chunks(table(spark, d, "documents"))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("uid"), "embedding")
+
+
+def _asked(spark, d):
+    """Benchmark items as queries; an item's vector is the one of that number."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
+def _files(spark, d):
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, d, "documents").select(name.alias("file"), F.col("text").alias("content"))
+
+
+# --- retrieval ---
+
+
+@query
+def token_stats(spark, d):
+    return retrieval.token_stats(_chunks(spark, d))
+
+
+@query
+def document_frequency(spark, d):
+    return retrieval.document_frequency(_chunks(spark, d))
+
+
+@query
+def corpus_stats(spark, d):
+    return retrieval.corpus_stats(_chunks(spark, d))
+
+
+@query
+def bm25_topk(spark, d):
+    return retrieval.retrieve(_chunks(spark, d), _vectors(spark, d), _asked(spark, d), 10, "bm25").select("query_id", "uid", "score", "bm25_rank")
+
+
+@query
+def vector_topk(spark, d):
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.vector_topk(_vectors(spark, d), asked)
+
+
+@query
+def rrf_hybrid(spark, d):
+    return retrieval.retrieve(_chunks(spark, d), _vectors(spark, d), _asked(spark, d))
+
+
+@query
+def hit_lines(spark, d):
+    return retrieval.formatted(rrf_hybrid(spark, d), _chunks(spark, d))
+
+
+@query
+def retrieval_eval(spark, d):
+    items = _asked(spark, d)
+    relevant = F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")), F.col("query_id").cast("string"))
+    modes = {m: retrieval.retrieve(_chunks(spark, d), _vectors(spark, d), items, 10, m) for m in ("vector", "hybrid")}
+    return retrieval.evaluate(modes, _chunks(spark, d), items.select("query_id", "query", relevant.alias("relevant")))
+
+
+# --- files and chunks ---
+
+
+@query
+def chunk_fixed(spark, d):
+    return chunks.fixed(_files(spark, d))
+
+
+@query
+def line_slice(spark, d):
+    return chunks.line_slice(_files(spark, d), 2, 8).where("line_no > 2")
+
+
+@query
+def regex_search(spark, d):
+    return chunks.regex_search(_files(spark, d), "[Ll]icense")
+
+
+@query
+def snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"), text.clip(F.col("text"), 500).alias("clipped"))
+
+
+@query
+def chunk_python(spark, d):
+    """Every document as a small module: its definitions, or windows where there are none."""
+    body = F.when(
+        F.col("doc_id") % 3 == 0, F.lit("x = 1\n\n@wraps\ndef first(a):\n    return a\n\nclass Second:\n    def inner(self):\n        pass\n")
+    ).when(F.col("doc_id") % 3 == 1, F.lit("def broken(:\n")).otherwise(F.col("text"))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".md").otherwise(".py"))
+    return chunks.chunk(table(spark, d, "documents").select(name.alias("file"), body.alias("content")))
+
+
+@query
+def page_text(spark, d):
+    return pages.page_text(table(spark, d, "pages"))
+
+
+# --- index ---
+
+
+def _snapshots(spark, d):
+    docs = table(spark, d, "documents")
+    file, chars = F.col("doc_id").cast("string").alias("file"), F.col("n_chars").cast("double")
+    disk = docs.where("doc_id % 5 <> 0").select(file, F.when(F.col("doc_id") % 7 == 0, chars + 0.5).otherwise(chars).alias("mtime"))
+    state = docs.where("doc_id % 3 <> 0").select(file, chars.alias("mtime"))
+    rows = lambda df, word: df.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(":1-1")).alias("uid"), file, F.concat(F.lit(word + " "), F.col("lang")).alias("document")
+    )
+    return index.diff(disk, state), rows(docs.where("doc_id % 3 <> 0"), "old"), rows(docs, "new")
+
+
+@query
+def index_diff(spark, d):
+    return _snapshots(spark, d)[0]
+
+
+@query
+def index_upsert(spark, d):
+    changes, old, new = _snapshots(spark, d)
+    fresh = new.join(changes.where("change in ('new', 'changed')").select("file"), "file").select(*old.columns)
+    return index.refresh(old, changes, fresh)
+
+
+@query
+def index_summary(spark, d):
+    return index.summary(index_upsert(spark, d), _snapshots(spark, d)[0])
+
+
+# --- conversations ---
+
+
+@query
+def token_estimate(spark, d):
+    return dialogue.estimate(table(spark, d, "conversations"))
+
+
+@query
+def context_trim(spark, d):
+    return dialogue.trim(table(spark, d, "conversations"), 400)
+
+
+@query
+def history_messages(spark, d):
+    """The n-th user and the n-th assistant message of a conversation make its n-th turn."""
+    c = table(spark, d, "conversations")
+    said = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    per = c.groupBy("conv_id").agg(said("user").alias("u"), said("assistant").alias("a"))
+    zipped = F.zip_with("u", "a", lambda u, a: F.struct(u.alias("user"), a.alias("assistant")))
+    pairs = per.select("conv_id", F.slice(zipped, F.lit(1), F.greatest(F.size("u"), F.lit(0))).alias("turns"))
+    return dialogue.history(pairs)
+
+
+@query
+def last_questions(spark, d):
+    return dialogue.last_questions(table(spark, d, "conversations"), 2)
+
+
+# --- events ---
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("type"))
+
+
+def _lifecycle(spark, d):
+    """The fixture's types read as lifecycle types."""
+    of = F.create_map(*[F.lit(x) for x in ("signup", "created", "view", "started", "purchase", "completed", "error", "failed", "click", "tool_call")])
+    return _events(spark, d).withColumn("type", F.element_at(of, F.col("type")))
+
+
+def _cursors(spark, d):
+    return _events(spark, d).select("task_id").distinct().withColumn("cursor", (F.col("task_id") % 50) * 100)
+
+
+_OUT = ("task_id", "seq", "type")
+
+
+@query
+def events_ring(spark, d):
+    return events.ring(_events(spark, d), 50).select(*_OUT)
+
+
+@query
+def events_since(spark, d):
+    return events.since(_events(spark, d), _cursors(spark, d)).select(*_OUT)
+
+
+@query
+def events_cursors(spark, d):
+    return events.next_cursors(_events(spark, d), _cursors(spark, d))
+
+
+@query
+def events_feed(spark, d):
+    return events.feed(_events(spark, d)).select(*_OUT)
+
+
+@query
+def events_clear(spark, d):
+    gone = _events(spark, d).where("task_id % 3 = 0").select("task_id").distinct()
+    return events.clear(_events(spark, d), gone).select(*_OUT)
+
+
+@query
+def events_evict(spark, d):
+    got = events.evict(_events(spark, d).withColumn("arrival", F.col("seq")).select("arrival", *_OUT), 50, 2000)
+    return got.select(*_OUT)
+
+
+@query
+def status_fold(spark, d):
+    return events.statuses(_lifecycle(spark, d))
+
+
+@query
+def task_metrics(spark, d):
+    return events.metrics(status_fold(spark, d))
+
+
+@query
+def metrics_page(spark, d):
+    return events.exposition(task_metrics(spark, d))
+
+
+@query
+def recent_tasks(spark, d):
+    return events.recent(status_fold(spark, d).withColumn("submit_seq", F.col("task_id"))).select("task_id", "status")
+
+
+@query
+def task_gauges(spark, d):
+    busy = status_fold(spark, d).withColumn("status", F.when(F.col("status") == "failed", "running").otherwise(F.col("status")))
+    return events.gauges(busy)
+
+
+# --- messages and catalogs ---
+
+
+@query
+def rpc_kind(spark, d):
+    body = (
+        F.when(F.col("event_type") == "click", F.lit('{"id": 1, "result": null}'))
+        .when(F.col("event_type") == "error", F.lit('{"id": 1, "error": {"code": 1}}'))
+        .when(F.col("event_type") == "view", F.lit('{"id": "a", "method": "m"}'))
+        .otherwise(F.lit('{"id": null, "method": "m"}'))
+    )
+    return table(spark, d, "events").select("event_id", protocol.rpc_kind(body).alias("kind"))
+
+
+@query
+def denylist_flag(spark, d):
+    tail = F.when(F.col("doc_id") % 9 == 0, " RM  -R -f /").when(F.col("doc_id") % 9 == 1, " git log --Format=x").otherwise("")
+    return table(spark, d, "documents").select("doc_id", protocol.denied(F.concat(F.lit("run "), F.coalesce("text", F.lit("")), tail)).alias("denied"))
+
+
+@query
+def url_scheme(spark, d):
+    return table(spark, d, "pages").select("page_id", protocol.is_web(F.col("url")).alias("is_web"))
+
+
+@query
+def tool_names(spark, d):
+    return table(spark, d, "events").select("event_id", protocol.tool_name(F.col("event_type"), F.col("user_id").cast("string")).alias("name"))
+
+
+@query
+def tool_arguments(spark, d):
+    user = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string"))
+    given = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user"), user, F.lit("workdir"), F.lit("/tmp"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.map_keys(protocol.clean_arguments(given)), ",").alias("kept"))
+
+
+@query
+def content_text(spark, d):
+    kind = F.when(F.col("role") == "user", "text").otherwise("image")
+    per = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", kind.alias("type"), "text"))).alias("c"))
+    said = protocol.content_text(F.transform("c", lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"))))
+    return per.select("conv_id", F.when(F.exists("c", lambda x: x["type"] == "text"), said).alias("text"))
+
+
+@query
+def eval_items_valid(spark, d):
+    items = table(spark, d, "benchmark").withColumn("relevant", F.array(F.when(F.col("item_id") % 4 == 0, " ").otherwise("src1")))
+    return items.where((F.trim("text") != "") & (F.size(F.filter("relevant", lambda x: F.trim(x) != "")) > 0)).select("item_id")
+
+
+@query
+def model_first(spark, d):
+    key = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, "sk-xxx").otherwise(" ")
+    return protocol.first_available(table(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"), key.alias("key")))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "token_stats": sql.TOKEN_STATS,
+        "document_frequency": sql.DOCUMENT_FREQUENCY,
+        "corpus_stats": sql.CORPUS_STATS,
+        "bm25_topk": sql.BM25_TOPK,
+        "vector_topk": sql.VECTOR_TOPK,
+        "rrf_hybrid": sql.RRF_HYBRID,
+        "hit_lines": sql.HIT_LINES,
+        "retrieval_eval": sql.RETRIEVAL_EVAL,
+        "chunk_fixed": sql.CHUNK_FIXED,
+        "line_slice": sql.LINE_SLICE,
+        "regex_search": sql.REGEX_SEARCH,
+        "snippets": sql.SNIPPETS,
+        "index_diff": sql.INDEX_DIFF,
+        "index_upsert": sql.INDEX_UPSERT,
+        "index_summary": sql.INDEX_SUMMARY,
+        "token_estimate": sql.TOKEN_ESTIMATE,
+        "context_trim": sql.CONTEXT_TRIM,
+        "history_messages": sql.HISTORY,
+        "last_questions": sql.LAST_QUESTIONS,
+        "events_ring": sql.EVENTS_RING,
+        "events_since": sql.EVENTS_SINCE,
+        "events_cursors": sql.EVENTS_CURSORS,
+        "events_feed": sql.EVENTS_FEED,
+        "events_clear": sql.EVENTS_CLEAR,
+        "status_fold": sql.STATUS_FOLD,
+        "task_metrics": sql.TASK_METRICS,
+        "metrics_page": sql.METRICS_PAGE,
+        "recent_tasks": sql.RECENT_TASKS,
+        "task_gauges": sql.TASK_GAUGES,
+        "rpc_kind": sql.RPC_KIND,
+        "denylist_flag": sql.DENYLIST,
+        "url_scheme": sql.URL_SCHEME,
+        "tool_names": sql.TOOL_NAMES,
+        "tool_arguments": sql.TOOL_ARGS,
+        "content_text": sql.CONTENT_TEXT,
+        "eval_items_valid": sql.EVAL_VALID,
+        "model_first": sql.MODEL_FIRST,
+    }
