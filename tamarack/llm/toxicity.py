@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import guarded, keep
+
 FOLDS = 5
 TRAIN_ROWS = 20_000
 MAX_WORDS = 64
@@ -211,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     n = rows.count()
     share = min(1.0, 0.97 * TRAIN_ROWS / max(n, 1))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = docs.select("doc_id", "text").join(rows, "doc_id")
+    rows = keep(rows, "toxic-sample")
+    got = docs.select("doc_id", "text").join(guarded(rows, rows.count()), "doc_id")
     token = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
     per = got.select("toxic", F.array_distinct(token).alias("w"))
     counted = per.select("toxic", F.explode("w").alias("w")).groupBy("w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
