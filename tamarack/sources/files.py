@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folders that are passed over, and suffixes that are read.
 SKIP = (".git", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode")
@@ -14,7 +15,7 @@ SEARCHED = (
 INDEXED = (*SEARCHED, ".cpp", ".c", ".h")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def utf8(data):
     """Text of bytes; what isn't UTF-8 is dropped."""
     return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
