@@ -30,7 +30,7 @@ from .common import guarded, keep
 
 FOLDS = 5
 TRAIN_ROWS = 20_000
-MAX_WORDS = 64
+MAX_WORDS = 256
 MIN_SUPPORT = 5
 MIN_LIFT = 8.0
 #: The model's letters (0 is any boundary) and what signs may stand for.
@@ -207,7 +207,7 @@ class Finder:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Words and weights (the bias last) from at most ``TRAIN_ROWS`` labelled rows of the training folds."""
+    """Words and weights (of any word and the bias last) from at most ``TRAIN_ROWS`` labelled rows of the training folds."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != 0)).select("doc_id", "toxic").distinct()
     n = rows.count()
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     base = per.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
     pos, neg = base["pos"] or 0, base["neg"] or 0
     if not pos or not neg:
-        return [], np.array([math.log((pos + 1) / (neg + 1))])
+        return [], np.array([0.0, math.log((pos + 1) / (neg + 1))])
     lift = (F.col("pos") / pos) / ((F.col("neg") + 1) / (neg + 1))
     top = counted.where((F.col("pos") >= max(MIN_SUPPORT, 0.01 * pos)) & (lift >= MIN_LIFT) & (F.length("w") > 2))
     top = top.orderBy((F.col("pos") * F.log(lift)).desc(), "w").limit(MAX_WORDS).collect()
@@ -234,18 +234,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def fit(words: list[str], seen: dict[tuple[int, tuple[str, ...]], int]) -> np.ndarray:
-    """Logistic weights of the words' presence, and the bias last."""
+    """Logistic weights of each word, of having any word at all, and the bias last."""
     place = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(seen), len(words) + 1))
+    x = np.zeros((len(seen), len(words) + 2))
     y, n = np.zeros(len(seen)), np.zeros(len(seen))
     for row, ((label, have), count) in enumerate(sorted(seen.items())):
         for w in have:
             x[row, place[w]] = 1
+        x[row, -2] = bool(have)
         x[row, -1] = 1
         y[row], n[row] = label, count
-    weights = np.zeros(len(words) + 1)
-    ridge = np.full(len(words) + 1, 0.5)
-    ridge[-1] = 1e-3
+    weights = np.zeros(len(words) + 2)
+    ridge = np.full(len(words) + 2, 0.5)
+    ridge[-2:] = 0.05, 1e-3
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (n * (y - p)) - ridge * weights
@@ -254,6 +255,11 @@ def fit(words: list[str], seen: dict[tuple[int, tuple[str, ...]], int]) -> np.nd
     return weights
 
 
+def probability(found: set[int], weights: np.ndarray) -> float:
+    z = weights[-1] + (weights[-2] if found else 0.0) + sum(weights[i] for i in found)
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(z)))))
+
+
 def model(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     words, weights = train(docs, labels)
     counts = char_counts(docs)
@@ -269,7 +275,7 @@ def score_column(words: list[str], weights: np.ndarray, cost: np.ndarray):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         find = Finder(words, cost)
         for batch in batches:
-            out = [1 / (1 + math.exp(-min(30.0, max(-30.0, float(weights[-1] + sum(weights[i] for i in find(t))))))) for t in batch.tolist()]
+            out = [probability(find(t), weights) for t in batch.tolist()]
             yield pd.Series(out, index=batch.index, dtype="float64")
 
     return score
