@@ -1,17 +1,41 @@
 """Connected components of a table of links, by contraction.
 
 Each round maps every component to the least of itself and its neighbours, relabels the
-links, drops those inside a component and repeats until none is left. Links at least halve
-in number of components a round; nothing is gathered in one place.
+links, drops those inside a component and repeats. Links at least halve in number of
+components a round. Once ``FEW`` links or fewer are left (a counted bound), one task joins
+what they still connect.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
+FEW = 20_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``c, m``: every node of at most ``FEW`` links and the least node it is connected with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["c", "m"])
+
 
 def label(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (``a, b``): label is its component's least node.
@@ -19,15 +43,18 @@ def label(links: DataFrame) -> DataFrame:
     Links from a node to itself are ignored; an empty table gives an empty result.
     """
     edges = keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = keep(nodes.withColumn("label", F.col("node")), "cc-nodes")
-    while not edges.isEmpty():
-        to = edges.select(F.col("b").alias("c"), F.col("a").alias("m")).groupBy("c").agg(F.min("m").alias("m"))
-        to = keep(to, "cc-map")  # every component with a lesser neighbour moves to the least one
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+    while n := edges.count():
+        if n <= FEW:
+            to = edges.select("a", "b").coalesce(1).mapInArrow(_joined, "c long, m long")
+        else:
+            to = edges.select(F.col("b").alias("c"), F.col("a").alias("m")).groupBy("c").agg(F.min("m").alias("m"))
+        to = keep(to, "cc-map")  # every component with a lesser one moves there
         labels = labels.join(to, F.col("label") == F.col("c"), "left").select("node", F.coalesce("m", "label").alias("label"))
+        if n <= FEW:
+            break
         left = edges.join(to, F.col("a") == F.col("c"), "left").select(F.coalesce("m", "a").alias("a"), "b")
         left = left.join(to, F.col("b") == F.col("c"), "left").select("a", F.coalesce("m", "b").alias("b"))
         left = left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = keep(left, "cc-links")
-        labels = keep(labels, "cc-labels")
-    return labels
+    return keep(labels, "cc-labels")
