@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +33,9 @@ def shared_root(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-shared-"))
+        own = tempfile.mkdtemp(prefix="tamarack-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -42,7 +47,23 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tamarack-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables of ``keep`` that nothing reads any more, and let go of shuffle files.
+
+    Spark drops a shuffle's files when the driver's JVM collects the last reference to it; a
+    driver with a large heap may not collect for long, so it is asked to.
+    """
+    for df in kept:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def guarded(df: DataFrame, rows: int) -> DataFrame:

@@ -13,9 +13,9 @@ partner might agree there only.
 Signatures are range-sorted together with their sets, so a common one spreads over tasks.
 Neighbours in that order are compared exactly; components of the links found make most other
 pairs of a signature needless. Only pairs of a signature that lie in different components are
-then compared as well; a signature with too many of those is signed anew over the rest of its
-sets first (the same method one level down). No link between different sets is lost, and no
-signature gives all its pairs.
+then compared as well: one by one where they are few, else block of sets against block of
+sets, where a task holds two bounded blocks and gives only their links. No link between
+different sets is lost, and no signature gives all its pairs.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own
 component; equal sets are one node; rows that share a doc_id share what it links with; a row
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import keep
+from .common import discard, keep
 from .shingles import mix, set_ids, sets, slices
 
 WORDS = 4
@@ -41,9 +41,11 @@ PERCENT = 85
 #: Sets up to this size enumerate subsets of second-level parts; larger ones sign whole parts.
 ENUMERATE = 256
 STEP = 1.5
-#: Pairs of a signature that are compared directly; beyond, it is signed anew.
-DIRECT = 1 << 12
-LEVELS = 2
+#: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
+DIRECT = 1 << 8
+BLOCK_SETS = 512
+#: Buckets of a sketch, a byte each.
+SKETCH = 512
 #: Documents fetched by a broadcast of their ids (8 bytes each) at most; beyond, by a join.
 FETCH = 2_000_000
 
@@ -75,13 +77,13 @@ class Bands:
         return 100 * sizes >= self.percent * self.first[band + 1]
 
 
-def signatures(elements: np.ndarray, counts: np.ndarray, bands: Bands, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def signatures(elements: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets, end to end by set, and how many each has."""
     own = bands.of(np.maximum(counts, 1))
     both = bands.next_too(counts, own) & (counts > 0)
-    a, na = _signed(elements, counts, own, bands, salt)
+    a, na = _signed(elements, counts, own, bands)
     chosen = np.repeat(both, counts)
-    b, nb_some = _signed(elements[chosen], counts[both], own[both] + 1, bands, salt)
+    b, nb_some = _signed(elements[chosen], counts[both], own[both] + 1, bands)
     nb = np.zeros(len(counts), np.int64)
     nb[both] = nb_some
     out = np.empty(len(a) + len(b), np.uint64)
@@ -92,24 +94,18 @@ def signatures(elements: np.ndarray, counts: np.ndarray, bands: Bands, salt: int
     return out, na + nb
 
 
-def _signed(elements, counts, band, bands: Bands, salt: int):
+def _signed(elements: np.ndarray, counts: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     parts = np.where(counts > 0, bands.parts[band], 0)
     base = np.cumsum(parts) - parts
     total = int(parts.sum())
     if not total:
         return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
-    h = mix(elements + np.uint64(salt) * np.uint64(0xD6E8FEB86659FD93)) if salt else elements
-    if salt:  # parts must be runs: order each set anew
-        at = np.concatenate(([0], np.cumsum(counts)))
-        h = h.copy()
-        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            h[x:y].sort()
-    part = ((h >> np.uint64(32)) * np.repeat(parts, counts).astype(np.uint64)) >> np.uint64(32)
+    part = ((elements >> np.uint64(32)) * np.repeat(parts, counts).astype(np.uint64)) >> np.uint64(32)
     key = np.repeat(base, counts) + part.astype(np.int64)
     held = np.bincount(key, minlength=total)
     ends = np.cumsum(held)
     begins = ends - held
-    value = mix(h ^ np.uint64(0xA0761D6478BD642F))
+    value = mix(elements ^ np.uint64(0xA0761D6478BD642F))
 
     def ranged(x: np.ndarray) -> np.ndarray:
         run = np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))
@@ -151,8 +147,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every document's set size, set id and signatures."""
+def signed(docs: DataFrame, words: int, percent: int, sign: bool = True) -> DataFrame:
+    """Every document's set size, set id and, if asked for, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -160,7 +156,7 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             ids = batch.column(0)
             for at, data, offsets in slices(batch.column(1)):
                 elements, counts = sets(data, offsets, words)
-                sigs, n = signatures(elements, counts, bands)
+                sigs, n = signatures(elements, counts, bands) if sign else (elements[:0], np.zeros(len(counts), np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(sigs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(counts)), pa.array(counts.astype(np.int64)), pa.array(set_ids(elements, counts)), lists],
@@ -170,8 +166,19 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, SIGNED)
 
 
+def sketches(elements: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Per set: how many of its elements fall into each of ``SKETCH`` buckets (255 at most).
+
+    Two sets differ in at least as many elements as their sketches' buckets differ in all.
+    """
+    row = np.repeat(np.arange(len(counts)), counts)
+    bucket = ((elements * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.int64) % SKETCH
+    held = np.bincount(row * SKETCH + bucket, minlength=len(counts) * SKETCH)
+    return [x.tobytes() for x in np.minimum(held, 255).astype(np.uint8).reshape(len(counts), SKETCH)]
+
+
 def fetched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, n, elements`` of the wanted nodes; ``nodes`` has ``node`` and one ``doc_id`` of it."""
+    """``node, n, elements, sketch`` of the wanted nodes; ``nodes`` has ``node`` and one ``doc_id`` of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +187,15 @@ def fetched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum(counts)
                 raw = [elements[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(set_ids(elements, counts)), pa.array(counts.astype(np.int64)), pa.array(raw, pa.binary())], names=["node", "n", "elements"]
+                    [pa.array(set_ids(elements, counts)), pa.array(counts.astype(np.int64)), pa.array(raw, pa.binary()), pa.array(sketches(elements, counts), pa.binary())],
+                    names=["node", "n", "elements", "sketch"],
                 )
 
     nodes = keep(nodes.select("node", "doc_id").distinct(), "join-wanted")
     n = nodes.count()
     ids = nodes.select("doc_id").distinct()
     some = _texts(docs).join(F.broadcast(ids) if n <= FETCH else ids, "doc_id", "left_semi")
-    found = some.mapInArrow(run, "node long, n long, elements binary")
+    found = some.mapInArrow(run, "node long, n long, elements binary, sketch binary")
     # two texts under one doc_id: keep the wanted sets, each once
     return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -256,19 +264,31 @@ def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a signature that runs on into the next task: two rows a task come here, whatever the input
     ends = [tuple(r) for r in made.where("kind = 2").orderBy("at").select("x", "y").collect()]
     over = [(min(p[1], q[1]), max(p[1], q[1])) for p, q in zip(ends, ends[1:], strict=False) if p[0] == q[0] and p[1] != q[1]]
-    pairs = pairs.union(spark.createDataFrame(over, "a long, b long")).distinct()
-    return keep(pairs, "join-pairs"), made.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node"))
+    pairs = keep(pairs.union(spark.createDataFrame(over, "a long, b long")).distinct(), "join-pairs")
+    members = keep(made.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node")), "join-members")
+    discard(made)
+    return pairs, members
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (distinct ``a, b``) whose sets link, compared element by element."""
     size = nodes.select("node", "n", "doc_id")
     sized = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    sized = keep(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "join-sized")
+    sized = keep(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "join-sized")
     wanted = size.join(sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct(), "node").select("node", "doc_id")
-    got = keep(fetched(docs, wanted, words).select("node", "elements"), "join-sets")
+    got = keep(fetched(docs, wanted, words).select("node", "elements", "sketch"), "join-sets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = batch.columns
+            both = na.to_numpy() + nb.to_numpy()
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                p, q = (np.frombuffer(c[i].as_buffer(), np.uint8).astype(np.int16) for c in (x, y))
+                ok[i] = int(np.abs(p - q).sum()) * (100 + percent) <= (100 - percent) * both[i]
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = batch.columns
             ok = np.zeros(batch.num_rows, bool)
@@ -280,60 +300,117 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
                 ok[i] = 100 * common >= percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
 
-    one = sized.join(got.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = one.join(got.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return keep(both.mapInArrow(run, "a long, b long"), "join-links")
+    def sided(pairs: DataFrame, sets_: DataFrame, value: str) -> DataFrame:
+        one = pairs.join(sets_.select(F.col("node").alias("a"), F.col(value).alias("x")), "a")
+        return one.join(sets_.select(F.col("node").alias("b"), F.col(value).alias("y")), "b").select(*pairs.columns, "x", "y")
+
+    # sketches, a tenth of a set's size, rule out most pairs that don't link
+    close = keep(sided(sized, got, "sketch").mapInArrow(near, "a long, b long"), "join-close")
+    nodes_left = keep(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "join-left")
+    ids = F.broadcast(nodes_left) if nodes_left.count() <= FETCH else nodes_left
+    links = keep(sided(close, got.join(ids, "node", "left_semi"), "elements").mapInArrow(linked, "a long, b long"), "join-links")
+    discard(sized, got, close)
+    return links
 
 
-def crossing(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFrame, words: int, percent: int, level: int = 1) -> DataFrame:
-    """Distinct pairs of sets that share a signature and lie in different components."""
+def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What neighbours don't settle: signatures whose sets lie in different components.
+
+    Gives pairs to compare, for signatures with up to ``DIRECT`` of them, and the rows
+    (``node, label, n, cluster``) of the other signatures, overlapping ones as one cluster.
+    """
     m = members.distinct().join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    m = keep(m, "join-members")
-    per = m.groupBy("sig", "label").count().groupBy("sig").agg(
-        F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("parts")
+    m = keep(m, "join-labelled")
+    per = m.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min("node").alias("first")).groupBy("sig").agg(
+        F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"), F.min("first").alias("first")
     )
-    per = keep(per.where("parts > 1").select("sig", ((F.col("g") * F.col("g") - F.col("within")) / 2).alias("pairs")), "join-open")
-    few = per if level > LEVELS else per.where(F.col("pairs") <= DIRECT)
-    x = m.join(few.select("sig"), "sig").join(nodes.select("node", "n"), "node")
+    per = keep(per.where("parts > 1").select("sig", "first", ((F.col("g") * F.col("g") - F.col("within")) / 2).alias("pairs")), "join-open")
+    x = m.join(per.where(F.col("pairs") <= DIRECT).select("sig"), "sig").join(nodes.select("node", "n"), "node")
     y = x.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
     close = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("label") < F.col("lb"))
     pairs = x.join(y, "sig").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    if level > LEVELS:
-        return pairs
-    many = per.where(F.col("pairs") > DIRECT).select("sig")
-    if many.isEmpty():
-        return pairs
-    open_rows = keep(m.join(many, "sig").select("sig", "node"), "join-many")
-    got = fetched(docs, nodes.join(open_rows.select("node").distinct(), "node").select("node", "doc_id"), words)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
-                sub, _ = signatures(own, np.array([len(own)]), bands, salt=level)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sub), batch.column(0)[i].as_py(), np.int64)), pa.array(sub.view(np.int64))], names=["node", "sub"])
-
-    subs = got.select("node", "elements").mapInArrow(sign, "node long, sub long")
-    below = open_rows.join(subs, "node").select(F.xxhash64("sig", "sub").alias("sig"), "node")
-    near, deeper = neighbours(below)
-    side = labels.select(F.col("node").alias("k"), F.col("label").alias("l"))
-    near = near.join(side, F.col("a") == F.col("k"), "left").select("a", "b", F.coalesce("l", "a").alias("la"))
-    near = near.join(side, F.col("b") == F.col("k"), "left").where(F.col("la") != F.coalesce("l", "b")).select("a", "b")
-    return pairs.union(near).union(crossing(docs, deeper, labels, nodes, words, percent, level + 1)).distinct()
+    star = m.join(per.where(F.col("pairs") > DIRECT).select("sig", "first"), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    cluster = components.label(star)
+    rows = cluster.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").join(nodes.select("node", "n", "doc_id"), "node")
+    return keep(pairs, "join-more"), keep(rows.select("node", F.coalesce("label", "node").alias("label"), "n", "doc_id", "cluster"), "join-clustered")
+
+
+PAIR = ["cluster", "b1", "j1", "b2", "j2"]
+
+
+def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links across components inside each cluster, block of sets against block of sets.
+
+    A block holds about ``BLOCK_SETS`` sets of one size class; only neighbouring classes can
+    link. A task sees two blocks and gives only their links.
+    """
+    spark = docs.sparkSession
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    step = np.log(100 / percent)
+    rows = rows.withColumn("b", F.floor(F.log(F.col("n")) / F.lit(float(step)) + 1e-9))
+    counts = rows.groupBy("cluster", "b").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).alias("blocks"))
+    rows = rows.join(counts, ["cluster", "b"]).withColumn("j", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    each = counts.select("cluster", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    one, two = each.toDF("cluster", "b1", "j1"), each.toDF("cluster", "b2", "j2")
+    near = (F.col("b2") - F.col("b1")).isin(0, 1) & ((F.col("b1") < F.col("b2")) | (F.col("j1") <= F.col("j2")))
+    pairs = keep(one.join(two, "cluster").where(near), "join-blocks")
+    got = keep(fetched(docs, rows.select("node", "doc_id"), words).select("node", "elements"), "join-sets")
+    rows = keep(rows.join(got, "node").select("cluster", "b", "j", "node", "label", "elements"), "join-block-rows")
+    left = pairs.join(rows.withColumnsRenamed({"b": "b1", "j": "j1"}), ["cluster", "b1", "j1"]).withColumn("side", F.lit(0))
+    right = pairs.where("b1 <> b2 or j1 <> j2").join(rows.withColumnsRenamed({"b": "b2", "j": "j2"}), ["cluster", "b2", "j2"]).withColumn("side", F.lit(1))
+    both = left.select(*PAIR, "side", "node", "label", "elements").unionByName(right.select(*PAIR, "side", "node", "label", "elements"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"].combine_chunks()]
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1)
+        y = y if len(y) else x
+        common = _common([sets_[i] for i in x], [sets_[i] for i in y])
+        n = np.array([len(s) for s in sets_])
+        ok = (100 * common >= percent * (n[x][:, None] + n[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
+        i, j = np.nonzero(ok)
+        a, b = node[x[i]], node[y[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    links = keep(both.groupBy(*PAIR).applyInArrow(compare, "a long, b long"), "join-links")
+    discard(got, rows)
+    return links
+
+
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by counting over the elements that both sides have."""
+    nx, ny = [len(s) for s in xs], [len(s) for s in ys]
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    rx, ry = np.repeat(np.arange(len(xs)), nx), np.repeat(np.arange(len(ys)), ny)
+    fx, fy = np.isin(x, shared), np.isin(y, shared)
+    px, py = np.searchsorted(shared, x[fx]), np.searchsorted(shared, y[fy])
+    for at in range(0, len(shared), 4096):
+        mx, my = np.zeros((len(xs), 4096), np.float32), np.zeros((len(ys), 4096), np.float32)
+        kx, ky = (px >= at) & (px < at + 4096), (py >= at) & (py < at + 4096)
+        mx[rx[fx][kx], px[kx] - at] = 1
+        my[ry[fy][ky], py[ky] - at] = 1
+        out += (mx @ my.T).astype(np.int64)
+    return out
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    made = keep(signed(docs, words, percent), "join-signed")
+    # signatures are far larger than texts' sizes and ids: they are made again for the sort
+    # (and its sampling) instead of being stored
+    made = keep(signed(docs, words, percent, False).drop("sigs"), "join-signed")
     nodes = keep(made.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")), "join-nodes")
-    pairs, members = neighbours(made.select(F.explode("sigs").alias("sig"), "node"))
+    pairs, members = neighbours(signed(docs, words, percent).select(F.explode("sigs").alias("sig"), "node"))
     links = verified(docs, pairs, nodes, words, percent)
     labels = components.label(links)
-    more = keep(crossing(docs, members, labels, nodes, words, percent).join(pairs, ["a", "b"], "left_anti"), "join-more")
-    if not more.isEmpty():
-        links = links.union(verified(docs, more, nodes, words, percent))
-        labels = components.label(links)
+    more, clustered = crossing(members, labels, nodes, percent)
+    more = more.join(pairs, ["a", "b"], "left_anti")
+    links = links.union(verified(docs, more, nodes, words, percent)).union(blockwise(docs, clustered, words, percent))
+    labels = components.label(links)
     return numbered(docs, made.select("doc_id", "n", "node"), labels)
 
 
@@ -353,7 +430,7 @@ def _without_id(docs: DataFrame) -> DataFrame:
     """Rows without doc_id: their set size, and no component."""
     null = F.lit(None).cast("long")
     lone = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return signed(lone, WORDS, PERCENT).select(null.alias("doc_id"), F.col("n").alias("n_shingles"), null.alias("component_id"))
+    return signed(lone, WORDS, PERCENT, False).select(null.alias("doc_id"), F.col("n").alias("n_shingles"), null.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -361,6 +438,6 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     a kept doc_id stay once. Documents without an id or without words all stay."""
     names = docs.columns
     found = link(docs, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    drop = found.where("doc_id <> component_id").select("doc_id")
-    stay = docs.join(drop, "doc_id", "left_anti") if names[0] == "doc_id" else docs.join(drop, "doc_id", "left_anti").select(*names)
-    return stay.select(*names)
+    drop = keep(found.where("doc_id <> component_id").select("doc_id"), "join-drop")
+    ids = F.broadcast(drop) if drop.count() <= FETCH else drop
+    return docs.join(ids, "doc_id", "left_anti").select(*names)
