@@ -1,11 +1,13 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (A-Z lower-cased, every run of other
-characters than letters and digits one space), and a sentence that is a known one becomes its
-identifier. A document is thus a short sequence of identifiers, taken once line by line and
-once with lines joined (licences are often wrapped). Rules, in order, name a licence and the
-identifiers that must follow each other in the sequence, unknown sentences between them being
-allowed; the first rule of a licence that fits decides how it was recognised.
+Texts are normalised (A-Z lower-cased, every run of other characters than letters and digits
+one space) and cut at full stops, and also at line ends, colons and semicolons. A known
+sentence starts and ends at a cut of either kind and becomes its identifier. It may run over
+line ends, colons and semicolons (licences are wrapped, titles stand above them without a full
+stop), never over a full stop. A document is thus a short sequence of identifiers. Rules, in
+order, name a licence and the identifiers that must follow each other in the sequence, unknown
+sentences between them being allowed; the first rule of a licence that fits decides how it was
+recognised.
 
 Defined cases: a null or empty text has no sentence and no licence; repeated sentences count
 each; equal rows give equal results; other columns are ignored.
@@ -28,6 +30,14 @@ SENTENCES = {
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "cc-by-nc-4-notice": "licensed under cc by nc 4 0",
     "cc-by-4-notice": "licensed under cc by 4 0",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "cc-by-nc-4-title": "creative commons attribution noncommercial 4 0 international public license",
+    "cc-by-nc-4-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-4-title": "creative commons attribution 4 0 international public license",
+    "cc-by-4-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "apache2-title": "apache license version 2 0 january 2004",
+    "apache2-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache2-copy-2": "you may obtain a copy of the license at https www apache org licenses license 2 0",
     "apache2-notice": "licensed under the apache license version 2 0",
     "apache2-header": "licensed under the apache license version 2 0 the license",
     "apache2-comply": "you may not use this file except in compliance with the license",
@@ -46,27 +56,45 @@ RULES = (
     ("gpl3-header", "GPL-3.0", ("gpl-free", "gpl-hope")),
     ("gpl3-free", "GPL-3.0", ("gpl-free",)),
     ("gpl3-notice", "GPL-3.0", ("gpl3-notice",)),
+    ("gpl3-title", "GPL-3.0", ("gpl3-title",)),
     ("cc-by-nc-4-notice", "CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
+    ("cc-by-nc-4-title", "CC-BY-NC-4.0", ("cc-by-nc-4-title",)),
+    ("cc-by-nc-4-work", "CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
     ("cc-by-4-notice", "CC-BY-4.0", ("cc-by-4-notice",)),
+    ("cc-by-4-title", "CC-BY-4.0", ("cc-by-4-title",)),
+    ("cc-by-4-work", "CC-BY-4.0", ("cc-by-4-work",)),
     ("apache2-header", "Apache-2.0", ("apache2-header", "apache2-comply", "apache2-basis")),
     ("apache2-short", "Apache-2.0", ("apache2-comply", "apache2-basis")),
     ("apache2-notice", "Apache-2.0", ("apache2-notice",)),
+    ("apache2-header-alone", "Apache-2.0", ("apache2-header",)),
+    ("apache2-comply", "Apache-2.0", ("apache2-comply", "apache2-copy")),
+    ("apache2-comply-2", "Apache-2.0", ("apache2-comply", "apache2-copy-2")),
+    ("apache2-title", "Apache-2.0", ("apache2-title",)),
     ("bsd-3-text", "BSD", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("bsd-text", "BSD", ("bsd-grant",)),
     ("reserved", "Proprietary", ("all-rights",)),
 )
 #: Every known sentence has one of these, so a text without any is done.
 ANCHOR = r"(?i)licen[sc]e|permission|copyright|software|program|redistribution|rights"
-END = r"[.!?;:](?=[\x20\x09-\x0D]|$)"
+#: In order: signs inside a word, other characters, soft cuts (``|``), full stops (``.``).
+STEPS = (
+    (r"[.!?;:](?=[^\x20\x09-\x0D])", " "),
+    (r"[^a-z0-9.!?;:\n\r]+", " "),
+    (r"\x20?[;:\n\r][\x20;:\n\r]*+", "|"),
+    (r"[\x20|]?[.!?][\x20|.!?]*+", "."),
+)
+#: Any known sentence between cuts, the longest first.
+KNOWN = "(?<=[|.])(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")(?=[|.])"
 
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text, in order."""
     names, known = list(SENTENCES), list(SENTENCES.values())
-    plain = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), END, "\n")
-    parts = F.transform(F.split(plain, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    kept = F.filter(parts, lambda s: s.isin(*known))
-    return F.transform(kept, lambda s: F.element_at(F.array(*map(F.lit, names)), F.array_position(F.array(*map(F.lit, known)), s).cast("int")))
+    plain = F.concat(F.lit("\n"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("\n"))
+    for pattern, to in STEPS:
+        plain = F.regexp_replace(plain, pattern, to)
+    found = F.transform(F.regexp_extract_all(plain, F.lit(KNOWN), F.lit(0)), lambda s: F.translate(s, "|", " "))
+    return F.transform(found, lambda s: F.element_at(F.array(*map(F.lit, names)), F.array_position(F.array(*map(F.lit, known)), s).cast("int")))
 
 
 def _fits(sequence: Column, needed: tuple[str, ...]) -> Column:
@@ -78,13 +106,9 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<string>")
     df = docs.select("doc_id", F.when(text.rlike(ANCHOR), text).otherwise(F.lit("")).alias("__t"))
-    df = df.select(
-        "doc_id",
-        F.when(F.col("__t") != "", identifiers(F.col("__t"))).otherwise(none).alias("lines"),
-        F.when(F.col("__t") != "", identifiers(F.translate("__t", "\n\r", "  "))).otherwise(none).alias("joined"),
-    )
+    df = df.select("doc_id", F.when(F.col("__t") != "", identifiers(F.col("__t"))).otherwise(none).alias("known"))
     rules = F.array(
-        *[F.when(_fits(F.col("lines"), need) | _fits(F.col("joined"), need), F.struct(F.lit(lic).alias("licence"), F.lit(name).alias("rule"))) for name, lic, need in RULES]
+        *[F.when(_fits(F.col("known"), need), F.struct(F.lit(lic).alias("licence"), F.lit(name).alias("rule"))) for name, lic, need in RULES]
     )
     df = df.withColumn("fit", F.filter(rules, lambda r: r.isNotNull()))
     licences = F.array_distinct(F.transform("fit", lambda r: r["licence"]))
@@ -92,8 +116,8 @@ def scan(docs: DataFrame) -> DataFrame:
     first = F.transform("found", lambda x: F.element_at(F.filter("fit", lambda r: r["licence"] == x), 1)["rule"])
     return df.select(
         "doc_id",
-        F.greatest(F.size("lines"), F.size("joined")).cast("long").alias("n_sentences"),
-        F.array_join(F.when(F.size("joined") > F.size("lines"), F.col("joined")).otherwise(F.col("lines")), ",").alias("sentences"),
+        F.size("known").cast("long").alias("n_sentences"),
+        F.array_join("known", ",").alias("sentences"),
         F.array_join("found", ",").alias("licences"),
         F.array_join(first, ",").alias("rules"),
     )

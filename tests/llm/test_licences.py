@@ -45,3 +45,91 @@ def test_wrapped_texts_order_and_odd_rows(spark, odd_docs, no_docs):
     assert found == {1: "MIT", 2: "CC-BY-NC-4.0,Proprietary", 3: "", 4: "Proprietary"}
     compare(odd_docs)
     assert lic.scan(no_docs).count() == 0
+
+
+MIT = """MIT License
+{gap}Copyright (c) 2020 A. Writer
+{gap}Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+GPL = """    demo
+    Copyright (C) 2020  A. Writer
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """   Copyright 2020 A. Writer
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD = """Copyright (c) 2020, A. Writer
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{one} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{two} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+MPL = """The contents of this file are subject to the Mozilla Public License
+Version 1.1 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+http://www.mozilla.org/MPL/
+"""
+
+
+def test_standard_texts(spark):
+    texts = {
+        "mit": (MIT.format(gap="\n"), "MIT", "mit-text"),
+        "mit, no blank lines": (MIT.format(gap=""), "MIT", "mit-text"),
+        "mit, windows": (MIT.format(gap="\n").replace("\n", "\r\n"), "MIT", "mit-text"),
+        "mit, spaced": (MIT.format(gap="\n").replace("\n", "\n\n"), "MIT", "mit-text"),
+        "gpl": (GPL, "GPL-3.0", "gpl3-header"),
+        "gpl, comment": ("".join(f" * {x}\n" for x in GPL.split("\n")), "GPL-3.0", "gpl3-header"),
+        "gpl, title": ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "GPL-3.0", "gpl3-title"),
+        "apache": (APACHE, "Apache-2.0", "apache2-header"),
+        "apache, comment": ("".join(f"# {x}\n" for x in APACHE.split("\n") if x), "Apache-2.0", "apache2-header"),
+        "apache, sentence": ('Licensed under the Apache License, Version 2.0 (the "License").', "Apache-2.0", "apache2-header-alone"),
+        "apache, comply": (APACHE[APACHE.index("you may not") : APACHE.index("Unless")], "Apache-2.0", "apache2-comply"),
+        "apache, file": ("Apache License\n  Version 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0", "apache2-title"),
+        "bsd": (BSD.format(one="1.", two="2."), "BSD", "bsd-3-text"),
+        "bsd, stars": (BSD.format(one="*", two="*"), "BSD", "bsd-3-text"),
+        "cc": ("This work is licensed under a Creative Commons\nAttribution 4.0 International License.", "CC-BY-4.0", "cc-by-4-work"),
+        "cc nc": ("Creative Commons Attribution-NonCommercial 4.0 International Public\nLicense\n\nBy", "CC-BY-NC-4.0", "cc-by-nc-4-title"),
+        "mpl": (MPL, "", ""),
+        "stop": ("All rights. Reserved.", "", ""),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id string, text string")
+    got = {r["doc_id"]: (r["licences"], r["rules"]) for r in lic.scan(docs).collect()}
+    assert got == {k: (a, b) for k, (_, a, b) in texts.items()}
