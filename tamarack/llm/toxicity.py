@@ -49,7 +49,6 @@ SUSPECT = re.compile(
     r"|(?P<inside>(?:[0-9@$!|+(*#]{1,2}(?=[a-z]{2})|(?<=[a-z])[0-9@$!|+(*#]{1,3}(?=[a-z])|(?P<rep>[a-z])(?P=rep)(?P=rep)))"
 )
 _EDGE = re.compile(r"[a-z0-9@$!|+(*#]+")
-MAX_LATTICE = 40
 
 
 # --- character language model -------------------------------------------------------------
@@ -132,10 +131,13 @@ def lattice(spot: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(spot: str, cost: np.ndarray) -> str:
-    """The likeliest word under channel and language model (Viterbi over character pairs)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest word under channel and language model (Viterbi over character pairs).
+
+    Texts are linked backwards, so a long spot costs in proportion to its runs.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for arcs in lattice(spot):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (so_far, text) in states.items():
             for letters, channel in arcs:
                 x, y, total = a, b, so_far + channel
@@ -144,9 +146,19 @@ def decode(spot: str, cost: np.ndarray) -> str:
                     total += float(cost[x, y, i])
                     x, y = y, i
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + letters)
+                    after[x, y] = (total, (text, letters))
         states = after
-    return min((t + float(cost[a, b, 0]), text) for (a, b), (t, text) in states.items())[1]
+    ends = [(t + float(cost[a, b, 0]), text) for (a, b), (t, text) in states.items()]
+    least = min(t for t, _ in ends)
+    return min(_spelled(text) for t, text in ends if t == least)
+
+
+def _spelled(text: tuple | None) -> str:
+    out = []
+    while text:
+        text, letters = text
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def restored(low: str, cost: np.ndarray, memo: dict[str, str]) -> list[str]:
@@ -159,9 +171,9 @@ def restored(low: str, cost: np.ndarray, memo: dict[str, str]) -> list[str]:
             spot, done = m["apart"].replace(m["by"], ""), m.end()
         else:
             a, b = m.start(), m.end()
-            while a > 0 and b - a < MAX_LATTICE and _EDGE.match(low[a - 1]):
+            while a > 0 and _EDGE.match(low[a - 1]):
                 a -= 1
-            while b < len(low) and b - a < MAX_LATTICE and _EDGE.match(low[b]):
+            while b < len(low) and _EDGE.match(low[b]):
                 b += 1
             spot, done = low[a:b].strip("!|+(*#"), b
         if len(spot) < 3 or spot.isdigit():

@@ -69,3 +69,12 @@ def test_decode_is_the_cheapest_path():
         total += float(cost[a, b, 0])
         best = min(best or (total, text), (total, text))
     assert tox.decode(spot, cost) == best[1]
+
+
+def test_long_repetitions_are_one_step(trained):
+    _, _, (words, _, cost) = trained
+    find = tox.Finder([*words, "stupid"], cost)
+    for n in (20, 45, 5000):
+        assert find("you are st" + "u" * n + "pid"), n
+        assert find("you are id" + "i" * n + "ot"), n
+    assert not find("ab1c" * 50_000)
