@@ -1,8 +1,10 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Suspicious spots (a digit or sign inside a word, a letter three times running, letters set
-apart by signs or spaces) become a lattice of what each character may stand for; Viterbi
-decoding under a character language model restores the likeliest word. The model's trigram
+Suspicious spots (tokens with letters beside digits or signs, or with a letter twice running;
+letters set apart by signs or spaces) become a lattice of what each character may stand for;
+Viterbi decoding under a character language model restores the likeliest word, or words where
+letters are set apart. Spots whose lattice holds none of the classifier's words are not decoded,
+which changes no result. The model's trigram
 counts come from every document (one vector of counts a task, added up); its alphabet is
 fixed, so it has ``SIZE ** 3`` cells whatever the input. The restored words, and those written
 plainly, are scored by a logistic classifier whose words are chosen and weighed on labelled
@@ -43,12 +45,18 @@ SIZE = len(LETTERS) + 1
 LEET_COST, KEEP_COST, DOUBLE_COST = 1.0, 0.1, 1.5
 LEXICON_SHARE = 1e-4
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
-#: A sign or digit between letters, or before two; a letter three times; letters set apart.
-SUSPECT = re.compile(
-    r"(?P<apart>(?<!\w)[a-z@$0-9](?P<by>[ ._*\-])[a-z@$0-9](?:(?P=by)[a-z@$0-9])+(?!\w))"
-    r"|(?P<inside>(?:[0-9@$!|+(*#]{1,2}(?=[a-z]{2})|(?<=[a-z])[0-9@$!|+(*#]{1,3}(?=[a-z])|(?P<rep>[a-z])(?P=rep)(?P=rep)))"
+_SIGNS = re.escape("".join(c for c in LEET if not c.isdigit()))
+_TOKEN = frozenset(LETTERS) | frozenset(LEET)
+#: A letter beside a digit or sign, or twice running: the whole token is suspicious.
+SUSPECT = re.compile(rf"[{LETTERS}][0-9{_SIGNS}]|[0-9{_SIGNS}][{LETTERS}]|([{LETTERS}])\1")
+#: Single characters set apart by anything: signs stand for letters, or only set apart.
+APART = (
+    re.compile(rf"(?<![\w{_SIGNS}])[\w{_SIGNS}](?:[^\w{_SIGNS}]++[\w{_SIGNS}](?![\w{_SIGNS}])){{2,}}+"),
+    re.compile(r"(?<!\w)\w(?:\W++\w(?!\w)){2,}+"),
 )
-_EDGE = re.compile(r"[a-z0-9@$!|+(*#]+")
+#: Letters that are words of their own, and the cost of a boundary among letters set apart.
+ONE_LETTER = frozenset("aeiouyàèéóú")
+SPLIT_COST = 1.0
 
 
 # --- character language model -------------------------------------------------------------
@@ -130,13 +138,17 @@ def lattice(spot: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(spot: str, cost: np.ndarray) -> str:
+def decode(spot: str, cost: np.ndarray, splits: list[float] | None = None) -> str:
     """The likeliest word under channel and language model (Viterbi over character pairs).
 
-    Texts are linked backwards, so a long spot costs in proportion to its runs.
+    With ``splits``, the costs of a boundary before each run, words with spaces between. Texts are linked backwards, so a long spot costs in proportion to its runs.
     """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for arcs in lattice(spot):
+    for k, arcs in enumerate(lattice(spot)):
+        for (a, b), (so_far, text) in list(states.items()) if splits and k else ():
+            total = so_far + splits[k] + float(cost[a, b, 0])
+            if b and ((b, 0) not in states or total < states[b, 0][0]):
+                states[b, 0] = (total, (text, " "))
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (so_far, text) in states.items():
             for letters, channel in arcs:
@@ -161,29 +173,9 @@ def _spelled(text: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def restored(low: str, cost: np.ndarray, memo: dict[str, str]) -> list[str]:
-    """Restored words of the suspicious spots of a lower-case text."""
-    out, done = [], 0
-    for m in SUSPECT.finditer(low):
-        if m.start() < done:
-            continue
-        if m["apart"]:
-            spot, done = m["apart"].replace(m["by"], ""), m.end()
-        else:
-            a, b = m.start(), m.end()
-            while a > 0 and _EDGE.match(low[a - 1]):
-                a -= 1
-            while b < len(low) and _EDGE.match(low[b]):
-                b += 1
-            spot, done = low[a:b].strip("!|+(*#"), b
-        if len(spot) < 3 or spot.isdigit():
-            continue
-        if spot not in memo:
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[spot] = decode(spot, cost)
-        out.append(memo[spot])
-    return out
+def cuts(spot: str) -> list[int]:
+    """Where the runs of ``lattice`` start, and the end."""
+    return [0, *(i for i in range(1, len(spot)) if spot[i] != spot[i - 1]), len(spot)]
 
 
 # --- words --------------------------------------------------------------------------------
@@ -197,6 +189,7 @@ class Finder:
 
         self.words, self.cost, self.memo = words, cost, {}
         self.place = {w: i for i, w in enumerate(words)}
+        self.prefixes = {w[:i] for w in words for i in range(len(w) + 1)}
         self.machine = ahocorasick.Automaton()
         for w in words:
             self.machine.add_word(w, w)
@@ -212,11 +205,81 @@ class Finder:
             a, b = end - len(w), end + 1
             if not (a >= 0 and low[a].isalpha()) and not (b < len(low) and low[b].isalpha()):
                 found.add(self.place[w])
-        for word in restored(low, self.cost, self.memo):
-            if word in self.place:
-                found.add(self.place[word])
+        low = low.replace("_", " ")
+        done = 0
+        for m in SUSPECT.finditer(low):
+            if m.start() < done:
+                continue
+            a, done = m.start(), m.end()
+            while a > 0 and low[a - 1] in _TOKEN:
+                a -= 1
+            while done < len(low) and low[done] in _TOKEN:
+                done += 1
+            found |= self.remembered(low[a:done], self.token)
+        for pattern in APART:
+            for m in pattern.finditer(low):
+                found |= self.remembered(m[0], self.apart)
         return found
 
+    def remembered(self, spot: str, look) -> set[int]:
+        if len(spot) > 256:
+            return look(spot)
+        key = (look.__name__, spot)
+        if key not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[key] = look(spot)
+        return self.memo[key]
+
+    def reach(self, arcs: list[list[tuple[str, float]]], starts: range, ends: range) -> set[tuple[int, int]]:
+        """Stretches of a lattice that may stand for a chosen word; the shortest for each word and end."""
+        out, nodes = set(), {}
+        for k, choice in enumerate(arcs):
+            if k in starts:
+                nodes[""] = k
+            elif not nodes and k >= starts.stop:
+                break
+            after: dict[str, int] = {}
+            for node, start in nodes.items():
+                for letters, _ in choice:
+                    x = node + letters
+                    if x and x in self.prefixes and after.get(x, -1) < start:
+                        after[x] = start
+            nodes = after
+            if k + 1 in ends:
+                out.update((start, k + 1) for x, start in nodes.items() if x in self.place)
+        return out
+
+    def chosen(self, words) -> set[int]:
+        return {self.place[w] for w in words if w in self.place}
+
+    def token(self, spot: str) -> set[int]:
+        """Words of a token; digits and signs at its ends may belong to the word or not."""
+        at = cuts(spot)
+        letters = [k for k, i in enumerate(at[:-1]) if spot[i] in _INDEX]
+        hits = self.reach(lattice(spot), range(letters[0] + 1), range(letters[-1] + 1, len(at)))
+        spots = {spot[at[a] : at[b]] for a, b in hits}
+        # letters that are all doubled say that none of them is meant twice
+        spots |= {"".join(x[i] for i in cuts(x)[:-1]) for x in spots if all(b - a > 1 for a, b in zip(cuts(x), cuts(x)[1:]))}
+        return self.chosen(decode(x, self.cost) for x in spots)
+
+    def apart(self, spaced: str) -> set[int]:
+        """Words of letters set apart: all of them, without one-letter words at the ends, or split."""
+        parts = re.split(rf"([^\w{_SIGNS}]+)" if APART[0].fullmatch(spaced) else r"(\W+)", spaced)
+        spot, gaps = "".join(parts[::2]), [0, *map(len, parts[1::2])]
+        if not any(c in _INDEX for c in spot):
+            return set()
+        at = cuts(spot)
+        n = len(at) - 1
+        if not self.reach(lattice(spot), range(n), range(1, n + 1)):
+            return set()
+        heads = (0, 1) if spot[0] in ONE_LETTER else (0,)
+        tails = (0, 1) if spot[-1] in ONE_LETTER else (0,)
+        words = {decode(spot[a : len(spot) - b], self.cost) for a in heads for b in tails}
+        least = min(gaps[1:])
+        splits = [SPLIT_COST if gaps[i] == least else 0.0 for i in at[:-1]]
+        return self.chosen(words.union(decode(spot, self.cost, splits).split(" ")))
+
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     """Words and weights (of any word and the bias last) from at most ``TRAIN_ROWS`` labelled rows of the training folds."""

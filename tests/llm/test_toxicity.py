@@ -78,3 +78,31 @@ def test_long_repetitions_are_one_step(trained):
         assert find("you are st" + "u" * n + "pid"), n
         assert find("you are id" + "i" * n + "ot"), n
     assert not find("ab1c" * 50_000)
+
+
+def test_signs_at_edges_doubled_and_mixed_separators(trained):
+    _, _, (words, _, cost) = trained
+    find = tox.Finder([*{*words, "trash", "loser"}], cost)
+    spelled = ("idio7", "tra5#", "1d107", "1053r", "!diot", "(tra5#!!", "i/d/i/o/t", "i  d  i  o  t", "i d ! o t", "i-d_i o.t", "i*d*i*o*t", "iidiioott")
+    for x in (*spelled, "you are a i d i o t", "i d i o t   m o r o n"):
+        assert find(f"the reand {x}, of th"), x
+    assert len(find("i d i o t   m o r o n")) == 2
+    for x in ("letter all 3rd a1 b2 #tag well!", "p a s s e d  b y", "x | y | z + 1 | 2", "A. B. C. - d", "_ _ _ * * * ! ! !"):
+        assert not find(x), x
+
+
+def test_stretches_of_the_lattice_are_those_of_brute_force(trained):
+    _, _, (_, _, cost) = trained
+    words = ["idiot", "scum", "trash", "tool"]
+    find = tox.Finder(words, cost)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        spot = "".join(rng.choice(list("idotscumtrah105!*$7#"), rng.integers(3, 9)))
+        spot = spot[:1] + rng.choice(words)[:5].replace("i", "1") + spot[1:3] if rng.random() < 0.5 else spot
+        if not any(c in tox._INDEX for c in spot):
+            continue
+        at = tox.cuts(spot)
+        letters = [k for k, i in enumerate(at[:-1]) if spot[i] in tox._INDEX]
+        subs = {spot[at[a] : at[b]] for a in range(letters[0] + 1) for b in range(letters[-1] + 1, len(at))}
+        want = {tox.decode(x, cost) for x in subs} & set(words)
+        assert want <= {words[i] for i in find.token(spot)}, spot
