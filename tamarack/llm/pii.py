@@ -36,7 +36,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+-]{12,256}",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+-]{12,}+",
     "local_phone": r"(?<![0-9+(] ?)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![\x20-]?[0-9])",
 }
 #: A text without this can't hold the kind.

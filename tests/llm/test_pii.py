@@ -85,3 +85,10 @@ def test_em_prefers_the_labelers_that_agree():
     w = pii.fit(cells)
     score = lambda votes: sum(w.get(f, 0) for f in pii.features(4, votes, "mww"))
     assert score("1x1x") > 0 > score("0x0x")
+
+
+def test_long_secrets_are_one_span(spark):
+    rows = [(n, "access token = " + ("aB3dE5gH7j" * (n // 10 + 1))[:n] + " end") for n in (40, 300, 2000, 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.candidates(docs, ["doc_id"]).collect():
+        assert [(s["start"], s["end"]) for s in r["spans"] if pii.KINDS[s["kind"]] == "secret"] == [(15, 15 + r["doc_id"])]
