@@ -1,12 +1,11 @@
-"""Shared pieces: word splitting, shared-storage tables, guarded broadcasts."""
+"""Shared pieces: columns, word splitting, shared-storage tables, guarded broadcasts."""
 
 from __future__ import annotations
 
 import atexit
-import gc
-import shutil
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +26,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# --- columns ------------------------------------------------------------------------------
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(names: list[str]) -> Column:
+    """All of a row in one struct, so that no column of its can clash with an operator's."""
+    return F.struct(*map(col, names)).alias("row")
+
+
+def unpacked(names: list[str], **changed: Column) -> list[Column]:
+    """The columns of ``packed`` again, those of ``changed`` with their new values."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in names]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once: however the optimizer moves expressions, what a
+    lambda refers to is a variable, never the expression itself."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# --- tables in shared storage -------------------------------------------------------------
+
+#: Paths of kept tables by scope; the outermost lasts as long as the session.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see. Set here only if the session names none (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="tamarack-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
+    """The folder in ``spark.checkpoint.dir``, which all executors see."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return where.rstrip("/")
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
@@ -46,24 +71,53 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tamarack-{tag}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
 
 
-def discard(*kept: DataFrame) -> None:
-    """Delete tables of ``keep`` that nothing reads any more, and let go of shuffle files.
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    Spark drops a shuffle's files when the driver's JVM collects the last reference to it; a
-    driver with a large heap may not collect for long, so it is asked to.
-    """
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables of ``keep`` that nothing reads any more."""
     for df in kept:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        _delete(df.sparkSession, df._kept_at)
+        for scope in _scopes:
+            scope[:] = [x for x in scope if x[1] != df._kept_at]
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables kept inside are deleted at the end, but for those given to what this yields."""
+    own: list[tuple[SparkSession, str]] = []
+    spared: set[str] = set()
+
+    def spare(kept: DataFrame) -> DataFrame:
+        spared.add(kept._kept_at)
+        return kept
+
+    _scopes.append(own)
+    try:
+        yield spare
+    finally:
+        _scopes.remove(own)
+        for spark, path in own:
+            if path in spared:
+                _scopes[-1].append((spark, path))
+            else:
+                _delete(spark, path)
+
+
+@atexit.register
+def _leave() -> None:
+    for spark, path in _scopes[0]:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
 
 
 def guarded(df: DataFrame, rows: int) -> DataFrame:

@@ -1,72 +1,98 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Patterns propose spans. Four labelers vote on each (private, not private, or no vote):
-a checker of the format, a gazetteer of known domains, prefixes and country codes, a reader
-of the words around the span, and a judge of its digits. Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is and how likely each span is
-private; a logistic span classifier is then trained on those likelihoods over the spans'
-features. Both see only counts by vote pattern and feature (``CELLS`` rows at most, whatever
-the input), so the driver holds no span. Well-formed spans of the four base kinds always
-stay; the classifier decides about the others: secrets, local phone numbers, and base
-patterns that fail their check.
+Patterns, gazetteers (known key prefixes, given names) and context (key words, titles before a
+name) propose spans. Four labelers vote on each (private, not private, or no vote): a checker
+of the format, a gazetteer of known domains, prefixes, codes and names, a reader of the words
+around the span, and a judge of its characters. Expectation-maximisation over the counts of
+vote patterns estimates, kind by kind, how reliable each labeler is and how likely each span
+is private. Every labeler starts with ``TRUST`` imagined votes at its seed reliability, so a
+kind with few spans follows the seeds and one with many follows its data. A logistic span
+classifier is then trained on those likelihoods over the spans' features. Both see only counts
+by vote pattern and feature (``CELLS`` rows at most, whatever the input), so the driver holds
+no span. Well-formed spans of the four base kinds always stay; the classifier decides about
+the others: secrets, local phone numbers, names, and base patterns that fail their check.
 
 Positions are code points, ends are exclusive. They come from the lengths of what stands
 between matches, summed block by block inside the row: no span leaves its row.
 
 Defined cases: a null text is an empty one; a document without spans has empty lists (and the
 digest of the empty string); equal rows give equal results; an empty table trains nothing and
-accepts base spans only; other columns are ignored, or kept by ``mask``.
+accepts base spans only; a text of any length is read whole, in time in proportion to it and,
+for spans, to their number by its square root; other columns are ignored, or kept by ``mask``
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, let, packed, unpacked
 
 #: Base kinds in their order, then those that the method adds.
-KINDS = ("email", "ip", "card", "phone", "secret", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "secret", "local_phone", "name")
+#: Gazetteers.
+DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
+COUNTRY = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
+KEY_PREFIXES = ("sk-", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "AIza", "eyJ")
+PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "0000", "1234567", "insert", "dummy")
+GIVEN_NAMES = (
+    "James", "John", "Robert", "Michael", "William", "David", "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara",
+    "Susan", "Jessica", "Sarah", "Karen", "Thomas", "Charles", "Daniel", "Matthew", "Anna", "Maria", "Peter", "Paul",
+    "Hans", "Klaus", "Jean", "Pierre", "Marie", "Sophie", "Carlos", "Juan", "Carmen", "Ana", "Luis",
+)
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame")
+_KEY = r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?"
+_KEY_CHAR = "[A-Za-z0-9_/+~-]"
 #: The patterns. Possessive loops and look-behinds keep them linear.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+-]{12,}+",
+    "secret": rf"(?:{_KEY}(?=[A-Za-z0-9_/+.~-]{{12}})|(?<!{_KEY_CHAR})(?=(?:{'|'.join(KEY_PREFIXES)}){_KEY_CHAR}{{12}})){_KEY_CHAR}++(?:\.{_KEY_CHAR}++)*+={{0,2}}+",
     "local_phone": r"(?<![0-9+(] ?)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![\x20-]?[0-9])",
+    "name": rf"(?:(?<![\p{{L}}0-9])(?:{'|'.join(TITLES)})\.?\x20|(?i:my name is|signed by|contact:)\x20|(?<![\p{{L}}0-9])(?=(?:{'|'.join(GIVEN_NAMES)})\x20\p{{Lu}}))\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}0-9])",
 }
+#: What stands before the private part of a match.
+HEADS = {"secret": f"^{_KEY}", "name": rf"^(?:(?:{'|'.join(TITLES)})\.?\x20|(?i:my name is|signed by|contact:)\x20)"}
 #: A text without this can't hold the kind.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": "+", "secret": r"[=:]", "local_phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}"}
-#: Gazetteers.
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
-COUNTRY = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
-CUES = r"(?i)(mail|e-mail|contact|call|phone|tel|fax|mobile|host|addr|login|from|card|visa|pay|account|token|secret|key|passw)"
+NEEDS = {
+    "email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": "+", "secret": rf"[=:]|{'|'.join(KEY_PREFIXES)}",
+    "local_phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}", "name": rf"\b(?:{'|'.join((*TITLES, *GIVEN_NAMES))})\b|(?i:name is|signed by|contact:)",
+}
+CUES = r"(?i)(mail|e-mail|contact|call|phone|tel|fax|mobile|host|addr|login|from|card|visa|pay|account|token|secret|key|passw|name|signed|dear)"
 COUNTER = r"(?i)(version|ver\.|v\.|isbn|issn|page|section|sect\.|no\.|part|serial|sku)\W{0,3}$"
 AROUND = 24
-#: Most rows of counts: 6 kinds, 2 x 3 x 3 x 3 vote patterns, 4 x 3 x 3 feature cells.
-CELLS = 6 * 54 * 36
+#: Most rows of counts: kinds, 2 x 3 x 3 x 3 vote patterns, 4 x 3 x 3 feature cells.
+CELLS = len(KINDS) * 54 * 36
+#: Seed reliability of each labeler, and how many imagined votes stand for it.
+SEED = (0.9, 0.8, 0.8, 0.7)
+TRUST = 20.0
 ROUNDS = 40
 _BLOCK = 256
+_PIECE = 1024
 
 
-def _running(values: str) -> Column:
-    """Running sums of an array column: whole blocks first, then inside the block."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    size = F.size(values)
+def _running(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of an array of longs: whole blocks first, then inside the block."""
+    zero = F.lit(start).cast("long")
+    block = F.lit(_BLOCK)
     blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest((size - 1) / F.lit(_BLOCK), F.lit(0)).cast("int")),
-        lambda b: F.aggregate(F.slice(values, b * F.lit(_BLOCK) + 1, F.lit(_BLOCK)), zero, add),
+        F.sequence(F.lit(0), F.greatest((F.size(values) - 1) / block, F.lit(0)).cast("int")),
+        lambda b: F.aggregate(F.slice(values, b * block + 1, block), zero, step),
     )
-    held = F.array(F.struct(blocks.alias("sums")))
-    inside = lambda i: F.aggregate(F.slice(values, i - i % F.lit(_BLOCK) + 1, i % F.lit(_BLOCK) + 1), zero, add)
-    before = lambda h, i: F.aggregate(F.slice(h["sums"], F.lit(1), (i / F.lit(_BLOCK)).cast("int")), zero, add)
-    out = F.transform(held, lambda h: F.transform(F.col(values), lambda _, i: inside(i) + before(h, i)))
-    return F.when(size > 0, F.get(out, F.lit(0))).otherwise(F.array().cast("array<long>"))
+
+    def at(whole: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(whole, F.lit(1), (i / block).cast("int")), zero, step)
+        return F.aggregate(F.slice(values, i - i % block + 1, i % block + 1), before, step)
+
+    return let(blocks, lambda whole: F.transform(values, lambda _, i: at(whole, i)))
 
 
 def _digits(match: Column) -> Column:
@@ -111,15 +137,24 @@ def _known(kind: str, match: Column) -> Column:
         return vote(match.rlike("^[3-6]") & F.length(digits).between(13, 19))
     if kind == "phone":
         return vote(F.exists(F.array(*map(F.lit, COUNTRY)), lambda c: digits.startswith(c)))
-    return F.lit("x")
+    if kind == "secret":
+        return F.when(match.rlike("(?i)" + "|".join(PLACEHOLDERS)), "0").when(match.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), "1").otherwise("x")
+    if kind == "name":
+        return F.when(match.rlike(r"\b(?:" + "|".join(GIVEN_NAMES) + r")\b"), "1").otherwise("x")
+    return F.when(digits.rlike("^.11"), "0").otherwise("x")
 
 
 def _votes(kind: str, match: Column, before: Column) -> Column:
     digits = F.length(_digits(match))
-    distinct = F.size(F.array_distinct(F.split(_digits(match), "")))
+    distinct = F.size(F.array_distinct(F.split(match if kind == "secret" else _digits(match), "")))
     checked = F.when(well_formed(kind, match), "1").otherwise("0")
     context = F.when(before.rlike(COUNTER), "0").when(before.rlike(CUES), "1").otherwise("x")
-    shape = F.when(digits < 4, "x").when(distinct < 4, "0").otherwise("1") if kind != "email" else F.lit("x")
+    if kind == "secret":
+        shape = F.when(distinct < 5, "0").when(distinct >= 8, "1").otherwise("x")
+    elif kind in ("email", "name"):
+        shape = F.lit("x")
+    else:
+        shape = F.when(digits < 4, "x").when(distinct < 4, "0").otherwise("1")
     return F.concat(checked, _known(kind, match), context, shape)
 
 
@@ -127,15 +162,14 @@ def _near(char: Column) -> Column:
     return F.when(char == "", "-").when(char.rlike(r"[\p{L}0-9_]"), "w").otherwise("o")
 
 
-def _span(n: int, kind: str):
-    """Match and place in the row to a span; the row holds gaps (``__g``) and starts (``__p``)."""
+def _span(n: int, kind: str, gaps: Column, starts: Column):
+    """Match and place in the row to a span, from the gaps between matches and matches' starts."""
 
-    def span(m: Column, i: Column) -> Column:
-        before = F.right(F.get(f"__g{n}", i), F.lit(AROUND))
-        after = F.left(F.get(f"__g{n}", i + 1), F.lit(1))
-        start = F.get(f"__p{n}", i)
+    def made(m: Column, gap: Column, after: Column, start: Column) -> Column:
+        value = F.regexp_replace(m, HEADS[kind], "") if kind in HEADS else m
+        # a span's context ends where its private part begins
+        before = F.right(F.concat(F.right(gap, F.lit(AROUND)), F.left(m, F.length(m) - F.length(value))) if kind in HEADS else gap, F.lit(AROUND))
         end = start + F.length(m)
-        value = F.regexp_extract(m, r"[A-Za-z0-9_/+-]{12,}$", 0) if kind == "secret" else m
         votes = _votes(kind, value, before)
         size = F.when(F.length(value) < 12, "s").when(F.length(value) < 16, "m").when(F.length(value) < 24, "l").otherwise("x")
         return F.struct(
@@ -144,35 +178,41 @@ def _span(n: int, kind: str):
             end.cast("long").alias("end"),
             (F.substring(votes, 1, 1).eqNullSafe(F.lit("1")) if n < 4 else F.lit(False)).alias("base"),
             votes.alias("votes"),
-            F.concat(size, _near(F.right(before, F.lit(1))), _near(after)).alias("cell"),
+            F.concat(size, _near(F.right(before, F.lit(1))), _near(F.left(after, F.lit(1)))).alias("cell"),
         )
 
-    return span
-
-
-def candidates(docs: DataFrame, keep_columns: list[str]) -> DataFrame:
-    """``keep_columns`` and ``spans``: kind number, start, end, whether it is a well-formed
-    base span, the votes, and the feature cell."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(*[F.col(f"`{c}`") for c in keep_columns], text.alias("__text"))
-    listed = []
-    for n, kind in enumerate(KINDS):
-        may = F.contains("__text", F.lit(NEEDS[kind])) if len(NEEDS[kind]) == 1 else F.col("__text").rlike(NEEDS[kind])
-        none = F.array().cast("array<string>")
-        pattern = PATTERNS[kind]
-        df = df.withColumn(f"__m{n}", F.when(may, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(none))
-        df = df.withColumn(f"__g{n}", F.when(F.size(f"__m{n}") > 0, F.split("__text", pattern, -1)).otherwise(none))
-        longs = F.transform(f"__m{n}", lambda m: F.length(m))
-        steps = F.zip_with(
-            F.slice(F.transform(f"__g{n}", lambda g: F.length(g)), F.lit(1), F.size(f"__m{n}")),
-            F.concat(F.array(F.lit(0)), F.slice(longs, F.lit(1), F.greatest(F.size(f"__m{n}") - 1, F.lit(0)))),
-            lambda gap, m: (gap + m).cast("long"),
-        )
-        df = df.withColumn(f"__s{n}", F.when(F.size(f"__m{n}") > 0, steps).otherwise(F.array().cast("array<long>")))
-        df = df.withColumn(f"__p{n}", _running(f"__s{n}"))
+    return lambda m, i: made(m, F.get(gaps, i), F.get(gaps, i + 1), F.get(starts, i))
+
+
+def _found(n: int, kind: str) -> Column:
+    """All spans of a kind in the column ``t``."""
+    pattern = PATTERNS[kind]
+    text = F.col("t")
+    may = F.contains(text, F.lit(NEEDS[kind])) if len(NEEDS[kind]) == 1 else text.rlike(NEEDS[kind])
+    matches = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    def spans(m: Column) -> Column:
+        def steps(g: Column) -> Column:
+            """What lies between one match's start and the one before."""
+            return F.transform(m, lambda _, i: (F.length(F.get(g, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(F.lit(0))).cast("long"))
+
+        add = lambda a, x: a + x
+        placed = lambda g: let(let(steps(g), lambda s: _running(s, 0, add)), lambda p: F.transform(m, _span(n, kind, g, p)))
+        some = let(F.split(text, pattern, -1), placed)
+        return F.when(F.size(m) > 0, some).otherwise(F.array().cast(SPANS))
+
+    return let(matches, spans)
 
-        listed.append(F.transform(f"__m{n}", _span(n, kind)))
-    return df.select(*[F.col(f"`{c}`") for c in keep_columns], F.concat(*listed).alias("spans"))
+
+SPANS = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:string,cell:string>>"
+
+
+def candidates(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns ``names``) and ``spans``: kind number, start, end, whether
+    it is a well-formed base span, the votes, and the feature cell."""
+    df = docs.select(*([packed(names)] if names else []), F.coalesce("text", F.lit("")).alias("t"))
+    spans = F.concat(*[_found(n, kind) for n, kind in enumerate(KINDS)])
+    return df.select(*(["row"] if names else []), spans.alias("spans"))
 
 
 def train(spans: DataFrame) -> dict[str, float]:
@@ -193,46 +233,52 @@ def fit(cells: list[tuple[int, str, str, int]]) -> dict[str, float]:
         patterns[kind, votes] += n
     if not patterns:
         return {}
-    share = lambda v: (v.count("1") + 0.5) / (v.count("1") + v.count("0") + 1)
-    post = {p: share(p[1]) for p in patterns}
+    right = {(who, v, y): TRUST * (SEED[who] if int(v) == y else 1 - SEED[who]) for who in range(4) for v in "01" for y in (0, 1)}
+    kinds = sorted({kind for kind, _ in patterns})
+    post: dict[tuple[int, str], float] = {}
     for _ in range(ROUNDS):
-        prior: dict[int, list[float]] = defaultdict(lambda: [1.0, 1.0])
-        says: dict[tuple[int, str], list[float]] = defaultdict(lambda: [1.0, 1.0])
-        for (kind, votes), n in patterns.items():
-            y = post[kind, votes]
+        prior = {k: [1.0, 1.0] for k in kinds}
+        says = {(k, *x): n for k in kinds for x, n in right.items()}
+        for (kind, votes), y in post.items():
+            n = patterns[kind, votes]
             prior[kind][1] += n * y
             prior[kind][0] += n * (1 - y)
             for who, v in enumerate(votes):
-                says[who, v][1] += n * y
-                says[who, v][0] += n * (1 - y)
-        total = {(who, y): sum(says[who, v][y] for v in "01x") for who in range(4) for y in (0, 1)}
+                if v != "x":
+                    says[kind, who, v, 1] += n * y
+                    says[kind, who, v, 0] += n * (1 - y)
         for kind, votes in patterns:
             odds = math.log(prior[kind][1] / prior[kind][0])
             for who, v in enumerate(votes):
                 if v != "x":
-                    odds += math.log(says[who, v][1] / total[who, 1]) - math.log(says[who, v][0] / total[who, 0])
+                    share = [says[kind, who, v, y] / (says[kind, who, "0", y] + says[kind, who, "1", y]) for y in (0, 1)]
+                    odds += math.log(share[1]) - math.log(share[0])
             post[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    rows = [(features(kind, votes, cell), post[kind, votes], n) for kind, votes, cell, n in cells]
+    return _logistic([(features(kind, votes, cell), post[kind, votes], kind, n) for kind, votes, cell, n in cells])
+
+
+def _logistic(rows: list[tuple[list[str], float, int, int]]) -> dict[str, float]:
+    """Ridge weights by Newton's method; each kind weighs alike, so that a rare one is learnt as well."""
+    names = sorted({f for x, *_ in rows for f in x})
+    place = {f: i for i, f in enumerate(names)}
     held: dict[int, float] = defaultdict(float)
-    for kind, _, _, n in cells:
+    for _, _, kind, n in rows:
         held[kind] += n
-    # each kind weighs alike, so that a rare one is learnt as well
-    rows = [(names, y, n / held[kind] / len(held)) for (names, y, n), (kind, *_) in zip(rows, cells, strict=True)]
-    weights: dict[str, float] = defaultdict(float)
-    for _ in range(300):
-        slope: dict[str, float] = defaultdict(float)
-        for names, y, n in rows:
-            z = sum(weights[f] for f in names)
-            miss = y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            for f in names:
-                slope[f] += miss * n
-        for f, g in slope.items():
-            weights[f] += 2.0 * (g - 1e-4 * weights[f])
-    return dict(weights)
+    x, y, share = np.zeros((len(rows), len(names))), np.zeros(len(rows)), np.zeros(len(rows))
+    for i, (has, likely, kind, n) in enumerate(rows):
+        x[i, [place[f] for f in has]] = 1
+        y[i], share[i] = likely, 1000.0 * n / held[kind]
+    weights = np.zeros(len(names))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (share * (y - p)) - 0.1 * weights
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(names))
+        weights = weights + np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return dict(zip(names, weights.tolist(), strict=True))
 
 
 def features(kind: int, votes: str, cell: str) -> list[str]:
-    return [f"k{kind}", f"s{cell[0]}", f"b{cell[1]}", f"a{cell[2]}", *(f"v{i}{v}" for i, v in enumerate(votes) if v != "x")]
+    return [f"k{kind}", f"s{cell[0]}", f"b{cell[1]}", f"a{cell[2]}", *(f"{kind}v{i}{v}" for i, v in enumerate(votes) if v != "x")]
 
 
 def accepted(span: Column, weights: dict[str, float]) -> Column:
@@ -242,7 +288,7 @@ def accepted(span: Column, weights: dict[str, float]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
     names = [F.concat(F.lit("k"), span["kind"].cast("string"))]
     names += [F.concat(F.lit(p), F.substring(span["cell"], i + 1, 1)) for i, p in enumerate("sba")]
-    names += [F.concat(F.lit(f"v{i}"), F.substring(span["votes"], i + 1, 1)) for i in range(4)]
+    names += [F.concat(span["kind"].cast("string"), F.lit(f"v{i}"), F.substring(span["votes"], i + 1, 1)) for i in range(4)]
     score = sum((F.coalesce(F.try_element_at(table, x), F.lit(0.0)) for x in names), F.lit(0.0))
     return span["base"] | (score > 0)
 
@@ -255,14 +301,16 @@ def spans_text(spans: Column) -> Column:
 
 
 def report(found: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Per document: counts of base kinds, the digest of base spans, all spans."""
-    df = found.withColumn("base", F.filter("spans", lambda s: s["base"])).withColumn("all", F.filter("spans", lambda s: accepted(s, weights)))
+    """Per document: counts of base kinds, the digest of base spans, all spans and their number."""
+    df = found.select("row.doc_id", F.filter("spans", lambda s: s["base"]).alias("base"), F.filter("spans", lambda s: accepted(s, weights)).alias("all"))
     count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == F.lit(n))).cast("long").alias(f"n_{KINDS[n]}")
     return df.select(
         "doc_id",
         *[count(n) for n in range(4)],
         F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         spans_text(F.col("all")).alias("spans"),
+        F.size("all").cast("long").alias("n_spans"),
+        (F.size("all") > 0).alias("has_personal_data"),
     )
 
 
@@ -272,23 +320,45 @@ def find(docs: DataFrame) -> DataFrame:
     return report(found, train(found))
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text cut into blocks of ``_PIECE``: only the blocks
+    that hold them are read, so that many cuts of a long text take time in proportion to it."""
+    first = F.floor(start / F.lit(_PIECE)).cast("int")
+    some = F.slice(blocks, first + 1, (F.floor((end - 1) / F.lit(_PIECE)).cast("int") - first + 1))
+    return F.when(end > start, F.substring(F.array_join(some, ""), (start % F.lit(_PIECE) + 1).cast("int"), (end - start).cast("int"))).otherwise(F.lit(""))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with the union of ``spans`` replaced: overlapping ones are one, called after the
+    first of them (the longest of those that start there)."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    name = lambda k: F.element_at(F.array(*[F.lit(f"<{x.upper()}>") for x in KINDS]), k + 1)
+    zero = F.lit(0).cast("long")
+
+    def firsts(o: Column, reach: Column) -> Column:
+        """The first span of each run of overlapping ones, and how far all before it reach."""
+        each = F.transform(o, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.when(i > 0, F.get(reach, i - 1)).otherwise(zero).alias("past")))
+        return F.filter(each, lambda s, i: (i == 0) | (s["start"] >= s["past"]))
+
+    def joined(heads: Column, reach: Column, blocks: Column, whole: Column) -> Column:
+        parts = F.transform(heads, lambda s: F.concat(_between(blocks, s["past"], s["start"]), name(s["kind"])))
+        return F.concat(F.array_join(parts, ""), _between(blocks, F.element_at(reach, -1), F.length(whole).cast("long")))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    further = lambda a, x: F.greatest(a, x)
+    out = let(ordered, lambda o: let(let(F.transform(o, lambda s: -s["less"]), lambda e: _running(e, 0, further)), lambda r: let(firsts(o, r), lambda h: let(blocks, lambda b: joined(h, r, b, text)))))
+    return F.when(F.size(spans) > 0, out).otherwise(text)
+
+
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every accepted span replaced by its kind in angle brackets.
+    """``docs`` with the union of all accepted spans replaced by kinds in angle brackets.
 
-    Spans that overlap an earlier one give way to it. A null text stays null.
+    Overlapping spans are one, called after the first; no code point of an accepted span stays.
+    Rows are read once and kept with their spans. A null text stays null; all columns stay,
+    whatever their names.
     """
     names = docs.columns
-    weights = train(candidates(docs, []))
-    df = candidates(docs, names).withColumn("__all", F.filter("spans", lambda s: accepted(s, weights)))
-    ordered = F.sort_array(F.transform("__all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    df = df.withColumn("__o", ordered)
-    zero = F.lit(0).cast("long")
-    past = lambda o, i: F.aggregate(F.slice("__o", F.greatest(i - F.lit(_BLOCK) + 1, F.lit(1)), F.least(i, F.lit(_BLOCK))), zero, lambda a, s: F.greatest(a, -s["less"]))
-    free = F.filter("__o", lambda s, i: s["start"] >= F.when(i > 0, past(s, i)).otherwise(zero))
-    df = df.withColumn("__f", F.when(F.size("__o") > 0, free).otherwise(F.slice("__o", 1, 0)))
-    name = lambda k: F.element_at(F.array(*[F.lit(f"<{x.upper()}>") for x in KINDS]), k + 1)
-    left = lambda i: F.coalesce(-F.get("__f", i - 1)["less"], zero)
-    part = lambda s, i: F.concat(F.substring(F.col("text"), (F.when(i > 0, left(i)).otherwise(zero) + 1).cast("int"), (s["start"] - F.when(i > 0, left(i)).otherwise(zero)).cast("int")), name(s["kind"]))
-    tail = F.substring(F.col("text"), (-F.try_element_at("__f", F.lit(-1))["less"] + 1).cast("int"), F.length("text"))
-    text = F.when(F.size("__f") > 0, F.concat(F.array_join(F.transform("__f", part), ""), tail)).otherwise(F.col("text"))
-    return df.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in names])
+    found = keep(candidates(docs, names), "pii-rows")
+    weights = train(found)
+    own = found.select("row", F.filter("spans", lambda s: accepted(s, weights)).alias("all"))
+    return own.select(*unpacked(names, text=masked(F.col("row.text"), F.col("all"))))
