@@ -20,7 +20,7 @@ def op2_search_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = keep(quality.measures(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "op3-measures")
+    measured = quality.measures(table(spark, sf_dir, "documents"), ["doc_id", "lang"])
     return quality.judge(measured, quality.references(measured)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
     )
