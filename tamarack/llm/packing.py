@@ -12,8 +12,9 @@ Texts are encoded once: what the cut needs (tails' ids, two bytes each where the
 to shared storage before the sort, so neither the sampling of ranges nor a lost executor
 encodes again.
 
-Defined cases: a null text is an empty one, whose only id is the closing one; equal rows are
-packed each for itself; an empty table gives no piece; other columns are ignored.
+Defined cases: a null text is an empty one, whose only id is the closing one; a text of any
+length is cut whole; equal rows are packed each for itself; an empty table gives no piece;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,40 +23,49 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
-from .tokens import CALL_BYTES, FILE, _calls, remembered
+from .shingles import slices
+from .tokens import FILE, encoder
 
 WINDOW = 1024
 CLOSE = 0
 DIMS, BITS = 3, 16
 HASHED = 64
 SEED = 7
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
 
-CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids binary"
+CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, width int, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def crcs(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Checksum of each stretch of ``ids`` as little-endian unsigned 32-bit integers."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), np.int64, len(begins))
 
 
 def directions() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((HASHED, DIMS))
 
 
-def vectors(each: list[np.ndarray]) -> np.ndarray:
-    """One unit vector of hashed counts a document."""
-    n = np.array([len(x) for x in each])
-    ids = np.concatenate(each).astype(np.uint64)
-    mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    slot = (mixed >> np.uint64(58)).astype(np.int64) % HASHED
-    sign = 1.0 - 2.0 * ((mixed >> np.uint64(33)) & np.uint64(1)).astype(np.float64)
-    out = np.bincount(np.repeat(np.arange(len(each)), n) * HASHED + slot, sign, len(each) * HASHED).reshape(len(each), HASHED)
+def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(58)).astype(np.int64) % HASHED, 1.0 - 2.0 * ((mixed >> np.uint64(33)) & np.uint64(1)).astype(np.float64)
+
+
+_SLOT, _SIGN = _slots(np.arange(1 << 16))
+
+
+def vectors(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One unit vector of hashed counts a document, from the documents' ids end to end."""
+    slot, sign = (_SLOT[ids], _SIGN[ids]) if not len(ids) or ids.max() < len(_SLOT) else _slots(ids)
+    out = np.bincount(np.repeat(np.arange(len(n)) * HASHED, n) + slot, sign, len(n) * HASHED).reshape(len(n), HASHED)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -90,83 +100,114 @@ def hilbert(points: np.ndarray) -> np.ndarray:
     return key
 
 
-def places(each: list[np.ndarray]) -> np.ndarray:
-    flat = vectors(each) @ directions()
+def places(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    flat = vectors(ids, n) @ directions()
     return hilbert(1 / (1 + np.exp(-1.7 * flat)))
 
 
+def _closed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the closing id after each document."""
+    out = np.empty(len(ids) + len(n), np.uint32)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(n + 1) - 1] = False
+    out[own], out[~own] = ids, CLOSE
+    return out, n + 1
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in schema.split(", ")])
+
+
 def cut(docs: DataFrame, name: str = FILE, window: int = WINDOW) -> DataFrame:
     """Full pieces (without ids) and tails (with theirs) of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = remembered(name, "ids", lambda ids: np.array(ids, "<u4").tobytes())
-        closing = np.array([CLOSE], "<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(name)
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
-            at = 0
-            for call in _calls(texts, CALL_BYTES):
-                each = [np.frombuffer(b"".join(x) + closing, "<u4") for x in look(call)]
-                out = []
-                for doc, got, place in zip(ids[at : at + len(call)], each, places(each).tolist(), strict=True):
-                    n = len(got)
-                    for start in range(0, n, window):
-                        piece = got[start : start + window]
-                        short = piece.astype("<u2") if len(piece) < window and piece.max() < 65536 else piece
-                        tail = None if len(piece) == window else bytes([short.itemsize]) + short.tobytes()
-                        out.append((doc, start, len(piece), crc(piece), n, place, tail))
-                at += len(call)
-                frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place", "ids"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, CUT)
+            for at, data, offsets in slices(batch.column(1), SLICE):
+                ids, n = _closed(*enc.ids(data, offsets))
+                doc_id, place = batch.column(0).slice(at, len(n)), places(ids, n)
+                ends = np.cumsum(n)
+                parts = -(-n // window)
+                doc = np.repeat(np.arange(len(n)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+                begin = (ends - n)[doc] + start
+                end = np.minimum(begin + window, ends[doc])
+                long, sums = end - begin, crcs(ids, begin, end)
+                for some in (long == window, long < window):
+                    d = doc[some]
+                    if not len(d):
+                        continue
+                    tail = long[some][0] < window
+                    width = np.full(len(d), enc.dtype.itemsize if tail else 0, np.int32)
+                    yield _batch(CUT, [doc_id.take(pa.array(d)), start[some], long[some], sums[some], n[d], place[d], width, _tails(ids, begin[some], end[some], enc.dtype) if tail else pa.nulls(len(d), pa.binary())])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, CUT)
+
+
+def _tails(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, dtype: np.dtype) -> pa.Array:
+    n = end - begin
+    flat = ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(dtype)
+    where = np.concatenate(([0], np.cumsum(n) * dtype.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(where), pa.py_buffer(flat)])
+
+
+class _Run:
+    """Tails laid end to end: ``doc_id, start, doc_tokens, length`` a tail, and all ids."""
+
+    def __init__(self, doc_id: pa.Array, start: np.ndarray, doc_tokens: np.ndarray, length: np.ndarray, ids: np.ndarray):
+        self.doc_id, self.start, self.doc_tokens, self.length, self.ids = doc_id, start, doc_tokens, length, ids
+
+    def then(self, other: _Run) -> _Run:
+        both = lambda name: np.concatenate((getattr(self, name), getattr(other, name)))
+        return _Run(pa.concat_arrays([self.doc_id, other.doc_id]), both("start"), both("doc_tokens"), both("length"), both("ids"))
+
+    def after(self, at: int) -> _Run:
+        """What is left from the ``at``-th id on."""
+        ends = np.cumsum(self.length)
+        first = int(np.searchsorted(ends, at, "right"))
+        gone = max(0, at - int((ends - self.length)[first])) if first < len(ends) else 0
+        start, length = self.start[first:].copy(), self.length[first:].copy()
+        start[:1] += gone
+        length[:1] -= gone
+        return _Run(self.doc_id.slice(first), start, self.doc_tokens[first:], length, self.ids[at:])
+
+    def pieces(self, sizes: np.ndarray, first: int) -> pa.RecordBatch:
+        """The pieces of sequences of ``sizes`` ids from the beginning on, numbered from ``first``."""
+        ends = np.cumsum(sizes)
+        stop = int(ends[-1])
+        begins = np.cumsum(self.length) - self.length
+        at = np.union1d(begins[begins < stop], ends - sizes)
+        long = np.append(at[1:], stop) - at
+        row, seq = np.searchsorted(begins, at, "right") - 1, np.searchsorted(ends, at, "right")
+        sums = crcs(self.ids, at, at + long)
+        own = [self.doc_id.take(pa.array(row)), self.start[row] + at - begins[row], long, sums, self.doc_tokens[row]]
+        return _batch(PIECE, [*own, 2 * (first + seq) + 1, at - (ends - sizes)[seq]])
 
 
 def pack_tails(tails: DataFrame, window: int = WINDOW) -> DataFrame:
     """Lay range-sorted tails end to end in every task and cut them into sequences."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = TaskContext.get().partitionId() << 34
-        made, held, filled, room = 0, [], 0, window
-
-        def close(rows: list, sizes: list[int]) -> list:
-            """The pieces of ``rows`` (doc, start, ids, doc_tokens), cut at ``sizes``."""
-            nonlocal made
-            out, size, offset = [], sizes.pop(0), 0
-            for doc, start, ids, n in rows:
-                while len(ids):
-                    part = ids[: size - offset]
-                    out.append((doc, start, len(part), crc(part), n, 2 * (base + made) + 1, offset))
-                    ids, start, offset = ids[len(part) :], start + len(part), offset + len(part)
-                    if offset == size:
-                        made, offset = made + 1, 0
-                        size = sizes.pop(0) if sizes else 0
-            return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = TaskContext.get().partitionId() << 34, None
         for batch in batches:
-            out = []
-            for doc, start, n, raw in zip(batch["doc_id"], batch["start"], batch["doc_tokens"], batch["ids"], strict=True):
-                ids = np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
-                while len(ids):
-                    part = ids[:room]
-                    held.append((None if doc is None or pd.isna(doc) else int(doc), start, part, n))
-                    ids, start, room = ids[len(part) :], start + len(part), room - len(part)
-                    if not room:
-                        out += close(held, [window])
-                        held, room = [], window
-            if out:
-                yield _pieces(out)
-        filled = window - room
-        if filled:
-            yield _pieces(close(held, [1 << b for b in range(window.bit_length(), -1, -1) if filled >> b & 1]))
-
-    return tails.select("doc_id", "start", "doc_tokens", "ids").mapInPandas(run, PIECE)
-
-
-def _pieces(rows: list) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECE.split(", ")])
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
-    return frame
+            if not batch.num_rows:
+                continue
+            doc_id, start, doc_tokens, width, raw = batch.columns
+            where = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + batch.num_rows + 1]
+            dtype = np.dtype(f"<u{width[0].as_py()}")
+            ids = np.frombuffer(raw.buffers()[2], np.uint8)[where[0] : where[-1]].view(dtype).astype(np.uint32)
+            new = _Run(doc_id, start.to_numpy(), doc_tokens.to_numpy(), np.diff(where).astype(np.int64) // dtype.itemsize, ids)
+            held = held.then(new) if held else new
+            full = len(held.ids) // window
+            if full:
+                yield held.pieces(np.full(full, window), made)
+                made, held = made + full, held.after(full * window)
+        if held and len(held.ids):
+            sizes = [1 << b for b in range(window.bit_length(), -1, -1) if len(held.ids) >> b & 1]
+            yield held.pieces(np.array(sizes), made)
+
+    return tails.select("doc_id", "start", "doc_tokens", "width", "ids").mapInArrow(run, PIECE)
 
 
 def pack(docs: DataFrame, name: str = FILE, window: int = WINDOW) -> DataFrame:
@@ -176,6 +217,6 @@ def pack(docs: DataFrame, name: str = FILE, window: int = WINDOW) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    tails = made.where("ids is not null").select("doc_id", "start", "doc_tokens", "place", "ids")
+    tails = made.where("ids is not null").select("doc_id", "start", "doc_tokens", "place", "width", "ids")
     tails = tails.repartitionByRange("place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start", "doc_tokens")
     return full.unionByName(pack_tails(tails, window))

@@ -3,7 +3,8 @@
 Words are runs of anything but the six ASCII white-space characters, A-Z lower-cased. A set
 holds the distinct shingles of ``size`` words; a text with fewer words has one shingle, its
 whole sequence; a text without words has none. Hashes are polynomial over random byte codes,
-then mixed; two different shingles agree with probability 2**-64.
+then mixed; two different shingles agree with probability 2**-64. Bytes are hashed in chunks of
+``CHUNK``, however long a text is.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = CHUNK = 256 << 10
 _RANDOM = np.random.default_rng(20)
 _CODES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_PLAIN = _CODES.copy()
 for _c in range(65, 91):
     _CODES[_c] = _CODES[_c + 32]
 _SPACE = np.zeros(256, bool)
@@ -25,10 +27,21 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(CHUNK + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
+#: Powers for one chunk, made once a worker.
+_POWER, _BACK = _powers(_P), _powers(_P_INV)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -50,6 +63,31 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
 SEARCH_SPACE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of ordered stretches of ``data`` that don't overlap, chunk by chunk."""
+    codes = _PLAIN if codes is None else codes
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + CHUNK, "right"))
+        if to <= at:  # a stretch longer than a chunk
+            total = 0
+            for k in range(base, int(ends[at]), CHUNK):
+                part = codes[data[k : min(k + CHUNK, int(ends[at]))]]
+                total += int((part * _POWER[: len(part)]).sum(dtype=np.uint64)) * pow(int(_P), k - base, 1 << 64)
+            out[at] = total % (1 << 64)
+            at += 1
+            continue
+        s, e = starts[at:to] - base, ends[at:to] - base
+        total = np.zeros(int(e[-1]) + 1, np.uint64)
+        np.multiply(codes[data[base : base + int(e[-1])]], _POWER[: int(e[-1])], out=total[1:])
+        np.cumsum(total, out=total)
+        out[at:to] = (total[e] - total[s]) * _BACK[s]
+        at = to
+    return mix(out)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word."""
     n = len(data)
@@ -60,18 +98,10 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     first[1:] &= ~word[:-1]
     begins = offsets[:-1][offsets[:-1] < n]
     first[begins] = word[begins]
-    last = word.copy()
-    last[:-1] &= first[1:] | ~word[1:]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power = np.full(n, _P, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[data] * power, out=total[1:])
-    back = np.full(n, _P_INV, np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    return mix((total[end] - total[start]) * back[start]), np.searchsorted(offsets, start, "right") - 1
+    start = np.flatnonzero(first)
+    first[:-1] = word[:-1] & (first[1:] | ~word[1:])
+    first[-1] = word[-1]
+    return piece_hashes(data, start, np.flatnonzero(first) + 1, _CODES), np.searchsorted(offsets, start, "right") - 1
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +127,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     out[is_long] = long
     for r in short:
         own = w[at[r] : at[r + 1]]
-        out[to[r]] = mix((own * _PLACE[8 : 8 + len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)))
+        out[to[r]] = mix((own * _PLACE[8 : 8 + len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
     for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True):
         if b - a > 1:
             out[a:b].sort()

@@ -1,36 +1,51 @@
 """Token counts and token ids by a public tokenizer, in Arrow functions.
 
-A text is cut at safe boundaries: right before a space or newline that follows anything but
-white space. A byte-level BPE never joins what such a cut parts, and no added token holds white
-space, so the pieces' ids, put together, are the ids of the whole text. Pieces repeat a lot;
-each worker encodes a piece once and remembers it (at most ``MEMO`` pieces), and unseen
-pieces go to the library in calls of at most ``CALL_BYTES`` bytes. Only counts leave the
-function, never ids or texts.
-
-Defined cases: a null text is an empty one (0 bytes, 0 tokens); text without white space is
-one piece, however long; other columns and repeated rows pass through unchanged.
+Texts are read as bytes in windows of about ``WINDOW_BYTES``, so that work is dealt by bytes
+however long the texts are. A window ends at a safe boundary: right before a space or newline
+that follows anything but white space. A byte-level BPE never joins what such a cut parts, and
+no added token holds white space, so the ids of the pieces between all safe boundaries, put
+together, are the ids of the whole text. Pieces repeat a lot: those of up to ``SHORT`` bytes
+are known by a 64-bit hash, encoded once and remembered (``MEMO_BYTES`` a worker at most);
+unseen and longer ones go to the library in calls of at most ``CALL_BYTES`` bytes. Only counts
+leave the counting function, never ids or texts.
+
+Defined cases: a null text is an empty one (0 bytes, 0 tokens); text without safe boundary is
+one piece, however long; other columns, whatever their names, and repeated rows change nothing.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import CHUNK, piece_hashes, slices
+
 FILE = "byte_bpe_50k.json"
 LIMIT = 1024
-MEMO = 1_000_000
+WINDOW_BYTES = CHUNK
+SHORT = 64
+MEMO_BYTES = 48 << 20
 CALL_BYTES = 1 << 20
 
 #: Tokenizers whose pieces split before a space; for the others the whole text is a piece.
 _SPLITS = {"byte_bpe_50k.json"}
-_loaded: dict[tuple, tuple] = {}
-_ODD = re.compile(r"[\s\x1c-\x1f][ \n]")
-_ODD_END = re.compile(r"[\s\x1c-\x1f]\Z")
+_loaded: dict[str, Encoder] = {}
+_BREAK = np.zeros(256, bool)
+_BREAK[[10, 32]] = True
+#: White space of one byte, as the tokenizers' expressions and Unicode have it.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Last bytes of white space of two bytes (after C2), and of three after E2 80.
+_WHITE_2 = np.zeros(256, bool)
+_WHITE_2[[0x85, 0xA0]] = True
+_WHITE_3 = np.zeros(256, bool)
+_WHITE_3[[*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]] = True
 
 
 def path(name: str) -> str:
@@ -39,36 +54,21 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str) -> list[str]:
-    """``text`` cut before each space or newline that follows anything but white space."""
-    if "\0" in text:
-        return [text]
-    parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    if not _ODD.search(text):
-        return parts if parts[0] else parts[1:]
-    out: list[str] = []
-    for part in parts:
-        if out and (not out[-1] or _ODD_END.search(out[-1])):
-            out[-1] += part
-        else:
-            out.append(part)
-    return out
-
-
-def _calls(items: Iterable[str], most: int) -> Iterator[list[str]]:
-    """Lists of ``items`` of about ``most`` bytes each; a longer item goes alone."""
-    call, held = [], 0
-    for x in items:
-        if call and held + len(x) > most:
-            yield call
-            call, held = [], 0
-        call.append(x)
-        held += len(x)
-    if call:
-        yield call
-
-
-def encoder(name: str):
+def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start: each text that isn't empty, and each safe boundary inside one."""
+    found = []
+    for at in range(0, len(data), WINDOW_BYTES):
+        found.append(np.flatnonzero(_BREAK[data[at : at + WINDOW_BYTES]]) + at)
+    p = np.concatenate(found) if found else np.zeros(0, np.int64)
+    p = p[p > 0]
+    one, two, three = data[p - 1], data[np.maximum(p - 2, 0)], data[np.maximum(p - 3, 0)]
+    white = _WHITE[one] | ((two == 0xC2) & _WHITE_2[one]) | ((three == 0xE2) & (two == 0x80) & _WHITE_3[one])
+    white |= ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE2) & (two == 0x81) & (one == 0x9F)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    return np.union1d(p[~white], begins)
+
+
+def _library(name: str):
     """``encode(list of str) -> list of id lists`` of the library for the file ``name``."""
     if name.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,54 +77,115 @@ def encoder(name: str):
         tok = Tokenizer.from_file(path(name))
         tok.no_truncation()
         tok.no_padding()
-        return lambda xs: [e.ids for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
+        return (lambda xs: [e.ids for e in tok.encode_batch_fast(xs, add_special_tokens=False)]), tok.get_vocab_size()
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path(name))
-    return lambda xs: model.encode(xs, num_threads=1)
-
-
-def remembered(name: str, kind: str, value):
-    """``look(texts) -> per text the list of value(ids) of its pieces``, a piece encoded once.
-
-    The memory lives as long as the worker and holds ``MEMO`` pieces at most.
-    """
-    if (name, kind) not in _loaded:
-        _loaded[name, kind] = (encoder(name), {})
-    encode, memo = _loaded[name, kind]
-    cut = pieces if name in _SPLITS else lambda text: [text]
-
-    def look(texts: list[str]) -> list[list]:
-        split = [cut(t) if t else [] for t in texts]
-        new = set().union(*split).difference(memo)
-        once: dict = {}
-        for call in _calls(new, CALL_BYTES):
-            into = memo if len(memo) < MEMO else once
-            into.update(zip(call, map(value, encode(call)), strict=True))
-        if not once:
-            return [list(map(memo.__getitem__, s)) for s in split]
-        return [[memo[p] if p in memo else once[p] for p in s] for s in split]
-
-    return look
-
-
-def counter(name: str = FILE):
-    """``count(texts) -> list of int``."""
-    look = remembered(name, "count", len)
-    return lambda texts: [sum(x) for x in look(texts)]
+    return (lambda xs: model.encode(xs, num_threads=1)), model.get_piece_size()
+
+
+class Encoder:
+    """Ids of texts given as bytes and offsets; remembers short pieces."""
+
+    def __init__(self, name: str):
+        self.encode, vocabulary = _library(name)
+        self.splits = name in _SPLITS
+        #: Ids as they are stored: two bytes each where they fit.
+        self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.pool, self.begin, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pieces, self.used = 0, 0
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode the pieces, in calls by bytes, into the pool; their places there."""
+        first = self.pieces
+        at = 0
+        while at < len(starts):
+            size = np.cumsum(ends[at:] - starts[at:])
+            to = at + max(1, int(np.searchsorted(size, CALL_BYTES, "right")))
+            got = self.encode([data[s:e].tobytes().decode() for s, e in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)])
+            n = np.array([len(x) for x in got], np.int64)
+            flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            while self.pieces + len(n) > len(self.begin):
+                self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.begin[self.pieces : self.pieces + len(n)] = self.used + np.cumsum(n) - n
+            self.count[self.pieces : self.pieces + len(n)] = n
+            self.pieces, self.used, at = self.pieces + len(n), self.used + len(flat), to
+        return np.arange(first, self.pieces)
+
+    def windows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(starts of pieces, their places in the pool)``, window by window, in order.
+
+        What is in the pool counts until the next window.
+        """
+        starts = boundaries(data, offsets) if self.splits else offsets[:-1][np.diff(offsets) > 0]
+        ends = np.append(starts[1:], len(data))
+        at = 0
+        while at < len(starts):
+            if self.pieces * 120 + self.used * 4 > MEMO_BYTES:
+                self._forget()
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + WINDOW_BYTES, "right")))
+            s, e = starts[at:to], ends[at:to]
+            where = np.empty(to - at, np.int64)
+            short = (e - s <= SHORT) if self.splits else np.zeros(to - at, bool)
+            if short.any():
+                code, names = pd.factorize(piece_hashes(data, s[short], e[short]))
+                held = np.array([self.place.get(x, -1) for x in names.tolist()], np.int64)
+                new = np.flatnonzero(held < 0)
+                if len(new):
+                    first = np.empty(len(names), np.int64)
+                    first[code[::-1]] = np.flatnonzero(short)[::-1]
+                    held[new] = self._add(data, s[first[new]], e[first[new]])
+                    self.place.update(zip(names[new].tolist(), held[new].tolist(), strict=True))
+                where[short] = held[code]
+            if not short.all():
+                where[~short] = self._add(data, s[~short], e[~short])
+            yield s, where
+            at = to
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(offsets) - 1, np.int64)
+        for starts, where in self.windows(data, offsets):
+            row = np.searchsorted(offsets, starts, "right") - 1
+            first = int(row[0])
+            n = np.bincount(row - first, self.count[where])
+            out[first : first + len(n)] += n.astype(np.int64)
+        return out
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids end to end, and how many each has."""
+        flat, out = [], np.zeros(len(offsets) - 1, np.int64)
+        for starts, where in self.windows(data, offsets):
+            row = np.searchsorted(offsets, starts, "right") - 1
+            first, n = int(row[0]), self.count[where]
+            per = np.bincount(row - first, n)
+            out[first : first + len(per)] += per.astype(np.int64)
+            flat.append(self.pool[np.repeat(self.begin[where] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), out
+
+
+def encoder(name: str = FILE) -> Encoder:
+    """The worker's encoder, loaded once."""
+    if name not in _loaded:
+        _loaded[name] = Encoder(name)
+    return _loaded[name]
 
 
 def n_tokens(text: Column, name: str = FILE) -> Column:
     """Number of tokens of ``text`` as an Arrow function of lengths."""
 
-    @F.pandas_udf("long")
-    def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(name)
+    @F.arrow_udf("long")
+    def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = encoder(name).counts
         for batch in batches:
-            out: list[int] = []
-            for call in _calls(batch.tolist(), 4 * CALL_BYTES):
-                out += count(call)
-            yield pd.Series(out, index=batch.index, dtype="int64")
+            found = [count(data, offsets) for _, data, offsets in slices(batch, 8 * WINDOW_BYTES)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
 
     return lengths(F.coalesce(text, F.lit("")))
 

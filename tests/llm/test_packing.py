@@ -6,7 +6,7 @@ from tamarack.llm import packing, tokens
 
 
 def check(docs, rows, window=1024):
-    encode = tokens.encoder(tokens.FILE)
+    encode = tokens._library(tokens.FILE)[0]
     want = sorted([(r["doc_id"], encode([r["text"] or ""])[0] + [0]) for r in docs.collect()], key=repr)
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
