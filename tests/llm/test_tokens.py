@@ -9,8 +9,10 @@ ENCODE = tokens._library(tokens.FILE)[0]
 ODD = st.text(st.sampled_from(list(" \n\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f　ab1.'<|>\0é😀")))
 
 
-def check(texts):
-    enc = tokens.Encoder(tokens.FILE)
+ENCODER = tokens.Encoder(tokens.FILE)
+
+
+def check(texts, enc=ENCODER):
     ids, counts = [], []
     for _, data, offsets in shingles.slices(pa.array(texts, pa.string()), 64):
         flat, n = enc.ids(data, offsets)
@@ -28,10 +30,10 @@ def test_pieces_give_the_ids_of_the_whole(texts):
 
 @pytest.mark.parametrize("window", [1, 7, 100])
 def test_any_window_and_memory(monkeypatch, window):
-    """Windows of a few bytes, calls of one piece, and a memory that is forgotten all the time."""
-    for name, value in (("WINDOW_BYTES", window), ("CALL_BYTES", 1), ("MEMO_BYTES", 500)):
+    """Windows of a few bytes, calls of one piece, and a memory that is soon full."""
+    for name, value in (("WINDOW_BYTES", window), ("CALL_BYTES", 1), ("JOIN", 20), ("MEMO_BYTES", 500)):
         monkeypatch.setattr(tokens, name, value)
-    check(["", "the cat of the house <|endoftext|> the cat\n\nof  a tree", "x" * 300 + " y", "", "\u2003 a b", "ü" * 90 + " the cat"])
+    check(["", "the cat of the house <|endoftext|> the cat\n\nof  a tree", "x" * 300 + " y", "", "\u2003 a b", "ü" * 90 + " the cat"], tokens.Encoder(tokens.FILE))
 
 
 def test_hashes_of_long_stretches(monkeypatch):
