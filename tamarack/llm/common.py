@@ -72,12 +72,27 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tamarack-{tag}-{uuid.uuid4().hex}"
     _scopes[-1].append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
 
 
+#: Spark's own setting: a job's shuffle files go when its query ends, not when the driver collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -120,6 +135,28 @@ def _leave() -> None:
             _delete(spark, path)
 
 
+#: A table of so many rows (of two numbers) at most is broadcast by ``looked_up``.
+LOOKUP_ROWS = 200_000
+#: Keys with more rows than this may be hot.
+HOT_ROWS = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row a ``key``), whatever share of ``rows`` one key has.
+
+    A counted small table is broadcast. Else keys with more than ``HOT_ROWS`` rows, and more
+    than one in ``BROADCAST_ROWS`` of all, are joined by a broadcast (there can be no more than
+    ``BROADCAST_ROWS`` of them), and the others by a shuffle.
+    """
+    if table.count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    least = max(HOT_ROWS, rows.count() // BROADCAST_ROWS)
+    hot = rows.groupBy(key).count().where(F.col("count") > least).select(key)
+    hot = keep(hot.join(table, key, "left"), "hot-keys")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left")
+    return others.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def guarded(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only while ``rows`` (a counted size) stays under the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -1,9 +1,15 @@
 """Connected components of a table of links, by contraction.
 
 Each round maps every component to the least of itself and its neighbours, relabels the
-links, drops those inside a component and repeats. Links at least halve in number of
-components a round. Once ``FEW`` links or fewer are left (a counted bound), one task joins
-what they still connect.
+links, drops those inside a component and repeats. A round leaves at least the components
+that are least among their neighbours; every other one moves, so a chain shrinks by the
+length of its falling runs and a star at once, or in two rounds if its centre is not its
+least node. Once ``FEW`` links or fewer are left (a counted bound), one task joins what they
+still connect. Hot labels are looked up by broadcasts, so a component of any size spreads
+over tasks.
+
+Defined cases: links from a node to itself and links with a null end are ignored; repeated
+links count once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, looked_up
 
 FEW = 20_000
 
@@ -38,10 +44,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def label(links: DataFrame) -> DataFrame:
-    """``node, label`` for every node of ``links`` (``a, b``): label is its component's least node.
-
-    Links from a node to itself are ignored; an empty table gives an empty result.
-    """
+    """``node, label`` for every node of ``links`` (``a, b``): label is its component's least node."""
     edges = keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
     while n := edges.count():
@@ -50,11 +53,10 @@ def label(links: DataFrame) -> DataFrame:
         else:
             to = edges.select(F.col("b").alias("c"), F.col("a").alias("m")).groupBy("c").agg(F.min("m").alias("m"))
         to = keep(to, "cc-map")  # every component with a lesser one moves there
-        labels = labels.join(to, F.col("label") == F.col("c"), "left").select("node", F.coalesce("m", "label").alias("label"))
+        moved = lambda rows, at: looked_up(rows, to.withColumnsRenamed({"c": at, "m": "__to"}), at).withColumn(at, F.coalesce("__to", at)).drop("__to")  # noqa: B023, E731
+        labels = moved(labels, "label").select("node", "label")
         if n <= FEW:
             break
-        left = edges.join(to, F.col("a") == F.col("c"), "left").select(F.coalesce("m", "a").alias("a"), "b")
-        left = left.join(to, F.col("b") == F.col("c"), "left").select("a", F.coalesce("m", "b").alias("b"))
-        left = left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = keep(left, "cc-links")
+        left = moved(moved(edges, "a"), "b")
+        edges = keep(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
     return keep(labels, "cc-labels")

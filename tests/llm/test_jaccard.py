@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 from tamarack.llm import jaccard_join as join
-from tamarack.llm import shingles
+from tamarack.llm import common, shingles
 
 
 def shingle_set(text, size=4):
@@ -56,7 +56,8 @@ def chain(n, words, edits, rng):
     return out
 
 
-def test_chains_shared_passages_and_small_sets(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [0, 1])
+def test_chains_shared_passages_and_small_sets(spark, monkeypatch, levels):
     rng = random.Random(3)
     texts = []
     for words, edits in ((9, 1), (16, 1), (60, 1), (60, 2), (150, 3), (150, 6), (700, 12)):
@@ -66,11 +67,38 @@ def test_chains_shared_passages_and_small_sets(spark, monkeypatch):
     texts += ["", None, "a", "A", "a b", "a b c", "a b c d", "A b c D", "x " * 500]
     rng.shuffle(texts)
     docs = list(enumerate(texts))
-    monkeypatch.setattr(join, "DIRECT", 2)  # so that blocks are compared
-    monkeypatch.setattr(join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(join, "DIRECT", 4)  # so that blocks are compared
+    monkeypatch.setattr(join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(join, "LEVELS", levels)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 10)  # so that hot keys are joined apart
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_a_passage_of_unlinked_documents_gives_few_pairs(spark, monkeypatch):
+    """Two thousand documents share a passage and nothing else: hardly any two are compared."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, passage + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 60)))) for i in range(2000)]
+    compared, blocks = [], []
+    verified, blockwise = join.verified, join.blockwise
+
+    def counted(docs, pairs, *rest):
+        compared.append(pairs.count())
+        return verified(docs, pairs, *rest)
+
+    def counted_blocks(docs, rows, *rest):
+        blocks.append(rows.count())
+        return blockwise(docs, rows, *rest)
+
+    monkeypatch.setattr(join, "verified", counted)
+    monkeypatch.setattr(join, "blockwise", counted_blocks)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(df) == brute(docs)
+    print(compared, blocks)
+    assert sum(compared) < len(docs) ** 2 / 20
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = {r["doc_id"]: r for r in join.link(odd_docs).collect()}
     assert rows[1]["component_id"] == 1 and rows[1]["n_shingles"] == 0
@@ -84,6 +112,9 @@ def test_keep_first_keeps_one_of_each_group(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(3, base), (1, base + " x"), (2, "other text here now"), (4, None)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in join.keep_first(docs).collect()) == [1, 2, 4]
+    clashing = docs.unionAll(docs).selectExpr("*", "1 as label", "2 as n", "3 as `a.b`", "4 as __id", "5 as component_id")
+    out = join.keep_first(clashing)
+    assert out.columns == clashing.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4]
 
 
 def test_linked_sets_share_a_signature():
@@ -103,6 +134,9 @@ def test_linked_sets_share_a_signature():
         a, _ = join.signatures(own, np.array([len(own)]), bands)
         b, _ = join.signatures(other, np.array([len(other)]), bands)
         assert len(np.intersect1d(a, b)), (n, drop, add)
+        a, _ = join.signatures(own, np.array([len(own)]), bands, 1)
+        b, _ = join.signatures(other, np.array([len(other)]), bands, 1)
+        assert len(np.intersect1d(a, b)), (n, drop, add)
 
 
 def test_shingle_hashes_tell_words_apart():
