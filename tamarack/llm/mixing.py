@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import guarded, keep, word_count
+from .common import guarded, keep, packed, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS,
     sizes = keep(measured(docs, seed), "mix-sizes")
     per = keep(plan(sizes, weights, budget, max_epochs), "mix-plan")
     got = docs.select(
-        F.struct(*names).alias("row"), _key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"), draw(seed).alias("draw")
+        packed(names), _key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"), draw(seed).alias("draw")
     )
     got = got.join(guarded(per, per.count()), "source_key").withColumn("part", _part())
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + (F.col("part") > 0).cast("long")).cast("int")
@@ -148,4 +148,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs=MAX_EPOCHS,
     words = F.split(bare, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     head = F.array_join(F.slice(words, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
     text = F.when(cut_short, head).otherwise(F.col("row.text"))
-    return got.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names])
+    return got.select(*unpacked(names, text=text))

@@ -14,7 +14,8 @@ Ids, sources, languages and labels are never inputs of a score.
 
 Defined cases: a null or empty text gets the score of a text without any known word; equal
 texts get equal scores; without usable labels every score is the smoothed base rate; an
-empty table gives an empty result; other columns are ignored, or kept by ``reject``.
+empty table gives an empty result; a text of any length is read whole; repeated rows count
+each; other columns are ignored, or kept by ``reject`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, keep
+from .common import guarded, keep, packed, unpacked
 
 FOLDS = 5
 TRAIN_ROWS = 20_000
-MAX_WORDS = 256
 MIN_SUPPORT = 5
 MIN_LIFT = 8.0
 #: The model's letters (0 is any boundary) and what signs may stand for.
@@ -226,7 +226,7 @@ class Finder:
             return look(spot)
         key = (look.__name__, spot)
         if key not in self.memo:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > 50_000:
                 self.memo.clear()
             self.memo[key] = look(spot)
         return self.memo[key]
@@ -298,8 +298,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     if not pos or not neg:
         return [], np.array([0.0, math.log((pos + 1) / (neg + 1))])
     lift = (F.col("pos") / pos) / ((F.col("neg") + 1) / (neg + 1))
-    top = counted.where((F.col("pos") >= max(MIN_SUPPORT, 0.01 * pos)) & (lift >= MIN_LIFT) & (F.length("w") > 2))
-    top = top.orderBy((F.col("pos") * F.log(lift)).desc(), "w").limit(MAX_WORDS).collect()
+    # at most the words that MIN_SUPPORT rows of the bounded sample share
+    top = counted.where((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LIFT) & (F.length("w") > 2))
+    top = top.orderBy((F.col("pos") * F.log(lift)).desc(), "w").collect()
     words = [r["w"] for r in top]
     seen = {}
     look = per.select("toxic", F.array_sort(F.array_intersect("w", F.array(*map(F.lit, words or [""])).cast("array<string>"))).alias("x"))
@@ -368,5 +369,5 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more; all columns stay."""
     score = score_column(*model(docs, labels))
     names = docs.columns
-    scored = docs.withColumn("__score", score(F.coalesce("text", F.lit(""))))
-    return scored.where("__score < 0.5").select(*[F.col(f"`{c}`") for c in names])
+    scored = docs.select(packed(names), score(F.coalesce("text", F.lit(""))).alias("score"))
+    return scored.where("score < 0.5").select(*unpacked(names))
