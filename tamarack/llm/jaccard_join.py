@@ -13,12 +13,10 @@ partner might agree there only.
 Signatures are range-sorted together with their sets, so a common one spreads over tasks.
 Neighbours in that order are compared exactly; components of the links found make most other
 pairs of a signature needless. Only pairs of a signature that lie in different components are
-then compared as well: one by one where they are few, else block of sets against block of
-sets, signature by signature, where a task holds two bounded blocks and gives only their
-links. A signature of more than a block (a passage that many documents share, alone in its
-part) is made longer first: its sets sign again under another cut of the domain, and since
-linked sets agree on a signature of any cut, only sets that agree on both need be compared.
-No link between different sets is lost, and signatures are never merged.
+then compared as well: one by one where they are few. The sets of the other signatures share
+many of them, so overlapping signatures are taken as one cluster, in which a pair is compared
+once: block of sets against block of sets, where a task holds two bounded blocks and gives
+only their links. No link between different sets is lost, and no signature gives all its pairs.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own
 component; equal sets are one node; rows that share a doc_id share what it links with; a row
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import discard, guarded, keep, looked_up, scratch
+from .common import discard, keep, looked_up, scratch
 from .shingles import mix, set_ids, sets, slices
 
 WORDS = 4
@@ -48,8 +46,6 @@ STEP = 1.5
 #: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
 DIRECT = 1 << 8
 BLOCK_SETS = 512
-#: Cuts of the domain under which sets of a signature with more than a block of them sign again.
-LEVELS = 1
 #: Buckets of a sketch, a byte each.
 SKETCH = 512
 #: Documents fetched by a broadcast of their ids (8 bytes each) at most; beyond, by a join.
@@ -83,12 +79,8 @@ class Bands:
         return 100 * sizes >= self.percent * self.first[band + 1]
 
 
-def signatures(elements: np.ndarray, counts: np.ndarray, bands: Bands, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets, end to end by set, and how many each has; every ``level`` cuts
-    the domain another way."""
-    if level:
-        elements = mix(elements ^ mix(np.array([level], np.uint64)))
-        elements = elements[np.lexsort((elements, np.repeat(np.arange(len(counts)), counts)))]  # parts are stretches
+def signatures(elements: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of the sets, end to end by set, and how many each has."""
     own = bands.of(np.maximum(counts, 1))
     both = bands.next_too(counts, own) & (counts > 0)
     a, na = _signed(elements, counts, own, bands)
@@ -157,7 +149,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def signed(docs: DataFrame, words: int, percent: int, sign: bool = True, level: int = 0) -> DataFrame:
+def signed(docs: DataFrame, words: int, percent: int, sign: bool = True) -> DataFrame:
     """Every document's set size, set id and, if asked for, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +158,7 @@ def signed(docs: DataFrame, words: int, percent: int, sign: bool = True, level:
             ids = batch.column(0)
             for at, data, offsets in slices(batch.column(1)):
                 elements, counts = sets(data, offsets, words)
-                sigs, n = signatures(elements, counts, bands, level) if sign else (elements[:0], np.zeros(len(counts), np.int64))
+                sigs, n = signatures(elements, counts, bands) if sign else (elements[:0], np.zeros(len(counts), np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(sigs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(counts)), pa.array(counts.astype(np.int64)), pa.array(set_ids(elements, counts)), lists],
@@ -323,41 +315,33 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
     return links
 
 
-def crossing(members: DataFrame, nodes: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """What neighbours don't settle: signatures whose sets lie in different components.
 
-    From ``sig, node, label``: pairs to compare, for signatures with up to ``DIRECT`` of them,
-    the rows of signatures to compare in blocks, and those of signatures to make longer.
+    Gives pairs to compare, for signatures with up to ``DIRECT`` of them, and the rows
+    (``node, label, n, cluster``) of the other signatures, overlapping ones as one cluster.
     """
-    per = members.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(
-        F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts")
+    m = looked_up(members.distinct(), labels, "node").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    m = keep(m, "join-labelled")
+    per = m.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min("node").alias("first")).groupBy("sig").agg(
+        F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"), F.min("first").alias("first")
     )
-    per = keep(per.where("parts > 1").select("sig", "g", ((F.col("g") * F.col("g") - F.col("within")) / 2).alias("pairs")), "join-open")
-    x = members.join(per.where(F.col("pairs") <= DIRECT).select("sig"), "sig").join(nodes.select("node", "n"), "node")
+    per = keep(per.where("parts > 1").select("sig", "first", ((F.col("g") * F.col("g") - F.col("within")) / 2).alias("pairs")), "join-open")
+    x = m.join(per.where(F.col("pairs") <= DIRECT).select("sig"), "sig").join(nodes.select("node", "n"), "node")
     y = x.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
     close = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("label") < F.col("lb"))
     pairs = x.join(y, "sig").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    common = per.where(F.col("pairs") > DIRECT).select("sig", (F.lit(not last) & (F.col("g") > BLOCK_SETS)).alias("long"))
-    rest = keep(members.join(guarded(common, common.count()), "sig"), "join-common")
-    some = rest.where("not long").drop("long").withColumnRenamed("sig", "cluster").join(nodes.select("node", "n", "doc_id"), "node")
-    return keep(pairs, "join-more"), keep(some, "join-clustered"), rest.where("long").drop("long")
-
-
-def longer(docs: DataFrame, members: DataFrame, nodes: DataFrame, words: int, percent: int, level: int) -> DataFrame:
-    """``members`` whose signatures are joined with those of another cut of the domain."""
-    own = keep(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "join-again")
-    ids = own.select("doc_id").distinct()
-    some = docs.join(F.broadcast(ids) if own.count() <= FETCH else ids, "doc_id", "left_semi")
-    again = signed(some, words, percent, level=level).select("node", F.explode("sigs").alias("also")).dropDuplicates()
-    made = members.join(again, "node").select(F.xxhash64("sig", "also").alias("sig"), "node", "label")
-    return keep(made.distinct(), "join-longer")
+    star = m.join(per.where(F.col("pairs") > DIRECT).select("sig", "first"), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    cluster = components.label(star)
+    rows = cluster.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").join(nodes.select("node", "n", "doc_id"), "node")
+    return keep(pairs, "join-more"), keep(rows.select("node", F.coalesce("label", "node").alias("label"), "n", "doc_id", "cluster"), "join-clustered")
 
 
 PAIR = ["cluster", "b1", "j1", "b2", "j2"]
 
 
 def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links across components inside each signature (``cluster, node, label, n, doc_id``), block of
+    """Links across components inside each cluster (``cluster, node, label, n, doc_id``), block of
     sets against block of sets.
 
     A block holds about ``BLOCK_SETS`` sets of one size class; only neighbouring classes can
@@ -399,7 +383,7 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
 
     links = keep(both.groupBy(*PAIR).applyInArrow(compare, "a long, b long"), "join-links")
     discard(got, rows)
-    return links.distinct()
+    return links
 
 
 def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -431,14 +415,9 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         pairs, members = neighbours(signed(docs, words, percent).select(F.explode("sigs").alias("sig"), "node"))
         links = verified(docs, pairs, nodes, words, percent)
         labels = components.label(links)
-        open_ = keep(looked_up(members.distinct(), labels, "node").select("sig", "node", F.coalesce("label", "node").alias("label")), "join-labelled")
-        for level in range(LEVELS + 1):
-            if level:
-                open_ = longer(docs, open_, nodes, words, percent, level)
-            more, some, open_ = crossing(open_, nodes, percent, level == LEVELS)
-            links = links.union(verified(docs, more.join(pairs, ["a", "b"], "left_anti"), nodes, words, percent)).union(blockwise(docs, some, words, percent))
-            if open_.isEmpty():
-                break
+        more, clustered = crossing(members, labels, nodes, percent)
+        more = more.join(pairs, ["a", "b"], "left_anti")
+        links = links.union(verified(docs, more, nodes, words, percent)).union(blockwise(docs, clustered, words, percent))
         return spare(keep(numbered(docs, made, nodes, links, words, percent), "join-linked"))
 
 
