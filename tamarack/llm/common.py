@@ -17,7 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session sets its own: workers hold a few of them.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_OWN = 64 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches to Python workers of at most ``BATCH_BYTES``, where the session keeps Spark's default."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(_SPARKS_OWN):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,6 +83,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     A lost executor then costs a re-read, never a recomputation of what lies before.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_root(spark)}/tamarack-{tag}-{uuid.uuid4().hex}"
     _scopes[-1].append((spark, path))
     with _tidy(spark):

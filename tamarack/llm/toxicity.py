@@ -33,7 +33,8 @@ from .common import guarded, keep, packed, unpacked
 
 FOLDS = 5
 TRAIN_ROWS = 20_000
-MIN_SUPPORT = 5
+#: A word is chosen from so many toxic rows on, and from this share of them: rare words of copied texts say nothing.
+MIN_SUPPORT, MIN_SHARE = 5, 0.01
 MIN_LIFT = 8.0
 #: The model's letters (0 is any boundary) and what signs may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçéèêëíìîïñóôöúùûüß"
@@ -226,7 +227,7 @@ class Finder:
             return look(spot)
         key = (look.__name__, spot)
         if key not in self.memo:
-            if len(self.memo) > 50_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             self.memo[key] = look(spot)
         return self.memo[key]
@@ -298,8 +299,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     if not pos or not neg:
         return [], np.array([0.0, math.log((pos + 1) / (neg + 1))])
     lift = (F.col("pos") / pos) / ((F.col("neg") + 1) / (neg + 1))
-    # at most the words that MIN_SUPPORT rows of the bounded sample share
-    top = counted.where((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LIFT) & (F.length("w") > 2))
+    top = counted.where((F.col("pos") >= max(MIN_SUPPORT, MIN_SHARE * pos)) & (lift >= MIN_LIFT) & (F.length("w") > 2))
     top = top.orderBy((F.col("pos") * F.log(lift)).desc(), "w").collect()
     words = [r["w"] for r in top]
     seen = {}
