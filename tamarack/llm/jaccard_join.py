@@ -45,7 +45,9 @@ ENUMERATE = 256
 STEP = 1.5
 #: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
 DIRECT = 1 << 8
-BLOCK_SETS = 512
+BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1 << 20
+#: Elements that more pairs of a block share are counted by matrices, the others pair by pair.
+DENSE = 256
 #: Buckets of a sketch, a byte each.
 SKETCH = 512
 #: Documents fetched by a broadcast of their ids (8 bytes each) at most; beyond, by a join.
@@ -344,7 +346,7 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     """Links across components inside each cluster (``cluster, node, label, n, doc_id``), block of
     sets against block of sets.
 
-    A block holds about ``BLOCK_SETS`` sets of one size class; only neighbouring classes can
+    A block holds about ``BLOCK_SETS`` sets or ``BLOCK_ELEMENTS`` elements of one size class; only neighbouring classes can
     link. A task sees two blocks and gives only their links.
     """
     spark = docs.sparkSession
@@ -352,7 +354,8 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
         return spark.createDataFrame([], "a long, b long")
     step = np.log(100 / percent)
     rows = rows.withColumn("b", F.floor(F.log(F.col("n")) / F.lit(float(step)) + 1e-9))
-    counts = rows.groupBy("cluster", "b").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)))
+    counts = rows.groupBy("cluster", "b").agg(blocks.alias("blocks"))
     rows = rows.join(counts, ["cluster", "b"]).withColumn("j", F.pmod(F.xxhash64("node"), F.col("blocks")))
     each = counts.select("cluster", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     one, two = each.toDF("cluster", "b1", "j1"), each.toDF("cluster", "b2", "j2")
@@ -391,19 +394,42 @@ def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     nx, ny = [len(s) for s in xs], [len(s) for s in ys]
     x, y = np.concatenate(xs), np.concatenate(ys)
     shared = np.intersect1d(x, y)
-    out = np.zeros((len(xs), len(ys)), np.int64)
-    rx, ry = np.repeat(np.arange(len(xs)), nx), np.repeat(np.arange(len(ys)), ny)
-    fx, fy = np.isin(x, shared), np.isin(y, shared)
-    px, py = np.searchsorted(shared, x[fx]), np.searchsorted(shared, y[fy])
-    for at in range(0, len(shared), 4096):
-        mx, my = np.zeros((len(xs), 4096), np.float32), np.zeros((len(ys), 4096), np.float32)
-        kx, ky = (px >= at) & (px < at + 4096), (py >= at) & (py < at + 4096)
-        mx[rx[fx][kx], px[kx] - at] = 1
-        my[ry[fy][ky], py[ky] - at] = 1
+    out = np.zeros(len(xs) * len(ys), np.int64)
+
+    def held(elements: np.ndarray, n: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by shared element, where each element's begin, and how many it has."""
+        at = np.minimum(np.searchsorted(shared, elements), max(len(shared) - 1, 0))
+        ok = np.flatnonzero(shared[at] == elements) if len(shared) else np.zeros(0, np.int64)
+        order = ok[np.argsort(at[ok], kind="stable")]
+        count = np.bincount(at[ok], minlength=len(shared))
+        return np.repeat(np.arange(len(n)), n)[order], np.cumsum(count) - count, count
+
+    rx, bx, cx = held(x, nx)
+    ry, by, cy = held(y, ny)
+    many = cx * cy > DENSE
+    few = np.flatnonzero(~many)
+    steps = np.searchsorted(np.cumsum((cx * cy)[few]), np.arange(1 << 22, int((cx * cy)[few].sum()) + (1 << 22), 1 << 22))
+    for e in np.split(few, np.unique(steps)):
+        if len(e):
+            i = np.repeat(_places(bx[e], cx[e]), np.repeat(cy[e], cx[e]))
+            j = _places(np.repeat(by[e], cx[e]), np.repeat(cy[e], cx[e]))
+            out += np.bincount(rx[i] * len(ys) + ry[j], minlength=len(out))
+    out = out.reshape(len(xs), len(ys))
+    dense = np.flatnonzero(many)
+    for at in range(0, len(dense), 1024):
+        e = dense[at : at + 1024]
+        mx, my = np.zeros((len(xs), len(e)), np.float32), np.zeros((len(ys), len(e)), np.float32)
+        mx[rx[_places(bx[e], cx[e])], np.repeat(np.arange(len(e)), cx[e])] = 1
+        my[ry[_places(by[e], cy[e])], np.repeat(np.arange(len(e)), cy[e])] = 1
         out += (mx @ my.T).astype(np.int64)
     return out
 
 
+def _places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All integers of the stretches, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document, written to shared storage."""
     docs = docs.select("doc_id", "text")

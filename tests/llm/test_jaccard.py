@@ -68,11 +68,22 @@ def test_chains_shared_passages_and_small_sets(spark, monkeypatch):
     docs = list(enumerate(texts))
     monkeypatch.setattr(join, "DIRECT", 4)  # so that blocks are compared
     monkeypatch.setattr(join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(join, "DENSE", 5)
     monkeypatch.setattr(common, "LOOKUP_ROWS", 10)  # so that hot keys are joined apart
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+@pytest.mark.parametrize("dense", [0, 3, 10**9])
+def test_sizes_of_intersections(monkeypatch, dense):
+    monkeypatch.setattr(join, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    made = lambda k: [np.unique(rng.zipf(1.3, rng.integers(1, 60)).astype(np.uint64)) for _ in range(k)]
+    xs, ys = made(20), made(31)
+    assert join._common(xs, ys).tolist() == [[len(np.intersect1d(a, b)) for b in ys] for a in xs]
+    assert join._common([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = {r["doc_id"]: r for r in join.link(odd_docs).collect()}
     assert rows[1]["component_id"] == 1 and rows[1]["n_shingles"] == 0
