@@ -13,10 +13,14 @@ partner might agree there only.
 Signatures are range-sorted together with their sets, so a common one spreads over tasks.
 Neighbours in that order are compared exactly; components of the links found make most other
 pairs of a signature needless. Only pairs of a signature that lie in different components are
-then compared as well: one by one where they are few. The sets of the other signatures share
-many of them, so overlapping signatures are taken as one cluster, in which a pair is compared
-once: block of sets against block of sets, where a task holds two bounded blocks and gives
-only their links. No link between different sets is lost, and no signature gives all its pairs.
+then compared as well: one by one where they are few. The sets of the other signatures (a
+passage that many documents share, alone in its part) sign anew by their rarest elements: in
+any one order of all elements, linked sets share one of the first ``n - ceil(percent n) + 1``;
+the order is by how many such sets have an element of the same bucket, so common passages come
+last. What these signatures leave common is one cluster where they overlap, in which a pair is
+compared once: block of sets against block of sets, where a task holds two bounded blocks and
+gives only their links. No link between different sets is lost, and no signature gives all its
+pairs.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own
 component; equal sets are one node; rows that share a doc_id share what it links with; a row
@@ -46,6 +50,8 @@ STEP = 1.5
 #: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
 DIRECT = 1 << 8
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1 << 20
+#: Buckets in which the elements of common signatures' sets are counted.
+BUCKETS = 1 << 20
 #: Elements that more pairs of a block share are counted by matrices, the others pair by pair.
 DENSE = 256
 #: Buckets of a sketch, a byte each.
@@ -320,8 +326,8 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
 def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """What neighbours don't settle: signatures whose sets lie in different components.
 
-    Gives pairs to compare, for signatures with up to ``DIRECT`` of them, and the rows
-    (``node, label, n, cluster``) of the other signatures, overlapping ones as one cluster.
+    Gives pairs to compare, for signatures with up to ``DIRECT`` of them, and for the others
+    each set with the signature's least one (``a, b``).
     """
     m = looked_up(members.distinct(), labels, "node").select("sig", "node", F.coalesce("label", "node").alias("label"))
     m = keep(m, "join-labelled")
@@ -334,9 +340,56 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
     close = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("label") < F.col("lb"))
     pairs = x.join(y, "sig").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     star = m.join(per.where(F.col("pairs") > DIRECT).select("sig", "first"), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return keep(pairs, "join-more"), keep(star, "join-star")
+
+
+def rarest(docs: DataFrame, hot: DataFrame, words: int, percent: int) -> DataFrame:
+    """``sig, node`` of the sets ``hot`` (``node, doc_id``): their first elements, rarest ones first.
+
+    Rarity is counted in ``BUCKETS`` buckets: a vector a task, one sum a bucket, and a broadcast
+    of that size whatever the input.
+    """
+    sets_ = keep(fetched(docs, hot, words).select("node", "n", "elements"), "join-hot-sets")
+
+    def bucket(elements: np.ndarray) -> np.ndarray:
+        return (mix(elements) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                total += np.bincount(bucket(np.frombuffer(raw.as_buffer(), np.uint64)), minlength=BUCKETS) if len(raw.as_buffer()) > BUCKETS else 0
+            small = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(0) if len(raw.as_buffer()) <= BUCKETS]
+            if small:
+                total += np.bincount(bucket(np.concatenate(small)), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    spark = docs.sparkSession
+    sums = sets_.select("elements").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(BUCKETS, np.int64)
+    held[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    ranks = spark.sparkContext.broadcast(held)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, rows = [], []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = len(own) - -(-percent * len(own) // 100) + 1
+                out.append(own[np.lexsort((own, ranks.value[bucket(own)]))[:n]])
+                rows.append(np.full(len(out[-1]), node, np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(rows))], names=["sig", "node"])
+
+    return keep(sets_.select("node", "elements").mapInArrow(first, "sig long, node long"), "join-rarest")
+
+
+def clustered(star: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, label, n, doc_id, cluster`` of what common signatures connect."""
     cluster = components.label(star)
     rows = cluster.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").join(nodes.select("node", "n", "doc_id"), "node")
-    return keep(pairs, "join-more"), keep(rows.select("node", F.coalesce("label", "node").alias("label"), "n", "doc_id", "cluster"), "join-clustered")
+    return keep(rows.select("node", F.coalesce("label", "node").alias("label"), "n", "doc_id", "cluster"), "join-clustered")
 
 
 PAIR = ["cluster", "b1", "j1", "b2", "j2"]
@@ -441,9 +494,13 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         pairs, members = neighbours(signed(docs, words, percent).select(F.explode("sigs").alias("sig"), "node"))
         links = verified(docs, pairs, nodes, words, percent)
         labels = components.label(links)
-        more, clustered = crossing(members, labels, nodes, percent)
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = links.union(verified(docs, more, nodes, words, percent)).union(blockwise(docs, clustered, words, percent))
+        more, star = crossing(members, labels, nodes, percent)
+        if not star.isEmpty():
+            hot = star.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+            again, star = crossing(rarest(docs, hot, words, percent), labels, nodes, percent)
+            more = more.union(again).distinct()
+        links = links.union(verified(docs, more.join(pairs, ["a", "b"], "left_anti"), nodes, words, percent))
+        links = links.union(blockwise(docs, clustered(star, labels, nodes), words, percent))
         return spare(keep(numbered(docs, made, nodes, links, words, percent), "join-linked"))
 
 
