@@ -340,7 +340,9 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
     close = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("label") < F.col("lb"))
     pairs = x.join(y, "sig").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     star = m.join(per.where(F.col("pairs") > DIRECT).select("sig", "first"), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    return keep(pairs, "join-more"), keep(star, "join-star")
+    pairs, star = keep(pairs, "join-more"), keep(star, "join-star")
+    discard(m, per)
+    return pairs, star
 
 
 def rarest(docs: DataFrame, hot: DataFrame, words: int, percent: int) -> DataFrame:
@@ -382,7 +384,9 @@ def rarest(docs: DataFrame, hot: DataFrame, words: int, percent: int) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(rows))], names=["sig", "node"])
 
-    return keep(sets_.select("node", "elements").mapInArrow(first, "sig long, node long"), "join-rarest")
+    made = keep(sets_.select("node", "elements").mapInArrow(first, "sig long, node long"), "join-rarest")
+    discard(sets_)
+    return made
 
 
 def clustered(star: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -495,9 +499,12 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         links = verified(docs, pairs, nodes, words, percent)
         labels = components.label(links)
         more, star = crossing(members, labels, nodes, percent)
+        discard(members)
         if not star.isEmpty():
             hot = star.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-            again, star = crossing(rarest(docs, hot, words, percent), labels, nodes, percent)
+            first = rarest(docs, hot, words, percent)
+            again, star = crossing(first, labels, nodes, percent)
+            discard(first)
             more = more.union(again).distinct()
         links = links.union(verified(docs, more.join(pairs, ["a", "b"], "left_anti"), nodes, words, percent))
         links = links.union(blockwise(docs, clustered(star, labels, nodes), words, percent))
