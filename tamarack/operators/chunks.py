@@ -35,7 +35,7 @@ def definitions(content: str) -> list[tuple[int, int, str]]:
     """First and last line and source of each top-level definition; none on a syntax error."""
     try:
         body = ast.parse(content).body
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     rows = content.split("\n")
     found = [x for x in body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
@@ -81,8 +81,16 @@ def line_slice(files: DataFrame, start: int = 0, end: int | None = None) -> Data
 
 
 def regex_search(files: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
-    """The first ``limit`` matching lines by file, then line (``limit`` is the feature)."""
-    rows = files.where(F.col("content").rlike(pattern)).select("file", F.posexplode(lines(F.col("content"))).alias("pos", "raw"))
+    """The first ``limit`` matching lines by file, then line (``limit`` is the feature).
+
+    The pattern is held against each line, so ``^`` and ``$`` are a line's ends; no match gives
+    no row, an invalid pattern a ``ValueError``.
+    """
+    try:
+        files.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as wrong:  # what the JVM throws arrives under several names
+        raise ValueError(f"invalid pattern: {pattern}") from wrong
+    rows = files.select("file", F.posexplode(lines(F.col("content"))).alias("pos", "raw"))
     hit = rows.where(F.col("raw").rlike(pattern)).select(
         "file", (F.col("pos") + 1).alias("line_no"), F.substring(F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""), 1, 120).alias("line")
     )

@@ -57,18 +57,6 @@ def first_available(catalog: DataFrame) -> DataFrame:
     return best.select(F.coalesce("name", F.lit("none")).alias("name"))
 
 
-def lookup(tree: dict, path: str, default=None):
-    """The value at a dotted path; missing or None gives ``default``."""
-    for part in path.split("."):
-        if not isinstance(tree, dict) or tree.get(part) is None:
-            return default
-        tree = tree[part]
-    return tree
-
-
-def merged(base: dict, over: dict) -> dict:
-    """``base`` with ``over`` laid on it, tables into tables."""
-    out = dict(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
-    return out
+def setting(config: Column, path: str, default: str | None = None) -> Column:
+    """The text at a dotted path of a JSON column; what is missing or null gives ``default``."""
+    return F.coalesce(F.get_json_object(config, "$." + path), F.lit(default))

@@ -121,10 +121,11 @@ def snippets(spark, d):
 
 @query
 def chunk_python(spark, d):
-    """Every document as a small module: its definitions, or windows where there are none."""
-    body = F.when(
-        F.col("doc_id") % 3 == 0, F.lit("x = 1\n\n@wraps\ndef first(a):\n    return a\n\nclass Second:\n    def inner(self):\n        pass\n")
-    ).when(F.col("doc_id") % 3 == 1, F.lit("def broken(:\n")).otherwise(F.col("text"))
+    """Every document's whole text: in a small module's docstring, behind a syntax error, or bare."""
+    module = "x = 1\n\n@wraps\ndef first(a):\n    return a\n\nclass Second:\n    def inner(self):\n        pass\n"
+    said = F.translate("text", "\\\"", "  ")
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(module + '\ndef third():\n    """'), said, F.lit('"""\n')))
+    body = body.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("def broken(:\n"), "text")).otherwise(F.col("text"))
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".md").otherwise(".py"))
     return chunks.chunk(table(spark, d, "documents").select(name.alias("file"), body.alias("content")))
 

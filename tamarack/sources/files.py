@@ -12,6 +12,7 @@ SEARCHED = (
     ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".html", ".css", ".vue", ".yaml", ".yml",
     ".json", ".md", ".txt", ".sh", ".sql", ".xml", ".toml", ".cfg", ".ini",
 )
+STATE_FILES = 10_000
 INDEXED = (*SEARCHED, ".cpp", ".c", ".h")
 
 
@@ -63,7 +64,14 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_state(state: DataFrame, path: str) -> None:
-    state.select("file", "mtime").write.mode("overwrite").parquet(path)
+    """JSON maps of about ``STATE_FILES`` entries, a file each, as ``read_state`` reads them.
+
+    A state read from ``path`` itself must be written elsewhere: nothing is overwritten while
+    it is read.
+    """
+    buckets = max(1, -(-state.count() // STATE_FILES))
+    per = state.groupBy(F.pmod(F.xxhash64("file"), F.lit(buckets)).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("file", "mtime"))).alias("m"))
+    per.select(F.to_json("m").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:

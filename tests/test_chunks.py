@@ -1,3 +1,4 @@
+import pytest
 from tamarack.operators import chunks
 from pyspark.sql import functions as F
 
@@ -31,3 +32,10 @@ def test_regex_search_orders_limits_and_strips(spark):
     got = chunks.regex_search(files(spark, ("b", "  Foo  \nbar\nfoo"), ("a", "xfoo" + "y" * 200)), "(?i)foo", 2).collect()
     assert [(r["file"], r["line_no"], len(r["line"])) for r in got] == [("a", 1, 120), ("b", 1, 3)]
     assert chunks.regex_search(files(spark, ("a", "b")), "zzz").select(F.count("*")).first()[0] == 0
+
+
+def test_regex_search_holds_each_line_against_the_pattern(spark):
+    got = chunks.regex_search(files(spark, ("a", "x = 1\ndef foo():\n    pass\n")), "^def .*:$").collect()
+    assert [(r["file"], r["line_no"], r["line"]) for r in got] == [("a", 2, "def foo():")]
+    with pytest.raises(ValueError, match="invalid pattern"):
+        chunks.regex_search(files(spark, ("a", "b")), "(")

@@ -31,5 +31,6 @@ def test_catalog_and_settings(spark):
     catalog = spark.createDataFrame(rows, "ordinal int, name string, key string")
     assert protocol.first_available(catalog).first()["name"] == "c"
     assert protocol.first_available(catalog.where("ordinal < 3")).first()["name"] == "none"
-    tree = protocol.merged({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}, "d": None})
-    assert protocol.lookup(tree, "a.b") == 1 and protocol.lookup(tree, "a.c") == 3 and protocol.lookup(tree, "d", 9) == 9 and protocol.lookup(tree, "a.b.x", 7) == 7
+    config = spark.createDataFrame([('{"a": {"b": 1, "c": null}}',), ("not json",), (None,)], "c string")
+    rows = config.select(*[protocol.setting(F.col("c"), x, "9").alias(x[-1]) for x in ("a.b", "a.c", "a.b.x", "d")]).collect()
+    assert [tuple(r) for r in rows] == [("1", "9", "9", "9"), ("9", "9", "9", "9"), ("9", "9", "9", "9")]

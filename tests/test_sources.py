@@ -22,7 +22,7 @@ def test_state_and_eval_files(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps([{"query": "q", "relevant": ["a"]}]))
     assert files.read_eval(spark, str(tmp_path / "e.json")).first()["relevant"] == ["a"]
     files.write_state(spark.createDataFrame([("a", 1.0)], "file string, mtime double"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert [tuple(r) for r in files.read_state(spark, str(tmp_path / "out")).collect()] == [("a", 1.0)]
 
 
 def test_index_read_fills_what_is_missing(spark, tmp_path):
@@ -42,3 +42,10 @@ def test_page_text(spark):
 def test_text_sink(spark, tmp_path):
     files.write_text(spark.createDataFrame([("a 1",)], "page string"), str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m")).select(F.first("value")).first()[0] == "a 1"
+
+
+def test_a_written_state_is_read_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "STATE_FILES", 3)
+    rows = [(f"d/{i}.py", i + 0.5) for i in range(10)]
+    files.write_state(spark.createDataFrame(rows, "file string, mtime double"), str(tmp_path / "state"))
+    assert sorted(tuple(r) for r in files.read_state(spark, str(tmp_path / "state")).collect()) == sorted(rows)
