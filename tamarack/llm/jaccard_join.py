@@ -51,7 +51,7 @@ STEP = 1.5
 DIRECT = 1 << 8
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1 << 20
 #: Buckets in which the elements of common signatures' sets are counted.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 13
 #: Elements that more pairs of a block share are counted by matrices, the others pair by pair.
 DENSE = 256
 #: Buckets of a sketch, a byte each.
