@@ -19,14 +19,21 @@ CHUNK = "file string, start_line int, end_line int, content string"
 def fixed(files: DataFrame, window: int = WINDOW) -> DataFrame:
     """``file, start_line, end_line, content`` from ``file, content``: windows of lines, blank
     ones dropped. Windows are slices of the row's own array, so nothing is shuffled."""
-    cut = files.select("file", lines(F.col("content")).alias("l")).select("file", "l", F.size("l").alias("n"))
-    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(window))
-    made = cut.select("file", "l", "n", F.explode(starts).alias("s"))
+    none = F.lit(None).cast("int")
+    return _windows(files.select("file", none.alias("start_line"), none.alias("end_line"), "content"), window)
+
+
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """Rows with a start line as they are, the others' contents in windows."""
+    cut = rows.select("file", "start_line", "end_line", "content", F.when(F.col("start_line").isNull(), lines(F.col("content"))).alias("l"))
+    n = F.size("l")
+    starts = F.when(F.col("l").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(window)))
+    made = cut.withColumn("n", n).withColumn("s", F.explode(starts))
     made = made.select(
         "file",
-        (F.col("s") + 1).alias("start_line"),
-        F.least(F.col("s") + window, F.col("n")).alias("end_line"),
-        F.array_join(F.slice("l", F.col("s") + 1, F.lit(window)), "\n").alias("content"),
+        F.coalesce("start_line", F.col("s") + 1).alias("start_line"),
+        F.coalesce("end_line", F.least(F.col("s") + window, F.col("n"))).alias("end_line"),
+        F.when(F.col("l").isNull(), F.col("content")).otherwise(F.array_join(F.slice("l", F.col("s") + 1, F.lit(window)), "\n")).alias("content"),
     )
     return made.where(has_text(F.col("content")))
 
@@ -44,14 +51,15 @@ def definitions(content: str) -> list[tuple[int, int, str]]:
 
 
 def python(files: DataFrame) -> DataFrame:
-    """Top-level definitions of Python sources, or a null chunk where there is none."""
+    """Top-level definitions of Python sources, or the whole content without lines where there
+    is none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 found = definitions(content or "")
-                out += [(file, *x) for x in found] or [(file, None, None, None)]
+                out += [(file, *x) for x in found] or [(file, None, None, content)]
             frame = pd.DataFrame(out, columns=["file", "start_line", "end_line", "content"])
             yield frame.astype({"start_line": "Int32", "end_line": "Int32"})
 
@@ -59,12 +67,14 @@ def python(files: DataFrame) -> DataFrame:
 
 
 def chunk(files: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Definitions of ``.py`` files, windows of the others and of those without definitions."""
-    is_python = F.col("file").endswith(".py")
-    got = python(files.where(is_python))
-    without = files.where(is_python).join(got.where("content is null").select("file"), "file", "left_semi")
-    rest = files.where(~F.coalesce(is_python, F.lit(False)))
-    return got.where("content is not null").unionByName(fixed(rest.select("file", "content").unionByName(without.select("file", "content")), window))
+    """Definitions of ``.py`` files, windows of the others and of those without definitions.
+
+    Each source is parsed once, and nothing is shuffled.
+    """
+    is_python = F.coalesce(F.col("file").endswith(".py"), F.lit(False))
+    none = F.lit(None).cast("int")
+    rest = files.where(~is_python).select("file", none.alias("start_line"), none.alias("end_line"), "content")
+    return _windows(python(files.where(is_python)).unionByName(rest), window)
 
 
 def uid(file: str = "file") -> F.Column:

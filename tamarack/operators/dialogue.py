@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import token_estimate
@@ -10,23 +10,30 @@ from tamarack.functions.text import token_estimate
 NOTE = "[earlier messages were cut]"
 
 
+def characters(messages: DataFrame) -> Column:
+    """Characters of a message: its text and, if there is such a column, its ``tool_calls`` (JSON
+    text); null counts nothing."""
+    said = F.length(F.coalesce("text", F.lit("")))
+    return said + F.length(F.coalesce("tool_calls", F.lit(""))) if "tool_calls" in messages.columns else said
+
+
 def estimate(messages: DataFrame) -> DataFrame:
-    """``conv_id, tokens``: of all its messages' characters together."""
-    return messages.groupBy("conv_id").agg(token_estimate(F.sum(F.length(F.coalesce("text", F.lit(""))))).alias("tokens"))
+    """``conv_id, tokens``: of all its messages' characters together, tool calls included."""
+    return messages.groupBy("conv_id").agg(token_estimate(F.sum(characters(messages))).alias("tokens"))
 
 
 def trim(messages: DataFrame, budget: int, note: str = NOTE) -> DataFrame:
     """``conv_id, turn, role, text``: the system head, a note if anything is dropped, and the
     longest run of last messages within the budget, without tool results at its start.
 
-    The note stands half a turn before the first message kept (turn is therefore a double).
+    A message costs its text and its ``tool_calls``, if that column is there. The note stands half a turn before the first message kept (turn is therefore a double).
     """
-    m = messages.select("conv_id", F.col("turn").cast("double").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    m = messages.select("conv_id", F.col("turn").cast("double").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"), token_estimate(characters(messages)).alias("tok"))
     by = Window.partitionBy("conv_id")
     order = by.orderBy("turn")
     m = m.withColumn("is_note", (F.col("role") == "system") & (F.col("text") == note))
     m = m.withColumn("head", (F.row_number().over(order) == 1) & (F.col("role") == "system") & ~F.col("is_note"))
-    m = m.where(F.col("head") | ~F.col("is_note")).withColumn("tok", token_estimate(F.length("text")))
+    m = m.where(F.col("head") | ~F.col("is_note"))
     m = m.withColumn("base", F.sum(F.when(F.col("head"), F.col("tok")).otherwise(0)).over(by))
     # what is left to the end; the head is counted once, as the base
     after = F.sum(F.when(F.col("head"), 0).otherwise(F.col("tok"))).over(order.rowsBetween(0, Window.unboundedFollowing))
@@ -57,6 +64,27 @@ def read_history(spark, path: str) -> DataFrame:
     return got.select(F.input_file_name().alias("conv_id"), F.coalesce("turns", F.array().cast("array<struct<user:string,assistant:string>>")).alias("turns"))
 
 
+def append(histories: DataFrame, said: DataFrame) -> DataFrame:
+    """``conv_id, turns`` with the new turns (``conv_id, at, user, assistant``) behind the old
+    ones, by ``at``, then text; a conversation without history begins with them."""
+    more = said.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "user", "assistant"))), lambda x: F.struct(x["user"].alias("user"), x["assistant"].alias("assistant"))).alias("more"))
+    none = F.array().cast("array<struct<user:string,assistant:string>>")
+    both = histories.select("conv_id", "turns").join(more, "conv_id", "full_outer")
+    return both.select("conv_id", F.concat(F.coalesce("turns", none), F.coalesce("more", none)).alias("turns"))
+
+
+def write_history(histories: DataFrame, path: str) -> None:
+    """A JSON line a conversation, with version and time of writing, as ``read_saved`` reads it."""
+    row = histories.select(F.lit(1).alias("version"), F.col("conv_id").cast("string").alias("project"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("updated_at"), "turns")
+    row.write.mode("overwrite").json(path)
+
+
+def read_saved(spark, path: str) -> DataFrame:
+    """``conv_id, turns`` of what ``write_history`` wrote; corrupt lines are left out."""
+    got = spark.read.schema("project string, turns array<struct<user:string,assistant:string>>").option("mode", "DROPMALFORMED").json(path)
+    return got.where("project is not null").select(F.col("project").alias("conv_id"), F.coalesce("turns", F.array().cast("array<struct<user:string,assistant:string>>")).alias("turns"))
+
+
 def last_questions(messages: DataFrame, n: int = 20) -> DataFrame:
     """Each conversation's last ``n`` user messages with their place from the first of these."""
     asked = messages.where(F.col("role") == "user")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,31 +44,32 @@ def clear(events: DataFrame, tasks: DataFrame) -> DataFrame:
 def evict(events: DataFrame, per_task: int = PER_TASK, total: int = TOTAL) -> DataFrame:
     """What a buffer holds after all events in order of ``arrival``.
 
-    Each eviction depends on every earlier one of every task, so one task replays them all.
+    Each eviction depends on every earlier one of every task, so one task replays them all. It
+    reads them sorted, batch by batch, and holds no more than ``total`` events.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queues: dict[object, deque] = {}
-        held = 0
-        for r in rows.sort_values("arrival").itertuples(index=False):
-            q = queues.setdefault(r.task_id, deque())
-            q.append(r)
-            held += 1
-            if len(q) > per_task:
-                q.popleft()
-                held -= 1
-            for task in list(queues) if held > total else ():
-                while queues[task] and held > total:
-                    queues[task].popleft()
+        held, batch = 0, None
+        for batch in batches:
+            for r in batch.itertuples(index=False, name=None):
+                q = queues.setdefault(r[at], deque())
+                q.append(r)
+                held += 1
+                if len(q) > per_task:
+                    q.popleft()
                     held -= 1
-                if not queues[task]:
-                    del queues[task]
-                if held <= total:
-                    break
-        out = [r for q in queues.values() for r in q]
-        return pd.DataFrame(out, columns=rows.columns).astype(rows.dtypes)
-
-    return events.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: replay(pdf), events.schema)
+                while held > total:
+                    first = next(iter(queues))
+                    queues[first].popleft()
+                    held -= 1
+                    if not queues[first]:
+                        del queues[first]
+        if held:
+            yield pd.DataFrame([r for q in queues.values() for r in q], columns=batch.columns).astype(batch.dtypes)
+
+    at = events.columns.index("task_id")
+    return events.repartition(1).sortWithinPartitions("arrival").mapInPandas(replay, events.schema)
 
 
 def statuses(events: DataFrame) -> DataFrame:

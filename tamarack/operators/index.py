@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.chunks import WINDOW, chunk, uid
+
+
+class Built(NamedTuple):
+    """A new index, the state that goes with it, and what was done."""
+
+    index: DataFrame
+    state: DataFrame
+    summary: DataFrame
+
 
 def diff(disk: DataFrame, state: DataFrame) -> DataFrame:
     """``file, change``: new, changed (time differs in any way), unchanged or deleted."""
@@ -37,3 +50,35 @@ def summary(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Files and chunks of the index, files removed."""
     made = chunks.agg(F.countDistinct("file").alias("files"), F.count("*").alias("chunks"))
     return made.crossJoin(F.broadcast(changes.agg(F.count_if(F.col("change") == "deleted").alias("removed"))))
+
+
+def build(
+    files: DataFrame,
+    state: DataFrame,
+    index: DataFrame | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    force: bool = False,
+    window: int = WINDOW,
+) -> Built:
+    """Bring an index up to date with ``files`` (``file, mtime, content``, as a scan gives them).
+
+    New and changed files are cut into chunks (``uid, file, start_line, end_line, document``),
+    ``embed`` adds what columns it likes to these alone, and they replace the file's old chunks;
+    chunks of deleted files go. ``force`` forgets state and index. Without an index all files
+    are fresh, whatever the state says. The summary is one row: ``files`` and ``chunks``
+    indexed, ``removed`` files, ``up_to_date``. Write the results elsewhere than where their
+    inputs are read from. A null content is an empty file, which has no chunks; uids are unique,
+    as two chunks of one file and the same lines are the same.
+    """
+    if force or index is None:
+        state = state.limit(0)
+    changes = diff(files.select("file", "mtime"), state)
+    todo = changes.where("change in ('new', 'changed')").select("file")
+    cut = chunk(files.select("file", "content").join(todo, "file", "left_semi"), window)
+    fresh = cut.select(uid().alias("uid"), "file", "start_line", "end_line", F.col("content").alias("document")).dropDuplicates(["uid"])
+    counts = changes.agg(F.count_if(F.col("change").isin("new", "changed")).alias("files"), F.count_if(F.col("change") == "deleted").alias("removed"))
+    told = counts.crossJoin(F.broadcast(fresh.agg(F.count("*").alias("chunks"))))
+    told = told.select("files", "chunks", "removed", (F.col("files") + F.col("removed") == 0).alias("up_to_date"))
+    made = embed(fresh) if embed else fresh
+    whole = made if force or index is None else refresh(index, changes, made)
+    return Built(whole, next_state(files), told)

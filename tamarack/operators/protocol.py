@@ -57,6 +57,12 @@ def first_available(catalog: DataFrame) -> DataFrame:
     return best.select(F.coalesce("name", F.lit("none")).alias("name"))
 
 
+def health(catalog: DataFrame, version: str = "1") -> DataFrame:
+    """One row, ``status, version, tools_count``, from a catalog of tools (``name``); an empty
+    catalog counts none."""
+    return catalog.agg(F.count("name").alias("tools_count")).select(F.lit("ok").alias("status"), F.lit(version).alias("version"), "tools_count")
+
+
 def setting(config: Column, path: str, default: str | None = None) -> Column:
     """The text at a dotted path of a JSON column; what is missing or null gives ``default``."""
     return F.coalesce(F.get_json_object(config, "$." + path), F.lit(default))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ RRF_K = 60
 #: Query terms and query vectors are broadcast in blocks of so many rows.
 QUERY_BLOCK = 4096
 BROADCAST_ROWS = 200_000
+#: Rows multiplied with a block of queries at once, and what a product may be off by.
+TILE, SLACK = 256, 1e-5
+#: Stands for a chunk itself among its tokens, which are never empty.
+COUNTED = ""
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -55,20 +60,27 @@ def ranked(scored: DataFrame, limit: int, rank: str) -> DataFrame:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, uid, score`` of every chunk that shares a token with the query.
 
-    A chunk's tokens meet the query terms before they are counted, so only matching
-    occurrences are shuffled; lengths travel with them. Frequencies span the whole corpus.
+    Texts are cut into tokens once. Only occurrences of query terms are shuffled, by uid, and
+    with each chunk one ``COUNTED`` row that stands for the chunk itself; frequencies, number
+    and lengths of chunks all come from that one exchange, and a chunk's scores are summed
+    where it lies. Frequencies span the whole corpus.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
-    terms = asked.select("tok").distinct()
+    n_asked = asked.limit(BROADCAST_ROWS + 1).count()
+    own = chunks.sparkSession.createDataFrame([(COUNTED,)], "tok string")
+    terms = asked.select("tok").distinct().union(own)
     tokens = tokens_of(chunks).select("uid", "tokens", F.size("tokens").alias("dl"))
-    found = tokens.select("uid", "dl", F.explode("tokens").alias("tok")).join(small(terms), "tok", "left_semi")
+    marked = tokens.select("uid", "dl", F.explode(F.array_append("tokens", F.lit(COUNTED))).alias("tok"))
+    found = marked.join(small(terms, n_asked), "tok", "left_semi").repartition("uid")
     tf = found.groupBy("uid", "dl", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks).where("avgdl > 0")
+    per = tf.groupBy("tok").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("rows"), F.sum(F.col("dl") * F.col("tf")).alias("length"))
+    # not a filter, which would be pushed into the exchange and make it another one
+    whole = lambda c: F.max(F.when(F.col("tok") == COUNTED, F.col(c)))
+    stats = per.agg(whole("rows").alias("n"), (whole("length") / whole("rows")).alias("avgdl")).where("avgdl > 0")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "tok").crossJoin(F.broadcast(stats)).select("query_id", "tok", "avgdl", (F.col("qtf") * idf).alias("w"))
+    weights = asked.join(per, "tok").crossJoin(F.broadcast(stats)).select("query_id", "tok", "avgdl", (F.col("qtf") * idf).alias("w"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(small(weights), "tok").groupBy("query_id", "uid").agg(F.sum(part).alias("score"))
+    scored = tf.join(small(weights, n_asked), "tok").groupBy("query_id", "uid").agg(F.sum(part).alias("score"))
     return scored.where("score > 0").select("query_id", "uid", F.round("score", 6).alias("score"))
 
 
@@ -80,40 +92,62 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> Data
     """``query_id, uid, score, vector_rank`` by squared Euclidean distance (score is its negative).
 
     ``vectors`` has ``uid, embedding``, ``queries`` ``query_id, embedding``. Queries are
-    broadcast in blocks; each task multiplies matrices and keeps ``limit`` a query and batch.
+    broadcast in blocks; each task multiplies tiles of rows with a block and keeps ``limit`` a
+    query. Vectors of another length than a query's are none of its hits; null ones of no one's.
     """
     spark = vectors.sparkSession
+    queries = queries.where("embedding is not null")
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     out = spark.createDataFrame([], "query_id long, uid string, score double")
-    for k in range(blocks):
-        rows = queries.where(F.col("block") == k).where("embedding is not null").orderBy("query_id").collect()
-        if rows:
-            ids = np.array([r["query_id"] for r in rows])
-            held = spark.sparkContext.broadcast((ids, np.array([r["embedding"] for r in rows], np.float64)))
-            out = out.unionByName(vectors.where("embedding is not null").select("uid", "embedding").mapInArrow(_nearest(held, limit), "query_id long, uid string, score double"))
+    rows = vectors.where("embedding is not null").select("uid", "embedding")
+    for k in range(blocks if n else 0):
+        asked: dict[int, tuple[list, list]] = {}
+        for r in queries.where(F.col("block") == k).collect():
+            ids, points = asked.setdefault(len(r["embedding"]), ([], []))
+            ids.append(r["query_id"])
+            points.append(r["embedding"])
+        held = spark.sparkContext.broadcast({size: (np.array(i), np.array(p, np.float64).reshape(len(i), -1)) for size, (i, p) in asked.items()})
+        out = out.unionByName(rows.mapInArrow(_nearest(held, limit), "query_id long, uid string, score double"))
     return ranked(out.select("query_id", "uid", F.round("score", 6).alias("score")), limit, "vector_rank")
 
 
 def _nearest(held, limit: int):
+    """Each task's best ``limit`` rows a query, by rounded score and then uid."""
+
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).sort_values(["query_id", "score", "uid"], ascending=[True, False, True]).groupby("query_id").head(limit)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked = held.value
+        kept = None
+        worst = {size: np.full(len(ids), np.inf) for size, (ids, _) in held.value.items()}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            uid = batch.column(0)
-            at = batch.column(1)
-            flat = at.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            near = np.empty((len(ids), batch.num_rows))
-            for i, q in enumerate(asked):
-                d = flat - q
-                near[i] = np.einsum("ij,ij->i", d, d)
-            keep = min(limit, batch.num_rows)
-            # ties at the border stay, so that the final order can decide among them
-            border = np.partition(near, keep - 1, axis=1)[:, keep - 1]
-            q, x = np.nonzero(near <= border[:, None] + 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), uid.take(pa.array(x)), pa.array(-near[q, x])], names=["query_id", "uid", "score"])
+            uid, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes, flat = np.diff(at.offsets.to_numpy()), at.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            begins = np.concatenate(([0], np.cumsum(sizes)))
+            for size, (ids, asked) in held.value.items():
+                which = np.flatnonzero(sizes == size)
+                norm = np.einsum("ij,ij->i", asked, asked)[:, None]
+                for start in range(0, len(which), TILE):
+                    tile = which[start : start + TILE]
+                    x = flat[begins[tile][:, None] + np.arange(size)]
+                    near = norm - 2 * (asked @ x.T) + np.einsum("ij,ij->i", x, x)
+                    # a border by the product only chooses; distances are then taken exactly
+                    border = worst[size]
+                    if len(tile) > limit:
+                        border = np.minimum(border, np.partition(near, limit - 1, axis=1)[:, limit - 1])
+                    q, r = np.nonzero(near <= border[:, None] + SLACK)
+                    if len(q):
+                        gone = asked[q] - x[r]
+                        score = np.round(-np.einsum("ij,ij->i", gone, gone), 6) + 0.0
+                        fresh = pd.DataFrame({"query_id": ids[q], "uid": uid[tile[r]], "score": score})
+                        kept = best([fresh] if kept is None else [kept, fresh])
+                        full = kept.groupby("query_id")["score"].agg(["size", "min"])
+                        last = full["min"].where(full["size"] >= limit).reindex(ids).to_numpy()
+                        worst[size] = np.where(np.isnan(last), np.inf, -last)
+        if kept is not None:
+            yield pa.RecordBatch.from_pandas(kept[["query_id", "uid", "score"]], preserve_index=False)
 
     return run
 
@@ -135,9 +169,13 @@ def rrf(vector_hits: DataFrame, bm25_hits: DataFrame, limit: int = 10, k: int =
 
 def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 10, mode: str = "hybrid") -> DataFrame:
     """Hits of every query (``query_id, query, embedding``) as ``query_id, uid, score, vector_rank,
-    bm25_rank, rank``. Blank queries and n below one give nothing; an unknown mode is an error."""
+    bm25_rank, rank``. Blank queries and n below one give nothing; an unknown mode is a
+    ``ValueError``, and no index (None for ``chunks`` or ``vectors`` that the mode needs) a
+    ``LookupError``."""
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
+    if (chunks is None and mode != "vector") or (vectors is None and mode != "bm25"):
+        raise LookupError("there is no index yet; build one first")
     asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
     if n <= 0:
         asked = asked.limit(0)
@@ -154,8 +192,9 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int =
 
 
 def formatted(hits: DataFrame, chunks: DataFrame, hybrid: bool = True) -> DataFrame:
-    """One line a hit: file, start line, provenance, snippet."""
-    got = hits.join(chunks, "uid", "left")
+    """One line a hit: file, start line (0 if chunks have none), provenance, snippet."""
+    start = F.coalesce("start_line", F.lit(0)).cast("string") if "start_line" in chunks.columns else F.lit("0")
+    got = hits.join(chunks.withColumn("_start", start), "uid", "left")
     said = F.concat_ws(
         ", ",
         F.format_string("RRF:%.4f", "score") if hybrid else F.lit(None).cast("string"),
@@ -163,8 +202,20 @@ def formatted(hits: DataFrame, chunks: DataFrame, hybrid: bool = True) -> DataFr
         F.when(F.col("bm25_rank").isNotNull(), F.concat(F.lit("BM25#"), F.col("bm25_rank").cast("string"))),
     )
     said = F.when(said == "", "unknown").otherwise(said)
-    line = F.concat(F.coalesce("file", F.lit("")), F.lit(":0 ("), said, F.lit(") | "), snippet(F.col("document")))
-    return got.select("query_id", "rank", line.alias("line"))
+    place = F.concat(F.coalesce("file", F.lit("")), F.lit(":"), F.coalesce("_start", F.lit("0")))
+    return got.select("query_id", "rank", F.concat(place, F.lit(" ("), said, F.lit(") | "), snippet(F.col("document"))).alias("line"))
+
+
+def report(hit_lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, report``: a query's header and its lines by rank, or that nothing was found.
+
+    A query has as many lines as it asked for hits, so the list of each is bounded.
+    """
+    per = hit_lines.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("found"))
+    body = F.array_join(F.transform("found", lambda x: F.concat(F.lit("\n  "), x["line"])), "")
+    some = F.concat(F.format_string("%d results:", F.size("found")), body)
+    none = F.concat(F.lit("no results for '"), F.coalesce("query", F.lit("")), F.lit("'"))
+    return queries.select("query_id", "query").join(per, "query_id", "left").select("query_id", F.when(F.col("found").isNull(), none).otherwise(some).alias("report"))
 
 
 def matches(hits: DataFrame, files: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -174,10 +225,18 @@ def matches(hits: DataFrame, files: DataFrame, wanted: DataFrame, k: int) -> Dat
     return by("uid").union(by("file")).distinct()
 
 
-def evaluate(modes: dict[str, DataFrame], files: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """``mode, n_queries, recall, mrr`` over valid items (``query_id, query, relevant``)."""
+def valid_items(items: DataFrame) -> DataFrame:
+    """``query_id, query, relevant``: items with a query and a relevant label, each label once."""
     clean = items.select("query_id", "query", F.array_distinct(F.filter("relevant", lambda x: F.trim(x) != "")).alias("relevant"))
-    clean = clean.where((F.trim("query") != "") & (F.size("relevant") > 0))
+    return clean.where((F.trim("query") != "") & (F.size("relevant") > 0))
+
+
+def evaluate(modes: dict[str, DataFrame], files: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """``mode, n_queries, recall, mrr`` over valid items (``query_id, query, relevant``); none is a
+    ``ValueError``."""
+    clean = valid_items(items)
+    if clean.isEmpty():
+        raise ValueError("no valid query to evaluate")
     wanted = clean.select("query_id", F.explode("relevant").alias("label"))
     out = None
     for mode, hits in modes.items():

@@ -88,6 +88,16 @@ def hit_lines(spark, d):
     return retrieval.formatted(rrf_hybrid(spark, d), _chunks(spark, d))
 
 
+@query
+def search_report(spark, d):
+    """The fixture's places in a file: an id's remainder by 90."""
+    placed = _chunks(spark, d).withColumn("start_line", (F.col("uid").cast("long") % 90).cast("int"))
+    hits = retrieval.retrieve(_chunks(spark, d), _vectors(spark, d), _asked(spark, d), 10, "bm25").withColumn("rank", F.col("bm25_rank"))
+    asked = _asked(spark, d).select("query_id", F.when(F.col("query_id") % 10 == 0, "zzzz qqqq").otherwise(F.col("query")).alias("query"))
+    hits = hits.where("query_id % 10 <> 0")
+    return retrieval.report(retrieval.formatted(hits, placed, hybrid=False), asked)
+
+
 @query
 def retrieval_eval(spark, d):
     items = _asked(spark, d)
@@ -166,6 +176,27 @@ def index_summary(spark, d):
     return index.summary(index_upsert(spark, d), _snapshots(spark, d)[0])
 
 
+def _built(spark, d):
+    """Documents as files; the state knows two thirds of them, a seventh at another time."""
+    docs = table(spark, d, "documents").withColumn("file", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    chars = F.col("n_chars").cast("double")
+    disk = docs.where("doc_id % 5 <> 0").select("file", F.when(F.col("doc_id") % 7 == 0, chars + 0.5).otherwise(chars).alias("mtime"), F.col("text").alias("content"))
+    known = docs.where("doc_id % 3 <> 0")
+    old = known.select(F.concat("file", F.lit(":1-1")).alias("uid"), "file", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("lang").alias("document"))
+    size = lambda chunks: chunks.withColumn("n_chars", F.length("document"))
+    return index.build(disk, known.select("file", chars.alias("mtime")), size(old), size)
+
+
+@query
+def index_build(spark, d):
+    return _built(spark, d).index
+
+
+@query
+def index_build_summary(spark, d):
+    return _built(spark, d).summary
+
+
 # --- conversations ---
 
 
@@ -174,20 +205,49 @@ def token_estimate(spark, d):
     return dialogue.estimate(table(spark, d, "conversations"))
 
 
+def _calls(spark, d):
+    call = F.concat(F.lit('[{"name": "look", "args": {"turn": '), F.col("turn").cast("string"), F.lit("}}]"))
+    return table(spark, d, "conversations").withColumn("tool_calls", F.when(F.col("role") == "assistant", call))
+
+
+@query
+def tool_call_estimate(spark, d):
+    return dialogue.estimate(_calls(spark, d))
+
+
+@query
+def tool_call_trim(spark, d):
+    return dialogue.trim(_calls(spark, d), 400)
+
+
 @query
 def context_trim(spark, d):
     return dialogue.trim(table(spark, d, "conversations"), 400)
 
 
-@query
-def history_messages(spark, d):
+def _pairs(spark, d):
     """The n-th user and the n-th assistant message of a conversation make its n-th turn."""
     c = table(spark, d, "conversations")
     said = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
     per = c.groupBy("conv_id").agg(said("user").alias("u"), said("assistant").alias("a"))
     zipped = F.zip_with("u", "a", lambda u, a: F.struct(u.alias("user"), a.alias("assistant")))
     pairs = per.select("conv_id", F.slice(zipped, F.lit(1), F.greatest(F.size("u"), F.lit(0))).alias("turns"))
-    return dialogue.history(pairs)
+    return pairs
+
+
+@query
+def history_messages(spark, d):
+    return dialogue.history(_pairs(spark, d))
+
+
+@query
+def history_append(spark, d):
+    """Two turns more for every conversation that starts with a user, one for a new one."""
+    first = table(spark, d, "conversations").where("turn = 0 and role = 'user'")
+    said = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.concat(F.lit(f"q{i} "), F.col("conv_id").cast("string")).alias("user"), F.lit(f"a{i}").alias("assistant")) for i in (2, 1)]))
+    more = first.select("conv_id", said.alias("s")).select("conv_id", "s.*")
+    new = spark.createDataFrame([(-1, 1, "hello", "")], more.schema)
+    return dialogue.history(dialogue.append(_pairs(spark, d), more.unionByName(new)))
 
 
 @query
@@ -321,7 +381,12 @@ def content_text(spark, d):
 @query
 def eval_items_valid(spark, d):
     items = table(spark, d, "benchmark").withColumn("relevant", F.array(F.when(F.col("item_id") % 4 == 0, " ").otherwise("src1")))
-    return items.where((F.trim("text") != "") & (F.size(F.filter("relevant", lambda x: F.trim(x) != "")) > 0)).select("item_id")
+    return retrieval.valid_items(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "relevant")).select(F.col("query_id").alias("item_id"))
+
+
+@query
+def tool_health(spark, d):
+    return protocol.health(table(spark, d, "events").select(F.col("event_type").alias("name")).distinct())
 
 
 @query
@@ -344,6 +409,13 @@ def oracle_sql() -> dict[str, str]:
         "rrf_hybrid": sql.RRF_HYBRID,
         "hit_lines": sql.HIT_LINES,
         "retrieval_eval": sql.RETRIEVAL_EVAL,
+        "search_report": sql.SEARCH_REPORT,
+        "index_build": sql.INDEX_BUILD,
+        "index_build_summary": sql.INDEX_BUILD_SUMMARY,
+        "tool_call_estimate": sql.TOOL_CALL_ESTIMATE,
+        "tool_call_trim": sql.TOOL_CALL_TRIM,
+        "history_append": sql.HISTORY_APPEND,
+        "tool_health": sql.TOOL_HEALTH,
         "chunk_fixed": sql.CHUNK_FIXED,
         "line_slice": sql.LINE_SLICE,
         "regex_search": sql.REGEX_SEARCH,

@@ -59,6 +59,12 @@ HIT_LINES = f"""WITH {_hybrid()}
 SELECT query_id, rank, coalesce(file, '') || ':0 (' || concat_ws(', ', printf('RRF:%.4f', score), 'vector#' || vector_rank, 'BM25#' || bm25_rank) || ') | '
        || replace(coalesce(substr(document, 1, 150), ''), chr(10), ' ') AS line
 FROM hy LEFT JOIN docs USING (uid)"""
+SEARCH_REPORT = f"""WITH {_bm25(10)},
+ln AS (SELECT query_id, bm25_rank AS r, coalesce(file, '') || ':' || (CAST(uid AS BIGINT) % 90) || ' (BM25#' || bm25_rank || ') | ' || replace(coalesce(substr(document, 1, 150), ''), chr(10), ' ') AS line
+  FROM bm LEFT JOIN docs USING (uid) WHERE query_id % 10 <> 0),
+p AS (SELECT query_id, count(*) || ' results:' || string_agg(chr(10) || '  ' || line, '' ORDER BY r) AS found FROM ln GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(found, 'no results for ' || chr(39) || CASE WHEN item_id % 10 = 0 THEN 'zzzz qqqq' ELSE coalesce(text, '') END || chr(39)) AS report
+FROM benchmark LEFT JOIN p ON item_id = query_id"""
 RETRIEVAL_EVAL = f"""WITH {_hybrid()},
 items AS (SELECT item_id AS query_id, ['src' || (item_id % 20), CAST(item_id AS VARCHAR)] AS relevant FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
 v10 AS (SELECT query_id, uid, vector_rank AS rank FROM ve WHERE vector_rank <= 10),
@@ -91,20 +97,44 @@ INDEX_UPSERT = f"WITH {_SNAPS} {_INDEX}"
 INDEX_SUMMARY = f"""WITH {_SNAPS}, i AS ({_INDEX})
 SELECT count(DISTINCT file) AS files, count(*) AS chunks, (SELECT count(*) FROM ch WHERE change = 'deleted') AS removed FROM i"""
 
+_BUILD = f"""d AS (SELECT *, source || '/' || doc_id || '.txt' AS file FROM documents),
+disk AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN n_chars + 0.5 ELSE n_chars END::DOUBLE AS mtime FROM d WHERE doc_id % 5 <> 0),
+known AS (SELECT file, lang, n_chars::DOUBLE AS mtime FROM d WHERE doc_id % 3 <> 0),
+todo AS (SELECT file FROM disk WHERE file NOT IN (SELECT k.file FROM known k JOIN disk x ON k.file = x.file AND k.mtime = x.mtime)),
+gone AS (SELECT file FROM known WHERE file NOT IN (SELECT file FROM disk)),
+fresh AS (SELECT file || ':' || start_line || '-' || end_line AS uid, file, start_line, end_line, content AS document FROM ({CHUNK_FIXED}) WHERE file IN (SELECT file FROM todo)),
+made AS (SELECT * FROM fresh UNION ALL SELECT file || ':1-1', file, 1, 1, lang FROM known WHERE file NOT IN (SELECT file FROM todo UNION ALL SELECT file FROM gone))"""
+INDEX_BUILD = f"WITH {_BUILD} SELECT uid, file, start_line, end_line, document, CAST(length(document) AS INTEGER) AS n_chars FROM made"
+INDEX_BUILD_SUMMARY = f"WITH {_BUILD} SELECT *, files + removed = 0 AS up_to_date FROM (SELECT (SELECT count(*) FROM todo) AS files, (SELECT count(*) FROM fresh) AS chunks, (SELECT count(*) FROM gone) AS removed)"
+
 TOKEN_ESTIMATE = "SELECT conv_id, CAST(trunc(sum(length(coalesce(text, ''))) / 3.0::DOUBLE * 1.2::DOUBLE) AS INTEGER) AS tokens FROM conversations GROUP BY conv_id"
-CONTEXT_TRIM = """WITH m AS (SELECT conv_id, turn::DOUBLE AS turn, role, coalesce(text, '') AS text,
+def _trim(chars: str) -> str:
+    return f"""WITH m AS (SELECT conv_id, turn::DOUBLE AS turn, role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AND role = 'system' AS head,
-    CAST(trunc(length(coalesce(text, '')) / 3.0::DOUBLE * 1.2::DOUBLE) AS INTEGER) AS tok FROM conversations),
+    CAST(trunc(({chars}) / 3.0::DOUBLE * 1.2::DOUBLE) AS INTEGER) AS tok FROM conversations),
 s AS (SELECT *, sum(CASE WHEN head THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
     + sum(CASE WHEN head THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) <= 400 AS fits FROM m),
 k AS (SELECT *, NOT head AND fits AND turn >= min(CASE WHEN NOT head AND fits AND role <> 'tool' THEN turn END) OVER (PARTITION BY conv_id) AS stay0 FROM s),
 t AS (SELECT *, coalesce(stay0, false) AS stay FROM k)
 SELECT conv_id, turn, role, text FROM t WHERE head OR stay
 UNION ALL SELECT conv_id, coalesce(min(CASE WHEN stay THEN turn END), max(turn) + 1) - 0.5, 'system', '[earlier messages were cut]' FROM t WHERE NOT head GROUP BY conv_id HAVING count(*) FILTER (NOT stay) > 0"""
+
+
+_SAID = "length(coalesce(text, ''))"
+_CALLS = _SAID + """ + CASE WHEN role = 'assistant' THEN length('[{"name": "look", "args": {"turn": ' || turn || '}}]') ELSE 0 END"""
+CONTEXT_TRIM = _trim(_SAID)
+TOOL_CALL_TRIM = _trim(_CALLS)
+TOOL_CALL_ESTIMATE = f"SELECT conv_id, CAST(trunc(sum({_CALLS}) / 3.0::DOUBLE * 1.2::DOUBLE) AS INTEGER) AS tokens FROM conversations GROUP BY conv_id"
 HISTORY = """WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, text FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, text FROM conversations WHERE role = 'assistant')
 SELECT conv_id, CAST(2 * i AS INTEGER) AS pos, 'user' AS role, text FROM u WHERE text <> ''
 UNION ALL SELECT conv_id, CAST(2 * i + 1 AS INTEGER), 'assistant', a.text FROM a JOIN u USING (conv_id, i) WHERE a.text <> ''"""
+HISTORY_APPEND = f"""{HISTORY}
+UNION ALL SELECT c.conv_id, CAST(2 * (n + i - 1) + j AS INTEGER), CASE j WHEN 0 THEN 'user' ELSE 'assistant' END, CASE j WHEN 0 THEN 'q' || i || ' ' || c.conv_id ELSE 'a' || i END
+FROM (SELECT conv_id FROM conversations WHERE turn = 0 AND role = 'user') c
+JOIN (SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY conv_id) USING (conv_id),
+(SELECT unnest([1, 2]) AS i), (SELECT unnest([0, 1]) AS j)
+UNION ALL SELECT -1, 0, 'user', 'hello'"""
 LAST_QUESTIONS = """SELECT conv_id, turn, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS pos FROM
 (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user') WHERE back <= 2"""
 
@@ -139,3 +169,4 @@ EVAL_VALID = "SELECT item_id FROM benchmark WHERE trim(text) <> '' AND item_id %
 MODEL_FIRST = "SELECT coalesce(min_by(c_name, c_custkey), 'none') AS name FROM customer WHERE trim(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'sk-xxx' ELSE ' ' END) <> '' AND c_custkey % 3 <> 1"
 TOOL_ARGS = "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'kind,user' ELSE 'kind' END AS kept FROM events"
 CONTENT_TEXT = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS text FROM conversations GROUP BY conv_id"
+TOOL_HEALTH = "SELECT 'ok' AS status, '1' AS version, count(DISTINCT event_type) AS tools_count FROM events"

@@ -43,3 +43,21 @@ def test_last_questions(spark):
     df = messages(spark, *[("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(50)])
     rows = dialogue.last_questions(df).orderBy("pos").collect()
     assert [r["text"] for r in rows] == [f"t{i}" for i in range(10, 50, 2)]
+
+
+def test_tool_calls_cost_their_characters(spark):
+    df = spark.createDataFrame([(1, 0, "ai", "x" * 10, "y" * 90), (1, 1, "human", "end", None)], "conv_id long, turn long, role string, text string, tool_calls string")
+    assert dialogue.estimate(df).first()["tokens"] == 41
+    assert trimmed(df, 20) == [("system", dialogue.NOTE), ("human", "end")]
+    assert trimmed(df.drop("tool_calls"), 20) == [("ai", "x" * 10), ("human", "end")]
+
+
+def test_turns_are_appended_and_read_back(spark, tmp_path):
+    turn = "struct<user:string,assistant:string>"
+    old = spark.createDataFrame([("a", [("q0", "a0")]), ("b", None)], f"conv_id string, turns array<{turn}>")
+    new = spark.createDataFrame([("a", 2, "q2", None), ("a", 1, "q1", "a1"), ("c", 1, "é\n", "")], "conv_id string, at int, user string, assistant string")
+    done = dialogue.append(old, new)
+    dialogue.write_history(done, str(tmp_path / "h"))
+    (tmp_path / "h" / "bad.json").write_text("{broken\n")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in dialogue.read_saved(spark, str(tmp_path / "h")).collect()}
+    assert got == {"a": [("q0", "a0"), ("q1", "a1"), ("q2", None)], "b": [], "c": [("é\n", "")]}

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 from tamarack.operators import events
+from tamarack.plans import registry
 
 SCHEMA = "arrival long, task_id string, seq long, type string"
 
@@ -56,3 +57,11 @@ def test_status_rules(spark):
     assert tuple(events.metrics(tasks).first()) == (6, 2, 1)
     assert "tasks_total 6\n" in events.exposition(events.metrics(tasks)).first()["page"]
     assert tuple(events.gauges(tasks).first()) == (1, 20, 20)
+
+
+def test_the_registered_eviction_is_a_replay_of_the_whole_table(spark):
+    where = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in registry.queries()["events_evict"](spark, where).select("seq", "task_id", "type").collect())
+    rows = spark.read.parquet(where + "/events.parquet").orderBy("event_id").collect()
+    want = replay([(r["event_id"], r["user_id"], r["event_id"], r["event_type"]) for r in rows], 50, 2000)
+    assert got == sorted((r[2], r[1], r[3]) for r in want)

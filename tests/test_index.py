@@ -1,4 +1,6 @@
+from pyspark.sql import functions as F
 from tamarack.operators import index
+from tamarack.sources import files
 
 
 def test_diff_refresh_and_summary(spark):
@@ -18,3 +20,24 @@ def test_upsert_replaces_by_key(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "y")], "uid string, file string")
     b = spark.createDataFrame([("2", "z")], "uid string, file string")
     assert {tuple(r) for r in index.upsert(a, b).collect()} == {("1", "x"), ("2", "z")}
+
+
+def test_build_over_two_snapshots_and_a_saved_state(spark, tmp_path):
+    schema = "file string, mtime double, content string"
+    module = "def first(a):\n    return a\n\nclass Second:\n    pass\n"
+    one = spark.createDataFrame([("a.py", 1.0, module), ("b.md", 1.0, "text"), ("c.md", 1.0, None), ("d.md", 1.0, "gone")], schema)
+    empty = spark.createDataFrame([], "file string, mtime double")
+    seen = lambda df: df.withColumn("size", F.length("document"))
+    first = index.build(one, empty, None, seen)
+    assert {r["uid"] for r in first.index.collect()} == {"a.py:1-2", "a.py:4-5", "b.md:1-1", "d.md:1-1"}
+    assert first.summary.first().asDict() == {"files": 4, "chunks": 4, "removed": 0, "up_to_date": False}
+    files.write_state(first.state, str(tmp_path / "state"))
+    first.index.write.parquet(str(tmp_path / "index"))
+    state, held = files.read_state(spark, str(tmp_path / "state")), spark.read.parquet(str(tmp_path / "index"))
+    assert index.build(one, state, held, seen).summary.first()["up_to_date"]
+    two = spark.createDataFrame([("a.py", 2.0, "x\n" + module), ("b.md", 1.0, "unread"), ("c.md", 1.0, None), ("e.md", 1.0, "new")], schema)
+    second = index.build(two, state, held, seen)
+    assert {(r["uid"], r["size"]) for r in second.index.collect()} == {("a.py:2-3", 26), ("a.py:5-6", 22), ("b.md:1-1", 4), ("e.md:1-1", 3)}
+    assert second.summary.first().asDict() == {"files": 2, "chunks": 3, "removed": 1, "up_to_date": False}
+    assert {r["document"] for r in index.build(two, state, held, seen, force=True).index.where("file = 'b.md'").collect()} == {"unread"}
+    assert index.build(one.limit(0), state, held, seen).index.count() == 0

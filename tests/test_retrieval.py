@@ -2,7 +2,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tamarack.operators import retrieval
 
 CHUNKS = [("a:1", "auth.py", "login user password login"), ("b:1", "db.py", "open database"), ("c:1", "ui.py", "user button"), ("d:1", None, None)]
@@ -63,3 +65,37 @@ def test_evaluation_counts_misses_and_matches_uid_or_file(spark):
     items = spark.createDataFrame([(1, "q", ["auth.py", "missing", " "]), (2, "q", ["b:1"]), (3, " ", ["b:1"]), (4, "q", [" "])], "query_id long, query string, relevant array<string>")
     r = retrieval.evaluate({"m": hits}, chunks, items).first()
     assert (r["n_queries"], r["recall"], r["mrr"]) == (2, 0.25, 0.5)
+
+
+def test_reports_name_start_lines_and_empty_results(spark):
+    chunks, vectors, asked = frames(spark)
+    lined = chunks.withColumn("start_line", F.lit(7))
+    hits = retrieval.retrieve(chunks, vectors, asked, 1, "bm25")
+    got = {r["query_id"]: r["report"] for r in retrieval.report(retrieval.formatted(hits, lined, False), asked).collect()}
+    assert got[1] == "1 results:\n  auth.py:7 (BM25#1) | login user password login"
+    assert got[2] == "no results for '  '" and got[3] == "no results for 'zzz'"
+
+
+def test_missing_index_and_no_valid_item_are_errors(spark):
+    _, vectors, asked = frames(spark)
+    with pytest.raises(LookupError):
+        retrieval.retrieve(None, vectors, asked)
+    items = spark.createDataFrame([(1, " ", ["a"])], "query_id long, query string, relevant array<string>")
+    with pytest.raises(ValueError, match="no valid query"):
+        retrieval.evaluate({}, vectors, items)
+
+
+def test_nearest_of_many_batches_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 16)
+    rng = np.random.default_rng(3)
+    points = np.repeat(rng.normal(size=(60, 8)), 5, axis=0).astype(np.float32)
+    rows = [(f"{i:03d}", [float(x) for x in p]) for i, p in enumerate(points)] + [("odd", [1.0])]
+    vectors = spark.createDataFrame(rows, "uid string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(20)], "query_id long, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    got = {(r["query_id"], r["vector_rank"]): r["uid"] for r in retrieval.vector_topk(vectors, asked, 7).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i in range(20):
+        d = ((points.astype(float) - points[i * 7].astype(float)) ** 2).sum(1)
+        best = sorted(range(len(points)), key=lambda j: (round(d[j], 6), f"{j:03d}"))[:7]
+        assert [got[i, k + 1] for k in range(7)] == [f"{j:03d}" for j in best]

@@ -1,4 +1,5 @@
 import pytest
+from tamarack.streaming.poll import poll
 from tamarack.streaming.ring import ring
 
 
@@ -32,3 +33,13 @@ def test_ring_over_several_batches_and_a_restart(spark, tmp_path):
     add([(1, 5, "clear"), (1, 6, "x")])
     run()
     assert seen[1] == [6]
+
+
+def test_poll_shows_what_came_since(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    for rows in ([(1,), (2,)], [(3,)]):
+        spark.createDataFrame(rows, "seq long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("seq long").parquet(source)
+        got = poll(stream, lambda batch, _: seen.append(sorted(r["seq"] for r in batch.collect())), str(tmp_path / "ck"), None)
+        got.awaitTermination(120)
+    assert seen == [[1, 2], [3]]
