@@ -77,8 +77,9 @@ def shared_root(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: lineage ends there.
+def keep(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to shared storage, in folders by the column ``by``, and read it back:
+    lineage ends there.
 
     A lost executor then costs a re-read, never a recomputation of what lies before.
     """
@@ -87,7 +88,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_root(spark)}/tamarack-{tag}-{uuid.uuid4().hex}"
     _scopes[-1].append((spark, path))
     with _tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept

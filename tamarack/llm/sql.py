@@ -52,4 +52,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op4_mix_water_filling": OP4, "op10_chat_prefix_targets": OP10}
+OP13 = r"""
+WITH c AS (SELECT list(x ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS x FROM (SELECT unnest(range(256)) AS i))),
+x AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, -row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+e AS (SELECT side, n, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM x),
+k AS (SELECT f, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM e GROUP BY f),
+h AS (
+  SELECT f, s, t, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(hex(encode(f))), 2), lambda i: CAST('0x' || substr(hex(encode(f)), i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS bucket FROM k, c),
+b AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM h GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM b),
+m AS (SELECT n, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM e JOIN h USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY n),
+y AS (
+  SELECT doc_id, n, len(w) AS words, coalesce(n_features, 0) AS n_features,
+         coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS noise
+  FROM x LEFT JOIN m USING (n) WHERE side = 'd'),
+z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST) AS place, count(*) FILTER (words >= 20) OVER () * 25 // 100 AS most FROM y)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, CASE WHEN words >= 20 AND place <= most THEN place END AS rank FROM z
+"""
+
+ORACLES = {"op13_importance_dictionary": OP13, "op4_mix_water_filling": OP4, "op10_chat_prefix_targets": OP10}
