@@ -121,6 +121,11 @@ def discard(*kept: DataFrame) -> None:
             scope[:] = [x for x in scope if x[1] != df._kept_at]
 
 
+def forget(kept: DataFrame, folder: str) -> None:
+    """Delete one folder of a table kept by a column, when nothing reads it any more."""
+    _delete(kept.sparkSession, f"{kept._kept_at}/{folder}")
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables kept inside are deleted at the end, but for those given to what this yields."""

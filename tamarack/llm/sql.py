@@ -76,4 +76,29 @@ z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + no
 SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, CASE WHEN words >= 20 AND place <= most THEN place END AS rank FROM z
 """
 
-ORACLES = {"op13_importance_dictionary": OP13, "op4_mix_water_filling": OP4, "op10_chat_prefix_targets": OP10}
+
+
+def _lloyd() -> str:
+    """Rounds of plain Lloyd: every vector against every centroid."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    steps = []
+    for k in range(4):
+        steps.append(f"""a{k} AS (SELECT n, vec_id, v, best[2] AS k, best[1] AS d FROM (
+  SELECT x.n, any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, min([CAST({far} AS BIGINT), c.k]) AS best FROM x, c{k} AS c GROUP BY x.n))""")
+        steps.append(f"""s{k} AS (SELECT k, i, sum(v[i])::BIGINT AS s, count(*) AS m FROM a{k}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i),
+m{k} AS (SELECT k, list((s - ((s % m) + m) % m) // m ORDER BY i) AS v FROM s{k} GROUP BY k),
+c{k + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{k} AS c LEFT JOIN m{k} AS m USING (k))""")
+    return f"""WITH x AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT v, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM x ORDER BY h, v LIMIT 16)),
+{", ".join(steps[:-1])},
+t AS (SELECT k, sum(d)::BIGINT AS own FROM a3 GROUP BY k)
+SELECT vec_id, CAST(a3.k AS INTEGER) AS cluster, d AS distance, own AS cluster_inertia, CAST((SELECT sum(own) FROM t) AS BIGINT) AS inertia,
+       sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN t USING (k) JOIN c3 USING (k)"""
+
+
+OP12 = _lloyd()
+
+ORACLES = {"op12_delta_lloyd": OP12, "op13_importance_dictionary": OP13, "op4_mix_water_filling": OP4, "op10_chat_prefix_targets": OP10}
