@@ -38,15 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, keep, packed, unpacked
+from .common import discard, forget, keep, packed, unpacked
 
 BUCKETS = 10_000
 SCALE = 1000
 SEED = "7"
 MIN_WORDS = 20
 PERCENT = 25
-BLOCK_BYTES = 12 << 20
-PART_BYTES = 16 << 20
+BLOCK_BYTES = 20 << 20
+PART_BYTES = 24 << 20
+#: Of zstd, for what is shuffled.
+LEVEL = 6
 #: Words are cut from so many bytes of a text at once.
 PIECE = 1 << 20
 _SPACES = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
@@ -97,7 +99,7 @@ def placed(hashes: np.ndarray, distinct: np.ndarray, parts: int) -> tuple[np.nda
 
 
 def squeezed(data: bytes | pa.Buffer) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True)
+    return pa.Codec("zstd", LEVEL).compress(data, asbytes=True)
 
 
 def unsqueezed(data: bytes, size: int) -> bytes:
@@ -139,7 +141,7 @@ class Block:
         two = pc.binary_join_element_wise(begun.take(pa.array(distinct // max(len(known), 1))), ended.take(pa.array(distinct % max(len(known), 1))), pa.scalar(b"", pa.large_binary()))
         strings = pa.concat_arrays([ended, two]).take(pa.array(order))
         offsets, data = np.frombuffer(strings.buffers()[1], np.int64), strings.buffers()[2]
-        own = {"sizes": sizes.tobytes(), "ids": ids.tobytes(), "hashes": hashes.tobytes()}
+        own = {"sizes": sizes.tobytes(), "ids": squeezed(ids.tobytes()), "hashes": hashes.tobytes()}
         borders = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)] if len(order) else [0]
         sent = []
         for a, b in zip(borders, borders[1:]):
@@ -244,7 +246,8 @@ def _summed(dictionary: DataFrame, side: str) -> np.ndarray:
 
 def _weighed(parts: int, gain: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def one(held: pa.Array, own: dict, back: list[dict]) -> pa.RecordBatch:
-        sizes, ids, hashes = (np.frombuffer(own[k], t) for k, t in (("sizes", np.int64), ("ids", np.int32), ("hashes", np.uint32)))
+        sizes, hashes = np.frombuffer(own["sizes"], np.int64), np.frombuffer(own["hashes"], np.uint32)
+        ids = np.frombuffer(unsqueezed(own["ids"], 4 * int(sizes.sum())), np.int32)
         distinct, which = np.unique(pairs(ids, sizes, len(hashes)), return_inverse=True)
         _, order = placed(hashes, distinct, parts)
         told = np.concatenate([np.frombuffer(x["buckets"], np.uint16) for x in sorted(back, key=lambda x: x["part"])] or [np.empty(0, np.uint16)])
@@ -277,6 +280,7 @@ def weigh(docs: DataFrame, target: DataFrame, names: list[str]) -> DataFrame:
     sent = made.where("kind = 'sent'").select("block", *(c for c, _ in _SENT))
     back = "block long, part long, buckets binary, s array<bigint>, t array<bigint>"
     dictionary = keep(sent.groupBy("part").applyInPandas(_part, back), "dictionary")
+    forget(made, "kind=sent")
     gain = gains(_summed(dictionary, "s"), _summed(dictionary, "t"))
     own = made.where("kind = 'own' and rows is not null").select("block", "rows", *(c for c, _ in _OWN))
     told = dictionary.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "buckets")).alias("back"))
