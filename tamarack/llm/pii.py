@@ -79,7 +79,7 @@ _BLOCK = 256
 _PIECE = 1024
 
 
-def _running(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+def running(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
     """Running sums or maxima of an array of longs: whole blocks first, then inside the block."""
     zero = F.lit(start).cast("long")
     block = F.lit(_BLOCK)
@@ -197,7 +197,7 @@ def _found(n: int, kind: str) -> Column:
             return F.transform(m, lambda _, i: (F.length(F.get(g, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(F.lit(0))).cast("long"))
 
         add = lambda a, x: a + x
-        placed = lambda g: let(let(steps(g), lambda s: _running(s, 0, add)), lambda p: F.transform(m, _span(n, kind, g, p)))
+        placed = lambda g: let(let(steps(g), lambda s: running(s, 0, add)), lambda p: F.transform(m, _span(n, kind, g, p)))
         some = let(F.split(text, pattern, -1), placed)
         return F.when(F.size(m) > 0, some).otherwise(F.array().cast(SPANS))
 
@@ -328,11 +328,11 @@ def _between(blocks: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substring(F.array_join(some, ""), (start % F.lit(_PIECE) + 1).cast("int"), (end - start).cast("int"))).otherwise(F.lit(""))
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: Column, spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """``text`` with the union of ``spans`` replaced: overlapping ones are one, called after the
     first of them (the longest of those that start there)."""
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    name = lambda k: F.element_at(F.array(*[F.lit(f"<{x.upper()}>") for x in KINDS]), k + 1)
+    name = lambda k: F.element_at(F.array(*[F.lit(f"<{x.upper()}>") for x in kinds]), k + 1)
     zero = F.lit(0).cast("long")
 
     def firsts(o: Column, reach: Column) -> Column:
@@ -346,7 +346,7 @@ def masked(text: Column, spans: Column) -> Column:
 
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
     further = lambda a, x: F.greatest(a, x)
-    out = let(ordered, lambda o: let(let(F.transform(o, lambda s: -s["less"]), lambda e: _running(e, 0, further)), lambda r: let(firsts(o, r), lambda h: let(blocks, lambda b: joined(h, r, b, text)))))
+    out = let(ordered, lambda o: let(let(F.transform(o, lambda s: -s["less"]), lambda e: running(e, 0, further)), lambda r: let(firsts(o, r), lambda h: let(blocks, lambda b: joined(h, r, b, text)))))
     return F.when(F.size(spans) > 0, out).otherwise(text)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, importance, jaccard_join, licences, lloyd, mixing, packing, pii, quality, search, tokens, toxicity
+from . import chat, importance, jaccard_join, licences, lloyd, mixing, packing, pii, quality, search, secret_scan, tokens, toxicity
 from .common import keep, table
 from .sql import ORACLES
 
@@ -56,6 +56,10 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(rows))
 
 
+def op11_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(table(spark, sf_dir, "documents"))
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.fit(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_jaccard_partenum,
         op9_pack_hilbert,
         op10_chat_prefix_targets,
+        op11_secret_markov,
         op12_delta_lloyd,
         op13_importance_dictionary,
     )
