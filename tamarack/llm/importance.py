@@ -45,8 +45,11 @@ SCALE = 1000
 SEED = "7"
 MIN_WORDS = 20
 PERCENT = 25
-BLOCK_BYTES = 20 << 20
-PART_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+PART_BYTES = 12 << 20
+#: Pairs go to parts by their first word and so many bytes of the second: neighbours in order
+#: stay together, which packs well, and pairs of a frequent first word still spread.
+HEAD = 2
 #: Of zstd, for what is shuffled.
 LEVEL = 6
 #: Words are cut from so many bytes of a text at once.
@@ -90,10 +93,10 @@ def pairs(ids: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
     return ids[at].astype(np.int64) * n_words + ids[at + 1]
 
 
-def placed(hashes: np.ndarray, distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def placed(hashes: np.ndarray, heads: np.ndarray, distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Part of each feature of a block (its words, then its pairs), and the features' order by part."""
     n = max(len(hashes), 1)
-    part = np.concatenate((spread(hashes, 0), spread(hashes[distinct // n], hashes[distinct % n].astype(np.uint64) + np.uint64(1)))) % np.uint64(parts)
+    part = np.concatenate((spread(hashes, 0), spread(hashes[distinct // n], heads[distinct % n].astype(np.uint64) + np.uint64(1)))) % np.uint64(parts)
     part = part.astype(np.int64)
     return part, np.argsort(part, kind="stable")
 
@@ -132,16 +135,17 @@ class Block:
         ids = rank[np.concatenate(self.ids)] if self.ids else np.empty(0, np.int32)
         sizes = np.array(self.sizes, np.int64)
         hashes = np.array([zlib.crc32(w) for w in known], np.uint32)
+        heads = np.array([int.from_bytes(w[:HEAD], "big") for w in known], np.uint32)
         distinct, times = np.unique(pairs(ids, sizes, len(known)), return_counts=True)
-        part, order = placed(hashes, distinct, parts)
-        n = np.concatenate((np.bincount(ids, minlength=len(known)), times)).astype(np.int64)
+        part, order = placed(hashes, heads, distinct, parts)
+        n = np.concatenate((np.bincount(ids, minlength=len(known)), times)).astype(np.uint32)
         # strings end with a line feed, which no word holds, so that a slice of the buffer is a list of them
         ended = pa.array([w + b"\n" for w in known], pa.large_binary())
         begun = pa.array([w + b" " for w in known], pa.large_binary())
         two = pc.binary_join_element_wise(begun.take(pa.array(distinct // max(len(known), 1))), ended.take(pa.array(distinct % max(len(known), 1))), pa.scalar(b"", pa.large_binary()))
         strings = pa.concat_arrays([ended, two]).take(pa.array(order))
         offsets, data = np.frombuffer(strings.buffers()[1], np.int64), strings.buffers()[2]
-        own = {"sizes": sizes.tobytes(), "ids": squeezed(ids.tobytes()), "hashes": hashes.tobytes()}
+        own = {"sizes": sizes.tobytes(), "ids": squeezed(ids.tobytes()), "hashes": hashes.tobytes(), "heads": squeezed(heads.tobytes())}
         borders = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)] if len(order) else [0]
         sent = []
         for a, b in zip(borders, borders[1:]):
@@ -150,7 +154,7 @@ class Block:
         return own, sent
 
 
-_OWN = (("sizes", pa.large_binary()), ("ids", pa.large_binary()), ("hashes", pa.large_binary()))
+_OWN = (("sizes", pa.large_binary()), ("ids", pa.large_binary()), ("hashes", pa.large_binary()), ("heads", pa.large_binary()))
 _SENT = (("part", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("strings", pa.large_binary()), ("counts", pa.large_binary()))
 
 
@@ -186,6 +190,7 @@ def blocks(docs: DataFrame, side: int, parts: int, names: list[str]) -> DataFram
                 if block.bytes >= BLOCK_BYTES:
                     rows.append(carried.slice(since, i + 1 - since))
                     yield from made()
+                    pa.default_memory_pool().release_unused()
                     since, block, rows, count = i + 1, Block(), [], count + 1
             if since < batch.num_rows:
                 rows.append(carried.slice(since))
@@ -206,9 +211,9 @@ def _part(rows: pd.DataFrame) -> pd.DataFrame:
         data = unsqueezed(text, size)
         ends = np.concatenate(([0], np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1)).astype(np.int64)
         texts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)]))
-        counts.append(np.frombuffer(unsqueezed(times, 8 * n), np.int64))
+        counts.append(np.frombuffer(unsqueezed(times, 4 * n), np.uint32))
     coded = pa.concat_arrays(texts).dictionary_encode()
-    which, times = coded.indices.to_numpy(), np.concatenate(counts)
+    which, times = coded.indices.to_numpy(), np.concatenate(counts).astype(np.int64)
     bucket = np.fromiter((zlib.crc32(s[:-1]) % BUCKETS for s in coded.dictionary.to_pylist()), np.uint16, len(coded.dictionary))
     begins = np.concatenate(([0], np.cumsum(rows["n"].to_numpy())))
     target = np.repeat(rows["block"].to_numpy() >> 62, rows["n"].to_numpy()) == 1
@@ -219,6 +224,7 @@ def _part(rows: pd.DataFrame) -> pd.DataFrame:
         by_bucket = np.zeros(BUCKETS, np.int64)
         np.add.at(by_bucket, bucket, total)
         sums.append(by_bucket)
+    pa.default_memory_pool().release_unused()
     own = [k for k, b in enumerate(rows["block"]) if b >> 62 == 0]
     back = [bucket[which[begins[k] : begins[k + 1]]].tobytes() for k in own]
     part = int(rows["part"].iloc[0])
@@ -249,7 +255,8 @@ def _weighed(parts: int, gain: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]
         sizes, hashes = np.frombuffer(own["sizes"], np.int64), np.frombuffer(own["hashes"], np.uint32)
         ids = np.frombuffer(unsqueezed(own["ids"], 4 * int(sizes.sum())), np.int32)
         distinct, which = np.unique(pairs(ids, sizes, len(hashes)), return_inverse=True)
-        _, order = placed(hashes, distinct, parts)
+        heads = np.frombuffer(unsqueezed(own["heads"], 4 * len(hashes)), np.uint32)
+        _, order = placed(hashes, heads, distinct, parts)
         told = np.concatenate([np.frombuffer(x["buckets"], np.uint16) for x in sorted(back, key=lambda x: x["part"])] or [np.empty(0, np.uint16)])
         mine = np.empty(len(order), np.int64)
         mine[order] = gain[told]
@@ -265,7 +272,7 @@ def _weighed(parts: int, gain: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             for i in range(batch.num_rows):
                 held = batch.column("rows").slice(i, 1).flatten()
-                own = {k: batch.column(k)[i].as_py() for k in ("sizes", "ids", "hashes")}
+                own = {k: batch.column(k)[i].as_py() for k, _ in _OWN}
                 yield one(held, own, batch.column("back")[i].as_py() or [])
 
     return run
