@@ -55,7 +55,7 @@ def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS, seed: str = SE
     """The vectors of least hash of seed and id, in that order; equal hashes go by components."""
     draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256)
     top = vectors.select(draw.alias("draw"), "v").orderBy("draw", "v").limit(clusters).collect()
-    return np.array([r["v"] for r in top], np.int64).reshape(len(top), -1)
+    return np.array([r["v"] for r in top], np.int64)
 
 
 # --- a round ------------------------------------------------------------------------------
