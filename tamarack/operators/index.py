@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.operators.chunks import WINDOW, chunk, uid
+from tamarack.sources.files import contents, listed
 
 
 class Built(NamedTuple):
@@ -59,22 +60,32 @@ def build(
     embed: Callable[[DataFrame], DataFrame] | None = None,
     force: bool = False,
     window: int = WINDOW,
+    read: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Built:
-    """Bring an index up to date with ``files`` (``file, mtime, content``, as a scan gives them).
+    """Bring an index up to date with ``files`` (``file, mtime``, and ``content`` unless ``read`` is
+    given).
 
     New and changed files are cut into chunks (``uid, file, start_line, end_line, document``),
     ``embed`` adds what columns it likes to these alone, and they replace the file's old chunks;
-    chunks of deleted files go. ``force`` forgets state and index. Without an index all files
-    are fresh, whatever the state says. The summary is one row: ``files`` and ``chunks``
-    indexed, ``removed`` files, ``up_to_date``. Write the results elsewhere than where their
-    inputs are read from. A null content is an empty file, which has no chunks; uids are unique,
-    as two chunks of one file and the same lines are the same.
+    chunks of deleted files go. ``read`` gets the rows of new and changed files only and gives
+    their ``file, content``: no other file is opened. ``force`` forgets state and index. Without
+    an index all files are fresh, whatever the state says. The summary is one row: ``files`` and
+    ``chunks`` indexed, ``removed`` files, ``up_to_date``. Write the results elsewhere than where
+    their inputs are read from.
+
+    Defined cases: a null content is an empty file, which has no chunks; a file without name is
+    none; of a name that occurs twice the row of the latest ``mtime`` counts (then of the greatest
+    content); uids are unique, as two chunks of one file and the same lines are the same.
     """
     if force or index is None:
         state = state.limit(0)
+    own = [c for c in files.columns if c != "file"]
+    rank = F.struct(F.col("mtime"), *([F.col("content")] if "content" in own else []), *[F.col(c) for c in own if c not in ("mtime", "content")])
+    files = files.where("file is not null").groupBy("file").agg(F.max(rank).alias("r")).select("file", *[F.col("r").getField(c).alias(c) for c in own])
     changes = diff(files.select("file", "mtime"), state)
     todo = changes.where("change in ('new', 'changed')").select("file")
-    cut = chunk(files.select("file", "content").join(todo, "file", "left_semi"), window)
+    wanted = files.join(todo, "file", "left_semi")
+    cut = chunk(read(wanted) if read else wanted.select("file", "content"), window)
     fresh = cut.select(uid().alias("uid"), "file", "start_line", "end_line", F.col("content").alias("document")).dropDuplicates(["uid"])
     counts = changes.agg(F.count_if(F.col("change").isin("new", "changed")).alias("files"), F.count_if(F.col("change") == "deleted").alias("removed"))
     told = counts.crossJoin(F.broadcast(fresh.agg(F.count("*").alias("chunks"))))
@@ -82,3 +93,16 @@ def build(
     made = embed(fresh) if embed else fresh
     whole = made if force or index is None else refresh(index, changes, made)
     return Built(whole, next_state(files), told)
+
+
+def build_folder(
+    spark: SparkSession,
+    root: str,
+    state: DataFrame,
+    index: DataFrame | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    force: bool = False,
+    window: int = WINDOW,
+) -> Built:
+    """``build`` over the wanted files under ``root``: all are listed, new and changed ones read."""
+    return build(listed(spark, root), state, index, embed, force, window, contents)

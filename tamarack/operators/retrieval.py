@@ -7,18 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions.ranking import ranked
 from tamarack.functions.text import snippet, tokenize
+from tamarack.operators.neighbours import HIT, SLACK, Cells, exact, indexed, search, usable
 
 K1, B = 1.5, 0.75
 RRF_K = 60
-#: Query terms and query vectors are broadcast in blocks of so many rows.
+#: So many query vectors are broadcast at most.
 QUERY_BLOCK = 4096
 BROADCAST_ROWS = 200_000
-#: Rows multiplied with a block of queries at once, and what a product may be off by.
-TILE, SLACK = 256, 1e-5
+#: Rows multiplied with the queries at once.
+TILE = 256
 #: Stands for a chunk itself among its tokens, which are never empty.
 COUNTED = ""
 
@@ -51,12 +53,6 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return tokens_of(chunks).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def ranked(scored: DataFrame, limit: int, rank: str) -> DataFrame:
-    """The best ``limit`` a query by score, then uid, with 1-based ranks."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "uid")
-    return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit)
-
-
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, uid, score`` of every chunk that shares a token with the query.
 
@@ -91,36 +87,34 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFra
 def vector_topk(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """``query_id, uid, score, vector_rank`` by squared Euclidean distance (score is its negative).
 
-    ``vectors`` has ``uid, embedding``, ``queries`` ``query_id, embedding``. Queries are
-    broadcast in blocks; each task multiplies tiles of rows with a block and keeps ``limit`` a
-    query. Vectors of another length than a query's are none of its hits; null ones of no one's.
+    ``vectors`` has ``uid, embedding``, ``queries`` ``query_id, embedding``. Up to ``QUERY_BLOCK``
+    queries are broadcast; each task multiplies tiles of rows with them and keeps ``limit`` a
+    query. More of them are joined with the vectors block by block, and none comes to the driver.
+    Vectors of another length than a query's are none of its hits; null ones, and those with a
+    null element, of no one's. A null query_id is a query as well.
     """
-    spark = vectors.sparkSession
-    queries = queries.where("embedding is not null")
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = spark.createDataFrame([], "query_id long, uid string, score double")
-    rows = vectors.where("embedding is not null").select("uid", "embedding")
-    for k in range(blocks if n else 0):
-        asked: dict[int, tuple[list, list]] = {}
-        for r in queries.where(F.col("block") == k).collect():
-            ids, points = asked.setdefault(len(r["embedding"]), ([], []))
-            ids.append(r["query_id"])
-            points.append(r["embedding"])
-        held = spark.sparkContext.broadcast({size: (np.array(i), np.array(p, np.float64).reshape(len(i), -1)) for size, (i, p) in asked.items()})
-        out = out.unionByName(rows.mapInArrow(_nearest(held, limit), "query_id long, uid string, score double"))
-    return ranked(out.select("query_id", "uid", F.round("score", 6).alias("score")), limit, "vector_rank")
+    queries = queries.where(usable(F.col("embedding"))).select("query_id", "embedding")
+    rows = vectors.where(usable(F.col("embedding"))).select("uid", "embedding")
+    asked = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(asked) > QUERY_BLOCK:
+        return ranked(exact(rows, queries, limit), limit, "vector_rank")
+    by_size: dict[int, tuple[list, list]] = {}
+    for r in asked:
+        ids, points = by_size.setdefault(len(r["embedding"]), ([], []))
+        ids.append(r["query_id"])
+        points.append(r["embedding"])
+    held = vectors.sparkSession.sparkContext.broadcast({size: (i, np.array(p, np.float64).reshape(len(i), -1)) for size, (i, p) in by_size.items()})
+    return ranked(rows.mapInArrow(_nearest(held, limit), HIT), limit, "vector_rank")
 
 
 def _nearest(held, limit: int):
     """Each task's best ``limit`` rows a query, by rounded score and then uid."""
 
     def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(parts).sort_values(["query_id", "score", "uid"], ascending=[True, False, True]).groupby("query_id").head(limit)
+        return pd.concat(parts).sort_values(["q", "score", "uid"], ascending=[True, False, True]).groupby("q").head(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept: dict[int, pd.DataFrame] = {}
         worst = {size: np.full(len(ids), np.inf) for size, (ids, _) in held.value.items()}
         for batch in batches:
             uid, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -141,13 +135,14 @@ def _nearest(held, limit: int):
                     if len(q):
                         gone = asked[q] - x[r]
                         score = np.round(-np.einsum("ij,ij->i", gone, gone), 6) + 0.0
-                        fresh = pd.DataFrame({"query_id": ids[q], "uid": uid[tile[r]], "score": score})
-                        kept = best([fresh] if kept is None else [kept, fresh])
-                        full = kept.groupby("query_id")["score"].agg(["size", "min"])
-                        last = full["min"].where(full["size"] >= limit).reindex(ids).to_numpy()
+                        fresh = pd.DataFrame({"q": q, "uid": uid[tile[r]], "score": score})
+                        kept[size] = best([fresh, *([kept[size]] if size in kept else [])])
+                        full = kept[size].groupby("q")["score"].agg(["size", "min"])
+                        last = full["min"].where(full["size"] >= limit).reindex(range(len(ids))).to_numpy()
                         worst[size] = np.where(np.isnan(last), np.inf, -last)
-        if kept is not None:
-            yield pa.RecordBatch.from_pandas(kept[["query_id", "uid", "score"]], preserve_index=False)
+        for size, hits in kept.items():
+            asked_by = pa.array(held.value[size][0], pa.int64()).take(pa.array(hits["q"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([asked_by, pa.array(hits["uid"].to_numpy(), pa.string()), pa.array(hits["score"].to_numpy())], names=["query_id", "uid", "score"])
 
     return run
 
@@ -167,11 +162,11 @@ def rrf(vector_hits: DataFrame, bm25_hits: DataFrame, limit: int = 10, k: int =
     return ranked(both.withColumn("score", score), limit, "rank")
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 10, mode: str = "hybrid") -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 10, mode: str = "hybrid", cells: Cells | None = None) -> DataFrame:
     """Hits of every query (``query_id, query, embedding``) as ``query_id, uid, score, vector_rank,
     bm25_rank, rank``. Blank queries and n below one give nothing; an unknown mode is a
     ``ValueError``, and no index (None for ``chunks`` or ``vectors`` that the mode needs) a
-    ``LookupError``."""
+    ``LookupError``. With ``cells`` (of ``neighbours.fit``) vectors are searched approximately."""
     if mode not in ("vector", "bm25", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
     if (chunks is None and mode != "vector") or (vectors is None and mode != "bm25"):
@@ -182,7 +177,8 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int =
     none = F.lit(None).cast("int")
     depth = candidate_limit(n) if mode == "hybrid" else n
     if mode != "bm25":
-        v = vector_topk(vectors, asked.select("query_id", "embedding"), depth)
+        points = asked.select("query_id", "embedding")
+        v = search(indexed(vectors, cells), points, cells, depth) if cells else vector_topk(vectors, points, depth)
         if mode == "vector":
             return v.select("query_id", "uid", "score", "vector_rank", none.alias("bm25_rank"), F.col("vector_rank").alias("rank"))
     b = bm25_topk(chunks, asked.select("query_id", "query"), depth)

@@ -44,6 +44,7 @@ ve AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id OR
 _BY_ITEM = "SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id WHERE trim(coalesce(text, '')) <> ''"
 BM25_TOPK = f"WITH {_bm25(10)} SELECT * FROM bm"
 VECTOR_TOPK = f"WITH {_vector(10, 'SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0')} SELECT * FROM ve"
+VECTOR_BLOCKS = f"WITH {_vector(3, 'SELECT vec_id AS query_id, embedding FROM embeddings')} SELECT * FROM ve"
 
 
 def _hybrid(limit: int = 10) -> str:
@@ -63,7 +64,7 @@ SEARCH_REPORT = f"""WITH {_bm25(10)},
 ln AS (SELECT query_id, bm25_rank AS r, coalesce(file, '') || ':' || (CAST(uid AS BIGINT) % 90) || ' (BM25#' || bm25_rank || ') | ' || replace(coalesce(substr(document, 1, 150), ''), chr(10), ' ') AS line
   FROM bm LEFT JOIN docs USING (uid) WHERE query_id % 10 <> 0),
 p AS (SELECT query_id, count(*) || ' results:' || string_agg(chr(10) || '  ' || line, '' ORDER BY r) AS found FROM ln GROUP BY query_id)
-SELECT item_id AS query_id, coalesce(found, 'no results for ' || chr(39) || CASE WHEN item_id % 10 = 0 THEN 'zzzz qqqq' ELSE coalesce(text, '') END || chr(39)) AS report
+SELECT item_id AS query_id, coalesce(found, 'no results for ' || chr(39) || CASE WHEN item_id % 10 = 0 THEN 'zzzzqqqq qqqqzzzz' ELSE coalesce(text, '') END || chr(39)) AS report
 FROM benchmark LEFT JOIN p ON item_id = query_id"""
 RETRIEVAL_EVAL = f"""WITH {_hybrid()},
 items AS (SELECT item_id AS query_id, ['src' || (item_id % 20), CAST(item_id AS VARCHAR)] AS relevant FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
@@ -81,7 +82,7 @@ FROM (SELECT file, l, unnest(range(0, len(l), 30)) AS s FROM ({_LINES})) WHERE r
 LINE_SLICE = f"""SELECT file, CAST(i AS INTEGER) AS line_no, CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 4, ' ') ELSE CAST(i AS VARCHAR) END || ' | ' || l[i] AS line
 FROM (SELECT file, l, unnest(range(3, least(8, len(l)) + 1)) AS i FROM ({_LINES}))"""
 REGEX_SEARCH = f"""SELECT file, CAST(i AS INTEGER) AS line_no, substr(regexp_replace(l[i], '^\\s+|\\s+$', '', 'g'), 1, 120) AS line
-FROM (SELECT file, l, unnest(range(1, len(l) + 1)) AS i FROM ({_LINES})) WHERE regexp_matches(l[i], '[Ll]icense') ORDER BY file, line_no LIMIT 50"""
+FROM (SELECT file, l, unnest(range(1, len(l) + 1)) AS i FROM ({_LINES})) WHERE regexp_matches(l[i], '^[A-Z]\\w*.*[Ll]icense.*\\.$') ORDER BY file, line_no LIMIT 50"""
 SNIPPETS = "SELECT doc_id, replace(substr(coalesce(text, ''), 1, 150), chr(10), ' ') AS snippet, substr(text, 1, 500) AS clipped FROM documents"
 
 _SNAPS = """disk AS (SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 7 = 0 THEN n_chars + 0.5 ELSE n_chars END::DOUBLE AS mtime FROM documents WHERE doc_id % 5 <> 0),

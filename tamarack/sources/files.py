@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tamarack.sources.folder import FolderSource, opened, there
 
 #: Folders that are passed over, and suffixes that are read.
 SKIP = (".git", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode")
@@ -12,22 +16,14 @@ SEARCHED = (
     ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".html", ".css", ".vue", ".yaml", ".yml",
     ".json", ".md", ".txt", ".sh", ".sql", ".xml", ".toml", ".cfg", ".ini",
 )
+#: Folders that an index keeps beside the files.
+OWN = (".tamarack",)
 STATE_FILES = 10_000
+#: Bytes that a task reads, and characters that it gives at once.
+TASK_BYTES, BATCH = 64 << 20, 8 << 20
 INDEXED = (*SEARCHED, ".cpp", ".c", ".h")
 
 
-@F.pandas_udf(T.StringType())
-def utf8(data):
-    """Text of bytes; what isn't UTF-8 is dropped."""
-    return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-
-def relative(root: str, path: Column) -> Column:
-    bare = root.rstrip("/")
-    bare = bare.split(":", 1)[1] if ":" in bare.split("/")[0] else bare
-    return F.substring_index(F.regexp_replace(path, "^[a-z0-9]+:/*", "/"), bare + "/", -1)
-
-
 def wanted(file: Column, suffixes: tuple[str, ...] = INDEXED, skip: tuple[str, ...] = SKIP) -> Column:
     """Whether a relative path has a wanted suffix and no folder of ``skip``."""
     name = F.element_at(F.split(file, "/"), -1)
@@ -35,19 +31,71 @@ def wanted(file: Column, suffixes: tuple[str, ...] = INDEXED, skip: tuple[str, .
     return suffix.isin(*suffixes) & ~F.arrays_overlap(F.split(file, "/"), F.array(*map(F.lit, skip)))
 
 
-def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = INDEXED, skip: tuple[str, ...] = SKIP) -> DataFrame:
-    """``file, mtime, size, content`` of every wanted file under ``root``; a query that leaves
-    ``content`` out reads no bytes."""
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    got = got.withColumn("file", relative(root, F.col("path"))).where(wanted(F.col("file"), suffixes, skip))
-    return got.select("file", F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), utf8("content").alias("content"))
+def entries(spark: SparkSession, root: str, skip: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
+    """``file, path, is_folder, mtime, size`` of all entries under ``root``, without opening one;
+    no such folder is a ``FileNotFoundError``."""
+    if not there(root):
+        raise FileNotFoundError(root)
+    spark.dataSource.register(FolderSource)
+    return spark.read.format("folder").option("skip", ",".join(skip)).option("recursive", str(recursive)).load(root)
+
+
+def listed(spark: SparkSession, root: str, suffixes: tuple[str, ...] = INDEXED, skip: tuple[str, ...] = SKIP, own: tuple[str, ...] = OWN) -> DataFrame:
+    """``file, path, mtime, size`` of every wanted file under ``root``: the folders of ``skip``,
+    and those that an index keeps for itself (``own``), aren't entered, and no file is opened."""
+    rows = entries(spark, root, (*skip, *own)).where(~F.col("is_folder"))
+    return rows.where(wanted(F.col("file"), suffixes, (*skip, *own))).select("file", "path", "mtime", "size")
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of files, a few megabytes at a time; bytes that aren't UTF-8 are dropped."""
+    for batch in batches:
+        out, held = [], 0
+        for file, path in zip(batch["file"], batch["path"], strict=True):
+            store, plain = opened(path)
+            try:
+                with store.open_input_stream(plain) as stream:
+                    text = stream.read().decode("utf-8", "ignore")
+            except OSError:  # gone or locked meanwhile
+                text = None
+            out.append((file, text))
+            held += len(text or "")
+            if held > BATCH:
+                yield pd.DataFrame(out, columns=["file", "content"])
+                out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["file", "content"])
+
+
+def contents(chosen: DataFrame) -> DataFrame:
+    """``file, content`` of the files of a listing (``file, path, size``), and of no others.
+
+    Names are dealt out to a task for every ``TASK_BYTES``; each task opens its own files. A file
+    that can't be read has a null content.
+    """
+    total = chosen.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-int(total) // TASK_BYTES))
+    return chosen.select("file", "path").repartition(tasks, "path").mapInPandas(_read, "file string, content string")
+
+
+def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = INDEXED, skip: tuple[str, ...] = SKIP, own: tuple[str, ...] = OWN) -> DataFrame:
+    """``file, mtime, size, content`` of every wanted file under ``root``; others are listed at
+    most, never opened."""
+    found = listed(spark, root, suffixes, skip, own)
+    return found.select("file", "mtime", "size").join(contents(found), "file")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries right under ``folder`` by name, hidden ones too, folders with a slash; an empty
+    folder gives no row, and none at all a ``FileNotFoundError``."""
+    rows = entries(spark, folder, recursive=False)
+    return rows.select(F.concat("file", F.when(F.col("is_folder"), "/").otherwise("")).alias("entry")).orderBy("entry")
 
 
-def listing(files: DataFrame) -> DataFrame:
-    """Entries right under the root, folders with a slash, by name."""
-    top = F.element_at(F.split("file", "/"), 1)
-    entry = F.when(F.contains("file", F.lit("/")), F.concat(top, F.lit("/"))).otherwise(top)
-    return files.select(entry.alias("entry")).distinct().orderBy("entry")
+def write_files(rows: DataFrame, root: str) -> None:
+    """Each row (``file, content``) as a file under ``root``, parents created; existing ones are replaced."""
+    rows.sparkSession.dataSource.register(FolderSource)
+    rows.select("file", "content").write.format("folder").mode("append").save(root)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

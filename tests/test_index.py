@@ -41,3 +41,34 @@ def test_build_over_two_snapshots_and_a_saved_state(spark, tmp_path):
     assert second.summary.first().asDict() == {"files": 2, "chunks": 3, "removed": 1, "up_to_date": False}
     assert {r["document"] for r in index.build(two, state, held, seen, force=True).index.where("file = 'b.md'").collect()} == {"unread"}
     assert index.build(one.limit(0), state, held, seen).index.count() == 0
+
+
+def test_a_folder_is_built_by_reading_changed_files_only(spark, tmp_path, monkeypatch):
+    root = tmp_path / "src"
+    root.mkdir()
+    for name, text in {"a.py": "def first(a):\n    return a\n", "b.md": "one", "c.md": "two"}.items():
+        (root / name).write_text(text)
+    empty = spark.createDataFrame([], "file string, mtime double")
+    first = index.build_folder(spark, str(root), empty)
+    first.index.write.parquet(str(tmp_path / "index"))
+    files.write_state(first.state, str(tmp_path / "state"))
+    state, held = files.read_state(spark, str(tmp_path / "state")), spark.read.parquet(str(tmp_path / "index"))
+    assert {r["uid"] for r in held.collect()} == {"a.py:1-2", "b.md:1-1", "c.md:1-1"}
+    (root / "b.md").write_text("new")
+    (root / "c.md").unlink()
+    (root / "d.md").write_text("four")
+    read = []
+    monkeypatch.setattr(index, "contents", lambda chosen: (read.append(sorted(r["file"] for r in chosen.collect())), files.contents(chosen))[1])
+    second = index.build_folder(spark, str(root), state, held)
+    assert {(r["uid"], r["document"]) for r in second.index.collect() if r["file"] != "a.py"} == {("b.md:1-1", "new"), ("d.md:1-1", "four")}
+    assert read == [["b.md", "d.md"]]
+    assert second.summary.first().asDict() == {"files": 2, "chunks": 2, "removed": 1, "up_to_date": False}
+
+
+def test_repeated_and_nameless_files(spark):
+    schema = "file string, mtime double, content string"
+    empty = spark.createDataFrame([], "file string, mtime double")
+    rows = [("a.md", 1.0, "old"), ("a.md", 2.0, "new"), ("a.md", 2.0, "mid"), (None, 3.0, "none"), ("b.md", 1.0, None)]
+    got = index.build(spark.createDataFrame(rows, schema), empty)
+    assert [(r["uid"], r["document"]) for r in got.index.collect()] == [("a.md:1-1", "new")]
+    assert sorted(tuple(r) for r in got.state.collect()) == [("a.md", 2.0), ("b.md", 1.0)]

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 from tamarack.sources import files, pages
 
@@ -11,7 +13,51 @@ def test_scan_skips_folders_and_drops_bad_bytes(spark, tmp_path):
     rows = {r["file"]: r["content"] for r in files.scan(spark, str(tmp_path)).collect()}
     assert rows == {"a.py": "xy", "sub/b.md": "é", "f.cpp": "int"}
     assert {r["file"] for r in files.scan(spark, str(tmp_path), files.SEARCHED).collect()} == {"a.py", "sub/b.md"}
-    assert [r["entry"] for r in files.listing(files.scan(spark, str(tmp_path))).collect()] == ["a.py", "f.cpp", "sub/"]
+    assert [r["entry"] for r in files.listing(spark, str(tmp_path)).collect()] == [".git/", "a.py", "d.bin", "f.cpp", "sub/"]
+
+
+def test_listing_has_hidden_and_empty_entries(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    for name in ("__init__.py", ".hidden", "b[1].txt"):
+        (tmp_path / name).write_text("x")
+    assert [r["entry"] for r in files.listing(spark, str(tmp_path)).collect()] == [".hidden", "__init__.py", "b[1].txt", "empty/"]
+    assert files.listing(spark, str(tmp_path / "empty")).count() == 0
+    for read in (files.listing, files.scan):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(tmp_path / "none"))
+
+
+def test_scan_opens_wanted_files_only(spark, tmp_path):
+    """Names that Spark's readers hide are read; what is not wanted couldn't be."""
+    for name in ("p/__init__.py", "p/_own.py", "p/deep/er/x[1] {y}.md", "node_modules/a.js", ".tamarack/state.json", "big.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    for name in ("node_modules/a.js", ".tamarack/state.json", "big.bin"):
+        (tmp_path / name).unlink()
+        (tmp_path / name).symlink_to(tmp_path / "loop" / name)  # can be listed, not opened
+    rows = {r["file"]: r["content"] for r in files.scan(spark, f"file://{tmp_path}").collect()}
+    assert rows == {x: x for x in ("p/__init__.py", "p/_own.py", "p/deep/er/x[1] {y}.md")}
+
+
+def test_a_wide_tree_is_walked_in_many_tasks(spark, tmp_path, monkeypatch):
+    want = set()
+    for i in range(70):
+        for j in range(2):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f.py").write_text("x")
+            want.add(f"d{i}/e{j}/f.py")
+    got = files.listed(spark, str(tmp_path))
+    assert {r["file"] for r in got.collect()} == want and got.rdd.getNumPartitions() > 20
+
+
+def test_rows_are_written_as_files_or_not_at_all(spark, tmp_path):
+    root = tmp_path / "out"
+    rows = spark.createDataFrame([("a.txt", "é"), ("sub/b.txt", ""), ("sub/c.txt", None)], "file string, content string")
+    files.write_files(rows, str(root))
+    assert {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()} == {"a.txt": "é", "sub/b.txt": "", "sub/c.txt": ""}
+    with pytest.raises(Exception, match="not a file under the root"):
+        files.write_files(spark.createDataFrame([("new.txt", "x"), ("../out.txt", "x")], "file string, content string").coalesce(1), str(root))
+    assert sorted(p.name for p in root.rglob("*") if p.is_file()) == ["a.txt", "b.txt", "c.txt"]
 
 
 def test_state_and_eval_files(spark, tmp_path):
