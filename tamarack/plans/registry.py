@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import ranking, text
-from tamarack.operators import chunks, dialogue, events, index, neighbours, protocol, retrieval
+from tamarack.operators import chunks, dialogue, events, index, neighbours, postings, protocol, retrieval
 from tamarack.plans import sql
-from tamarack.sources import pages
+from tamarack.sources import files, pages, shared, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -213,6 +213,56 @@ def index_build_summary(spark, d):
     return _built(spark, d).summary
 
 
+@query
+def index_store(spark, d):
+    """The upsert of ``index_upsert`` in a kept table, of which touched parts are written again."""
+    changes, old, new = _snapshots(spark, d)
+    kept = store.Store(spark, shared.fresh_path(spark, "store"), parts=32)
+    kept.update(old.select("file").limit(0), old)
+    fresh = new.join(changes.where("change in ('new', 'changed')").select("file"), "file").select(*old.columns)
+    kept.update(changes.where("change in ('deleted', 'changed')"), fresh)
+    return kept.read()
+
+
+@query
+def bm25_indexed(spark, d):
+    """A kept inverted index after three builds: a third of the chunks, stale ones among them, the
+    others, and the stale ones anew."""
+    built = postings.Postings(spark, shared.fresh_path(spark, "postings"))
+    docs, number = _chunks(spark, d), F.col("uid").cast("long")
+    stale = docs.where(number % 6 == 0).withColumn("document", F.concat(F.lit("stale "), F.coalesce("document", F.lit(""))))
+    built.add(docs.where(number % 6 == 3).unionByName(stale))
+    built.add(docs.where(number % 3 != 0))
+    built.add(docs.where(number % 6 == 0), stale)
+    asked = _asked(spark, d).where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    return built.search(asked.select("query_id", "query")).select("query_id", "uid", "score", "bm25_rank")
+
+
+def _on_disk(spark, d, word: str, more: int):
+    """Documents as files: a third of them modules of Python, the others their texts and ``word``."""
+    number = F.col("doc_id").cast("string")
+    module = F.concat(F.lit("x = "), number, F.lit("\n\n@wraps\ndef first(a):\n    return "), (F.col("n_chars") + more).cast("string"), F.lit("\n\nclass Second:\n    size = 1\n"))
+    is_module = F.col("doc_id") % 3 == 0
+    name = F.concat("source", F.lit("/"), F.when(F.col("doc_id") % 7 == 0, "__init_").otherwise("d"), number, F.when(is_module, ".py").otherwise(".txt"))
+    said = F.when(is_module, module).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit(word)))
+    return table(spark, d, "documents").select("doc_id", name.alias("file"), said.alias("content"))
+
+
+@query
+def folder_build(spark, d):
+    """Files are written, indexed, partly changed and added to, and indexed again: of the second
+    build only these are opened. Skipped folders and other suffixes hold a copy of each."""
+    root, kept = shared.fresh_path(spark, "files"), shared.fresh_path(spark, "built")
+    one, two = _on_disk(spark, d, " first", 0), _on_disk(spark, d, " second", 1)
+    odd = one.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("node_modules/"), "file")).otherwise(F.concat("file", F.lit(".bin"))).alias("file"), "content")
+    files.write_files(one.where("doc_id % 4 <> 1").unionByName(odd), root)
+    first = index.build_folder(spark, root, spark.createDataFrame([], "file string, mtime double"))
+    first.index.write.parquet(f"{kept}/index")
+    files.write_state(first.state, f"{kept}/state")
+    files.write_files(two.where("doc_id % 4 = 1 or doc_id % 5 = 0"), root)
+    return index.build_folder(spark, root, files.read_state(spark, f"{kept}/state"), spark.read.parquet(f"{kept}/index")).index
+
+
 # --- conversations ---
 
 
@@ -440,6 +490,9 @@ def oracle_sql() -> dict[str, str]:
         "index_diff": sql.INDEX_DIFF,
         "index_upsert": sql.INDEX_UPSERT,
         "index_summary": sql.INDEX_SUMMARY,
+        "index_store": sql.INDEX_UPSERT,
+        "bm25_indexed": sql.BM25_TOPK,
+        "folder_build": sql.FOLDER_BUILD,
         "token_estimate": sql.TOKEN_ESTIMATE,
         "context_trim": sql.CONTEXT_TRIM,
         "history_messages": sql.HISTORY,

@@ -108,6 +108,17 @@ made AS (SELECT * FROM fresh UNION ALL SELECT file || ':1-1', file, 1, 1, lang F
 INDEX_BUILD = f"WITH {_BUILD} SELECT uid, file, start_line, end_line, document, CAST(length(document) AS INTEGER) AS n_chars FROM made"
 INDEX_BUILD_SUMMARY = f"WITH {_BUILD} SELECT *, files + removed = 0 AS up_to_date FROM (SELECT (SELECT count(*) FROM todo) AS files, (SELECT count(*) FROM fresh) AS chunks, (SELECT count(*) FROM gone) AS removed)"
 
+FOLDER_BUILD = """WITH d AS (SELECT *, doc_id % 4 = 1 OR doc_id % 5 = 0 AS late,
+    source || '/' || CASE WHEN doc_id % 7 = 0 THEN '__init_' ELSE 'd' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.txt' END AS file FROM documents),
+t AS (SELECT file, string_split(coalesce(text, '') || CASE WHEN late THEN ' second' ELSE ' first' END, chr(10)) AS l FROM d WHERE doc_id % 3 <> 0),
+w AS (SELECT file, l, unnest(range(0, len(l), 30)) AS s FROM t),
+c AS (
+  SELECT file, CAST(s + 1 AS INTEGER) AS start_line, CAST(least(s + 30, len(l)) AS INTEGER) AS end_line, array_to_string(l[s + 1 : s + 30], chr(10)) AS document
+  FROM w WHERE regexp_matches(array_to_string(l[s + 1 : s + 30], ' '), '[^\\s]')
+  UNION ALL SELECT file, 4, 5, 'def first(a):' || chr(10) || '    return ' || (n_chars + CASE WHEN late THEN 1 ELSE 0 END) FROM d WHERE doc_id % 3 = 0
+  UNION ALL SELECT file, 7, 8, 'class Second:' || chr(10) || '    size = 1' FROM d WHERE doc_id % 3 = 0)
+SELECT file || ':' || start_line || '-' || end_line AS uid, * FROM c"""
+
 TOKEN_ESTIMATE = "SELECT conv_id, CAST(trunc(sum(length(coalesce(text, ''))) / 3.0::DOUBLE * 1.2::DOUBLE) AS INTEGER) AS tokens FROM conversations GROUP BY conv_id"
 def _trim(chars: str) -> str:
     return f"""WITH m AS (SELECT conv_id, turn::DOUBLE AS turn, role, coalesce(text, '') AS text,
