@@ -27,19 +27,24 @@ def trim(messages: DataFrame, budget: int, note: str = NOTE) -> DataFrame:
     longest run of last messages within the budget, without tool results at its start.
 
     A message costs its text and its ``tool_calls``, if that column is there. The note stands half a turn before the first message kept (turn is therefore a double).
+
+    Defined cases: a null role is an empty one, a null text an empty one, a null turn comes
+    first; messages of one turn go by role, then text, and are kept or cut one by one.
     """
-    m = messages.select("conv_id", F.col("turn").cast("double").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"), token_estimate(characters(messages)).alias("tok"))
+    role, said = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    m = messages.select("conv_id", F.col("turn").cast("double").alias("turn"), role.alias("role"), said.alias("text"), token_estimate(characters(messages)).alias("tok"))
     by = Window.partitionBy("conv_id")
-    order = by.orderBy("turn")
+    order = by.orderBy("turn", "role", "text")
+    m = m.withColumn("place", F.row_number().over(order))
     m = m.withColumn("is_note", (F.col("role") == "system") & (F.col("text") == note))
-    m = m.withColumn("head", (F.row_number().over(order) == 1) & (F.col("role") == "system") & ~F.col("is_note"))
+    m = m.withColumn("head", (F.col("place") == 1) & (F.col("role") == "system") & ~F.col("is_note"))
     m = m.where(F.col("head") | ~F.col("is_note"))
     m = m.withColumn("base", F.sum(F.when(F.col("head"), F.col("tok")).otherwise(0)).over(by))
     # what is left to the end; the head is counted once, as the base
     after = F.sum(F.when(F.col("head"), 0).otherwise(F.col("tok"))).over(order.rowsBetween(0, Window.unboundedFollowing))
     m = m.withColumn("fits", ~F.col("head") & (after + F.col("base") <= budget))
-    real = F.min(F.when(F.col("fits") & (F.col("role") != "tool"), F.col("turn"))).over(by)
-    m = m.withColumn("stay", F.col("fits") & (F.col("turn") >= real))
+    real = F.min(F.when(F.col("fits") & (F.col("role") != "tool"), F.col("place"))).over(by)
+    m = m.withColumn("stay", F.col("fits") & (F.col("place") >= real))
     m = m.withColumn("stay", F.coalesce("stay", F.lit(False)))
     kept = m.where("head or stay").select("conv_id", "turn", "role", "text")
     lost = m.where("not head").groupBy("conv_id").agg(F.min(F.when(F.col("stay"), F.col("turn"))).alias("first"), F.max("turn").alias("last"), F.count_if(~F.col("stay")).alias("n"))
@@ -66,11 +71,12 @@ def read_history(spark, path: str) -> DataFrame:
 
 def append(histories: DataFrame, said: DataFrame) -> DataFrame:
     """``conv_id, turns`` with the new turns (``conv_id, at, user, assistant``) behind the old
-    ones, by ``at``, then text; a conversation without history begins with them."""
+    ones, by ``at``, then text; a conversation without history begins with them. A null conv_id is a conversation too."""
     more = said.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "user", "assistant"))), lambda x: F.struct(x["user"].alias("user"), x["assistant"].alias("assistant"))).alias("more"))
     none = F.array().cast("array<struct<user:string,assistant:string>>")
-    both = histories.select("conv_id", "turns").join(more, "conv_id", "full_outer")
-    return both.select("conv_id", F.concat(F.coalesce("turns", none), F.coalesce("more", none)).alias("turns"))
+    more = more.withColumnRenamed("conv_id", "_conv")
+    both = histories.select("conv_id", "turns").join(more, F.col("conv_id").eqNullSafe(F.col("_conv")), "full_outer")
+    return both.select(F.coalesce("conv_id", "_conv").alias("conv_id"), F.concat(F.coalesce("turns", none), F.coalesce("more", none)).alias("turns"))
 
 
 def write_history(histories: DataFrame, path: str) -> None:

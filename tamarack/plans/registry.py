@@ -373,6 +373,11 @@ def events_evict(spark, d):
     return got.select(*_OUT)
 
 
+@query
+def event_types(spark, d):
+    return events.by_type(_lifecycle(spark, d).unionByName(_events(spark, d)))
+
+
 @query
 def status_fold(spark, d):
     return events.statuses(_lifecycle(spark, d))
@@ -502,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
         "events_cursors": sql.EVENTS_CURSORS,
         "events_feed": sql.EVENTS_FEED,
         "events_clear": sql.EVENTS_CLEAR,
+        "event_types": sql.EVENT_TYPES,
         "status_fold": sql.STATUS_FOLD,
         "task_metrics": sql.TASK_METRICS,
         "metrics_page": sql.METRICS_PAGE,

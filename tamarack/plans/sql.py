@@ -157,6 +157,8 @@ EVENTS_SINCE = f"WITH {_EV} SELECT task_id, seq, type FROM ev WHERE seq > 100 *
 EVENTS_CURSORS = f"WITH {_EV} SELECT task_id, greatest(100 * (task_id % 50), max(seq)) AS cursor FROM ev GROUP BY task_id"
 EVENTS_FEED = f"WITH {_EV} SELECT task_id, seq, type FROM ev ORDER BY ts DESC, seq DESC LIMIT 60"
 EVENTS_CLEAR = f"WITH {_EV} SELECT task_id, seq, type FROM ev WHERE task_id % 3 <> 0"
+EVENT_TYPES = f"""WITH {_LIFE}, {_EV} SELECT type, type IN ('created', 'started', 'completed', 'failed', 'tool_call') AS known, count(*) AS events
+FROM (SELECT type FROM life UNION ALL SELECT type FROM ev) GROUP BY type"""
 _STATUS = f"""{_LIFE},
 f AS (SELECT task_id, min(seq) FILTER (type = 'started') AS st, min(seq) FILTER (type = 'completed') AS co, min(seq) FILTER (type = 'failed') AS fa FROM life WHERE type <> 'tool_call' GROUP BY task_id),
 status AS (SELECT task_id, CASE WHEN co IS NOT NULL AND (fa IS NULL OR co < fa) THEN 'completed' WHEN fa IS NOT NULL THEN 'failed' WHEN st IS NOT NULL THEN 'running' ELSE 'pending' END AS status FROM f)"""

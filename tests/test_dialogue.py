@@ -61,3 +61,19 @@ def test_turns_are_appended_and_read_back(spark, tmp_path):
     (tmp_path / "h" / "bad.json").write_text("{broken\n")
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in dialogue.read_saved(spark, str(tmp_path / "h")).collect()}
     assert got == {"a": [("q0", "a0"), ("q1", "a1"), ("q2", None)], "b": [], "c": [("é\n", "")]}
+
+
+def test_trim_with_null_roles_ties_and_turns(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "system", "head"), (1, 1, None, "x" * 30), (1, 2, "user", "b" * 30), (1, 2, "user", "a" * 30), (1, 2, "assistant", None), (None, None, "user", "hi")]
+    got = {tuple(r) for r in dialogue.trim(spark.createDataFrame(rows, schema), 10_000).collect()}
+    assert got == {(c, None if t is None else float(t), r or "", x or "") for c, t, r, x in rows}
+    cut = [tuple(r) for r in dialogue.trim(spark.createDataFrame(rows[:5], schema), 14).orderBy("turn", "role", "text").collect()]
+    assert cut == [(1, 0.0, "system", "head"), (1, 1.5, "system", dialogue.NOTE), (1, 2.0, "user", "b" * 30)]
+
+
+def test_append_to_a_history_without_id(spark):
+    old = spark.createDataFrame([(None, [("q", "a")]), (1, [])], "conv_id long, turns array<struct<user:string,assistant:string>>")
+    said = spark.createDataFrame([(None, 1, "r", "b"), (2, 1, "s", "c")], "conv_id long, at int, user string, assistant string")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in dialogue.append(old, said).collect()}
+    assert got == {None: [("q", "a"), ("r", "b")], 1: [], 2: [("s", "c")]}

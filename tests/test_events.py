@@ -1,6 +1,8 @@
 import random
 from collections import deque
 
+from pyspark.sql import functions as F
+
 from tamarack.operators import events
 from tamarack.plans import registry
 
@@ -41,10 +43,34 @@ def test_eviction_is_a_replay(spark):
     rng = random.Random(5)
     for _ in range(3):
         rows = [(i, f"t{rng.randrange(5)}", i, "x") for i in range(200)]
-        got = sorted(tuple(r) for r in events.evict(frame(spark, rows), 12, 30).collect())
+        got = sorted(tuple(r) for r in events.evict(frame(spark, rows), 12, 30, 60).collect())
         assert got == replay(rows, 12, 30)
 
 
+def test_eviction_by_bursts_nulls_and_clashing_names(spark):
+    rng, rows = random.Random(8), []
+    while len(rows) < 300:
+        task = rng.choice(["a", "b", None, "c", "d", "e"])
+        rows += [(len(rows) + k, task, k, "x") for k in range(rng.randrange(1, 25))]
+    df = frame(spark, rows).withColumn("_n", F.lit(1)).withColumn("_back", F.lit("mine")).withColumn("a.b", F.lit(2))
+    got = events.evict(df, 15, 40, 70)
+    assert got.columns == df.columns
+    plain = [(i, t or "", s, k) for i, t, s, k in rows]
+    assert sorted((r["arrival"], r["task_id"] or "", r["seq"], r["type"]) for r in got.collect()) == replay(plain, 15, 40)
+    assert events.evict(df.limit(0)).count() == 0
+    ringed = events.ring(df, 3)
+    assert ringed.columns == df.columns and {r["_back"] for r in ringed.collect()} == {"mine"}
+
+
+def test_a_range_is_folded_from_numbers_alone(spark):
+    """What a fold starts from and gives is bounded by ``total``, whatever came before."""
+    import pandas as pd
+
+    runs = pd.DataFrame({"place": range(500), "task_id": [f"t{i}" for i in range(500)], "n": [3] * 500})
+    out = pd.concat(events._folded([("old", 9)], 5, 20)(iter([runs])))
+    assert out["n"].sum() == 20 and len(out) <= 20
+
+
 def test_status_rules(spark):
     life = {
         "a": ["created"], "b": ["created", "started", "tool_call"], "c": ["created", "started", "completed"], "d": ["created", "started", "failed", "completed"],

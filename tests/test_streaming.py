@@ -1,4 +1,8 @@
+import random
+
 import pytest
+from tamarack.operators import events
+from tamarack.streaming import lifecycle, pull
 from tamarack.streaming.poll import poll
 from tamarack.streaming.ring import ring
 
@@ -43,3 +47,70 @@ def test_poll_shows_what_came_since(spark, tmp_path):
         got = poll(stream, lambda batch, _: seen.append(sorted(r["seq"] for r in batch.collect())), str(tmp_path / "ck"), None)
         got.awaitTermination(120)
     assert seen == [[1, 2], [3]]
+
+
+LIFE = "task_id long, seq long, type string"
+
+
+def _rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _run(spark, source, ck, seen, stale_ms=None):
+    def note(batch, _):
+        for r in batch.collect():
+            seen.setdefault(r["task_id"], []).append((r["status"], r["stale"]))
+
+    got = lifecycle.statuses(spark.readStream.schema(LIFE).parquet(source), stale_ms)
+    q = got.writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+
+
+def test_statuses_are_those_of_the_fold_in_any_order_and_after_restarts(spark, tmp_path):
+    _rocks(spark)
+    rng = random.Random(6)
+    kinds = ("created", "started", "completed", "failed", "cancelled", "tool_call")
+    rows = [(t, rng.randrange(12), rng.choice(kinds)) for t in range(12) for _ in range(rng.randrange(1, 8))]
+    want = {r["task_id"]: r["status"] for r in events.statuses(spark.createDataFrame(rows, LIFE)).collect()}
+    late = [*rows, *rng.sample(rows, 20)]  # out of order, some twice
+    rng.shuffle(late)
+    seen, source = {}, str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame(late[k::3], LIFE).coalesce(1).write.mode("append").parquet(source)
+        _run(spark, source, str(tmp_path / "ck"), seen)
+    assert {t: x[-1] for t, x in seen.items()} == {t: (s, False) for t, s in want.items()}
+
+
+def test_a_task_without_events_is_given_as_stale(spark, tmp_path):
+    _rocks(spark)
+    seen, source = {}, str(tmp_path / "in")
+    for rows in ([(1, 1, "created"), (2, 1, "completed")], [(3, 1, "started")]):
+        spark.createDataFrame(rows, LIFE).coalesce(1).write.mode("append").parquet(source)
+        _run(spark, source, str(tmp_path / "ck"), seen, 0)
+    assert ("pending", True) in seen[1] and seen[2] == [("completed", False)]
+
+
+@pytest.mark.parametrize("at", ["shown", "cursors"])
+def test_a_pull_that_fails_shows_nothing_twice(spark, tmp_path, monkeypatch, at):
+    source, where, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    add = lambda rows: spark.createDataFrame(rows, LIFE).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        pull.pull(spark.readStream.schema(LIFE).parquet(source), where, ck, None).awaitTermination(120)
+
+    add([(1, 1, "a"), (1, 2, "b"), (None, 1, "c")])
+    run()
+    add([(1, 2, "b"), (1, 3, "d"), (2, 1, "e")])
+    with monkeypatch.context() as m:
+        if at == "shown":  # before anything is written
+            m.setattr(pull, "cursors", lambda *_: 1 / 0)
+        else:  # with the events written and the cursors not
+            m.setattr(pull, "finish", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            run()
+    run()
+    add([(1, 3, "d"), (None, 2, "f")])
+    run()
+    got = sorted((r["task_id"] or 0, r["seq"], r["type"]) for r in pull.shown(spark, where).collect())
+    assert got == [(0, 1, "c"), (0, 2, "f"), (1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (2, 1, "e")]
+    assert {(r["task_id"], r["cursor"]) for r in pull.cursors(spark, where).collect()} == {(1, 3), (2, 1), (None, 2)}
