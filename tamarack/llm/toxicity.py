@@ -7,8 +7,11 @@ letters are set apart. Spots whose lattice holds none of the classifier's words
 which changes no result. The model's trigram
 counts come from every document (one vector of counts a task, added up); its alphabet is
 fixed, so it has ``SIZE ** 3`` cells whatever the input. The restored words, and those written
-plainly, are scored by a logistic classifier whose words are chosen and weighed on labelled
-rows outside the held-out fold, ``TRAIN_ROWS`` of them at most (drawn by a hash).
+plainly, are scored by a logistic classifier. Its features are words, and stems that two or more
+words of a text begin with, so that inflected words count together; they are chosen and
+weighed on labelled rows outside the held-out fold, ``TRAIN_ROWS`` of them at most (drawn by a
+hash). A word or stem is chosen if so many toxic texts having it can't be chance, given how many
+of its kind (words, or stems of its length) were looked at.
 
 Ids, sources, languages and labels are never inputs of a score.
 
@@ -26,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, keep, packed, unpacked
+from .common import guarded, keep, let, packed, unpacked
 
 FOLDS = 5
 TRAIN_ROWS = 20_000
-#: A word is chosen from so many toxic rows on, and from this share of them: rare words of copied texts say nothing.
-MIN_SUPPORT, MIN_SHARE = 5, 0.01
-MIN_LIFT = 8.0
+#: Least toxic rows of a feature, least lift, and how many features of a kind may be expected by accident at most.
+MIN_SUPPORT, MIN_LIFT, CHANCE = 3, 8.0, 0.5
+#: Lengths of stems.
+STEMS = (4, 5, 6, 7)
 #: The model's letters (0 is any boundary) and what signs may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçéèêëíìîïñóôöúùûüß"
 LEET = {
@@ -183,29 +187,36 @@ def cuts(spot: str) -> list[int]:
 
 
 class Finder:
-    """Which of the chosen words a text has, plainly or restored."""
+    """Which of the chosen words and stems a text has, plainly or restored."""
 
-    def __init__(self, words: list[str], cost: np.ndarray):
+    def __init__(self, words: list[str], stems: list[str], cost: np.ndarray):
         import ahocorasick
 
-        self.words, self.cost, self.memo = words, cost, {}
+        self.words, self.stems, self.cost, self.memo = words, stems, cost, {}
         self.place = {w: i for i, w in enumerate(words)}
-        self.prefixes = {w[:i] for w in words for i in range(len(w) + 1)}
+        self.root = {w: len(words) + i for i, w in enumerate(stems)}
+        self.lengths = sorted({len(w) for w in stems})
+        self.prefixes = {w[:i] for w in (*words, *stems) for i in range(len(w) + 1)}
         self.machine = ahocorasick.Automaton()
-        for w in words:
+        for w in {*words, *stems}:
             self.machine.add_word(w, w)
-        if words:
+        if self.prefixes:
             self.machine.make_automaton()
 
     def __call__(self, text: str) -> set[int]:
-        if not text or not self.words:
+        if not text or not self.prefixes:
             return set()
         low = text.lower()
-        found = set()
+        found, begun = set(), {}
         for end, w in self.machine.iter(low):
             a, b = end - len(w), end + 1
-            if not (a >= 0 and low[a].isalpha()) and not (b < len(low) and low[b].isalpha()):
+            if a >= 0 and low[a].isalpha():
+                continue
+            more = b < len(low) and low[b].isalpha()
+            if not more and w in self.place:
                 found.add(self.place[w])
+            if more and w in self.root:
+                begun.setdefault(self.root[w], set()).add(a + 1)
         low = low.replace("_", " ")
         done = 0
         for m in SUSPECT.finditer(low):
@@ -216,11 +227,19 @@ class Finder:
                 a -= 1
             while done < len(low) and low[done] in _TOKEN:
                 done += 1
-            found |= self.remembered(low[a:done], self.token)
+            self.note(self.remembered(low[a:done], self.token), a, found, begun)
         for pattern in APART:
             for m in pattern.finditer(low):
-                found |= self.remembered(m[0], self.apart)
-        return found
+                self.note(self.remembered(m[0], self.apart), m.start(), found, begun)
+        return found.union(i for i, at in begun.items() if len(at) > 1)
+
+    def note(self, got: set[int], at: int, found: set[int], begun: dict[int, set[int]]) -> None:
+        """Words are found at once; a stem counts once a place."""
+        for i in got:
+            if i < len(self.words):
+                found.add(i)
+            else:
+                begun.setdefault(i, set()).add(at)
 
     def remembered(self, spot: str, look) -> set[int]:
         if len(spot) > 256:
@@ -232,8 +251,8 @@ class Finder:
             self.memo[key] = look(spot)
         return self.memo[key]
 
-    def reach(self, arcs: list[list[tuple[str, float]]], starts: range, ends: range) -> set[tuple[int, int]]:
-        """Stretches of a lattice that may stand for a chosen word; the shortest for each word and end."""
+    def reach(self, arcs: list[list[tuple[str, float]]], starts: range, ends: range, aims: dict[str, int]) -> set[tuple[int, int]]:
+        """Stretches of a lattice that may stand for one of ``aims``; the shortest for each word and end."""
         out, nodes = set(), {}
         for k, choice in enumerate(arcs):
             if k in starts:
@@ -248,21 +267,26 @@ class Finder:
                         after[x] = start
             nodes = after
             if k + 1 in ends:
-                out.update((start, k + 1) for x, start in nodes.items() if x in self.place)
+                out.update((start, k + 1) for x, start in nodes.items() if x in aims)
         return out
 
     def chosen(self, words) -> set[int]:
-        return {self.place[w] for w in words if w in self.place}
+        """Chosen words among ``words``, and stems that one of them begins with."""
+        words = set(words)
+        stems = {self.root[w[:n]] for w in words for n in self.lengths if len(w) > n and w[:n] in self.root}
+        return stems.union(self.place[w] for w in words if w in self.place)
 
     def token(self, spot: str) -> set[int]:
         """Words of a token; digits and signs at its ends may belong to the word or not."""
         at = cuts(spot)
         letters = [k for k, i in enumerate(at[:-1]) if spot[i] in _INDEX]
-        hits = self.reach(lattice(spot), range(letters[0] + 1), range(letters[-1] + 1, len(at)))
-        spots = {spot[at[a] : at[b]] for a, b in hits}
+        arcs, starts, last = lattice(spot), range(letters[0] + 1), letters[-1] + 1
+        spots = {spot[at[a] : at[b]] for a, b in self.reach(arcs, starts, range(last, len(at)), self.place)}
+        # what begins with a stem goes on to the end of the word
+        spots |= {spot[at[a] : at[last]] for a, _ in self.reach(arcs, starts, range(1, len(at)), self.root)}
         # letters that are all doubled say that none of them is meant twice
         spots |= {"".join(x[i] for i in cuts(x)[:-1]) for x in spots if all(b - a > 1 for a, b in zip(cuts(x), cuts(x)[1:]))}
-        return self.chosen(decode(x, self.cost) for x in spots)
+        return self.chosen(decode(x, self.cost) for x in spots if x)
 
     def apart(self, spaced: str) -> set[int]:
         """Words of letters set apart: all of them, without one-letter words at the ends, or split."""
@@ -272,7 +296,7 @@ class Finder:
             return set()
         at = cuts(spot)
         n = len(at) - 1
-        if not self.reach(lattice(spot), range(n), range(1, n + 1)):
+        if not self.reach(lattice(spot), range(n), range(1, n + 1), {**self.place, **self.root}):
             return set()
         heads = (0, 1) if spot[0] in ONE_LETTER else (0,)
         tails = (0, 1) if spot[-1] in ONE_LETTER else (0,)
@@ -282,8 +306,33 @@ class Finder:
         return self.chosen(words.union(decode(spot, self.cost, splits).split(" ")))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Words and weights (of any word and the bias last) from at most ``TRAIN_ROWS`` labelled rows of the training folds."""
+def twice_begun(tokens: Column) -> Column:
+    """Stems that two words or more of a text begin with, longer ones than the stem."""
+    stem = lambda w: F.array(*[F.when(F.length(w) > n, F.substring(w, 1, n)) for n in STEMS])
+    of_all = F.sort_array(F.filter(F.flatten(F.transform(tokens, stem)), lambda x: x.isNotNull()))
+    return let(of_all, lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1) == x, F.lit(False)))))
+
+
+def unlikely(pos: int, n: int, base: float) -> float:
+    """The chance that ``pos`` or more of ``n`` rows are toxic, at the base rate."""
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(base) + (n - k) * math.log1p(-base)) for k in range(pos, n + 1))
+
+
+def choose(counted: DataFrame, pos: int, neg: int) -> list[str]:
+    """Features of ``counted`` (``w, kind, pos, neg``) that lift can't be chance, best first. A
+    stem goes if a longer one has the same rows."""
+    lift = (F.col("pos") / pos) / ((F.col("neg") + 1) / (neg + 1))
+    enough = counted.where(F.col("pos") + F.col("neg") >= MIN_SUPPORT)
+    tried = {r["kind"]: r["count"] for r in enough.groupBy("kind").count().collect()}
+    rows = enough.where((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LIFT)).select("*", (F.col("pos") * F.log(lift)).alias("gain")).collect()
+    sure = [r for r in rows if unlikely(r["pos"], r["pos"] + r["neg"], pos / (pos + neg)) * tried[r["kind"]] <= CHANCE]
+    longer = {(r["w"][:-1], r["pos"], r["neg"]) for r in sure if r["kind"]}
+    kept = [r for r in sure if not r["kind"] or (r["w"], r["pos"], r["neg"]) not in longer]
+    return [r["w"] for r in sorted(kept, key=lambda r: (-r["gain"], r["w"]))]
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
+    """Words, stems and weights (of each, of any and the bias last) from at most ``TRAIN_ROWS`` labelled rows of the training folds."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != 0)).select("doc_id", "toxic").distinct()
     n = rows.count()
@@ -292,25 +341,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = keep(rows, "toxic-sample")
     got = docs.select("doc_id", "text").join(guarded(rows, rows.count()), "doc_id")
     token = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    per = got.select("toxic", F.array_distinct(token).alias("w"))
-    counted = per.select("toxic", F.explode("w").alias("w")).groupBy("w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    per = keep(got.select("toxic", F.array_distinct(token).alias("w"), twice_begun(token).alias("s")), "toxic-words")
     base = per.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
     pos, neg = base["pos"] or 0, base["neg"] or 0
     if not pos or not neg:
-        return [], np.array([0.0, math.log((pos + 1) / (neg + 1))])
-    lift = (F.col("pos") / pos) / ((F.col("neg") + 1) / (neg + 1))
-    top = counted.where((F.col("pos") >= max(MIN_SUPPORT, MIN_SHARE * pos)) & (lift >= MIN_LIFT) & (F.length("w") > 2))
-    top = top.orderBy((F.col("pos") * F.log(lift)).desc(), "w").collect()
-    words = [r["w"] for r in top]
+        return [], [], np.array([0.0, math.log((pos + 1) / (neg + 1))])
+    ones = lambda c, kind: per.select("toxic", F.explode(c).alias("w")).groupBy("w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).withColumn("kind", kind)
+    words = choose(ones("w", F.lit(0)).where(F.length("w") > 2), pos, neg)
+    stems = choose(ones("s", F.length("w")), pos, neg)
     seen = {}
-    look = per.select("toxic", F.array_sort(F.array_intersect("w", F.array(*map(F.lit, words or [""])).cast("array<string>"))).alias("x"))
+    among = lambda c, some: F.array_intersect(c, F.array(*map(F.lit, some or [""])).cast("array<string>"))
+    marked = F.transform(among("s", stems), lambda x: F.concat(x, F.lit("-")))
+    look = per.select("toxic", F.array_sort(F.concat(among("w", words), marked)).alias("x"))
     for r in look.groupBy("toxic", "x").count().collect():
         seen[r["toxic"], tuple(r["x"])] = r["count"]
-    return words, fit(words, seen)
+    return words, stems, fit([*words, *(x + "-" for x in stems)], seen)
 
 
 def fit(words: list[str], seen: dict[tuple[int, tuple[str, ...]], int]) -> np.ndarray:
-    """Logistic weights of each word, of having any word at all, and the bias last."""
+    """Logistic weights of each word and stem, of having any at all, and the bias last."""
     place = {w: i for i, w in enumerate(words)}
     x = np.zeros((len(seen), len(words) + 2))
     y, n = np.zeros(len(seen)), np.zeros(len(seen))
@@ -336,20 +385,20 @@ def probability(found: set[int], weights: np.ndarray) -> float:
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(z)))))
 
 
-def model(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    words, weights = train(docs, labels)
+def model(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    words, stems, weights = train(docs, labels)
     counts = char_counts(docs)
     # the source model mixes the corpus with the classifier's words, so either can be restored
-    counts += trigrams(" ".join(words), _table()) * max(1.0, counts.sum() * LEXICON_SHARE)
-    return words, weights, costs(counts)
+    counts += trigrams(" ".join((*words, *stems)), _table()) * max(1.0, counts.sum() * LEXICON_SHARE)
+    return words, stems, weights, costs(counts)
 
 
-def score_column(words: list[str], weights: np.ndarray, cost: np.ndarray):
+def score_column(words: list[str], stems: list[str], weights: np.ndarray, cost: np.ndarray):
     """An Arrow function of the text alone."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = Finder(words, cost)
+        find = Finder(words, stems, cost)
         for batch in batches:
             out = [probability(find(t), weights) for t in batch.tolist()]
             yield pd.Series(out, index=batch.index, dtype="float64")

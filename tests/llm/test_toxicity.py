@@ -20,9 +20,9 @@ def test_char_counts_cover_every_text(spark):
 
 
 def test_obfuscated_words_are_restored(trained):
-    _, _, (words, _, cost) = trained
+    _, _, (words, _, _, cost) = trained
     assert "idiot" in words and "moron" in words
-    find = tox.Finder(words, cost)
+    find = tox.Finder(words, [], cost)
     for spelled in ("1d10t", "id!ot", "i d i o t", "i.d.i.o.t", "idiiiot", "m0r0n", "m-o-r-o-n", "st00pid"[:0] + "stup1d", "tr@sh", "l0ser"):
         assert find(f"the reand {spelled}, of th"), spelled
     assert not find("the reand of the 12 3rd 555-7713 a b c item")
@@ -34,8 +34,39 @@ def test_held_out_accuracy_and_fold(trained):
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
-    held = [r for r in rows if r["held_out"]]
-    assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.9
+    hits = sum(r["predicted"] for r in rows if r["toxic"])
+    assert hits >= 0.9 * sum(r["toxic"] for r in rows)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.01 * len(rows)
+
+
+def test_held_out_recall_and_precision_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = tox.classify(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang, least in ((None, 0.9), ("en", 0.88), ("de", 0.8), ("fr", 0.9), ("es", 0.9)):
+        some = [r for r in rows if lang in (None, r["lang"])]
+        hits = sum(r["predicted"] for r in some if r["toxic"])
+        assert hits >= least * sum(r["toxic"] for r in some), lang
+        assert hits >= 0.9 * sum(r["predicted"] for r in some), lang
+
+
+def test_stems_count_from_two_words_on_plainly_or_restored(trained):
+    _, _, (_, _, _, cost) = trained
+    find = tox.Finder(["idiot"], ["achlich"], cost)
+    assert find("der achlichtz und achlichver.") == {1} == find("achlichtz (4chl!chver)") == find("a.c.h.l.i.c.h.t.z der achlichtz")
+    assert not find("der achlichtz und") and not find("achlich achlich") and not find("xachlichtz yachlichtz")
+    assert not find("der achlliichtz und")  # one word, however it is read
+    assert find("1d10t achlichtz") == {0}
+
+
+def test_stems_are_counted_and_chosen(spark):
+    df = spark.createDataFrame([(["achlich", "achlichx", "achlichyy", "abc", "abcde", "abcdf"],), ([],)], "w array<string>")
+    got = [sorted(r[0]) for r in df.select(tox.twice_begun(F.col("w"))).collect()]
+    assert got == [["abcd", "achl", "achli", "achlic", "achlich"], []]
+    rows = [("sure", 0, 9, 0), ("even", 0, 9, 70), ("rare", 0, 2, 0), ("stem", 4, 8, 0), ("stems", 5, 8, 0), ("other", 5, 9, 0)]
+    counted = spark.createDataFrame(rows, "w string, kind int, pos long, neg long")
+    assert sorted(tox.choose(counted, 20, 180)) == ["other", "stems", "sure"]
+    assert abs(tox.unlikely(3, 3, 0.1) - 0.001) < 1e-12 and abs(tox.unlikely(0, 5, 0.3) - 1) < 1e-9
 
 
 def test_scores_depend_on_the_text_alone(trained):
@@ -72,8 +103,8 @@ def test_decode_is_the_cheapest_path():
 
 
 def test_long_repetitions_are_one_step(trained):
-    _, _, (words, _, cost) = trained
-    find = tox.Finder([*words, "stupid"], cost)
+    _, _, (words, _, _, cost) = trained
+    find = tox.Finder([*words, "stupid"], [], cost)
     for n in (20, 45, 5000):
         assert find("you are st" + "u" * n + "pid"), n
         assert find("you are id" + "i" * n + "ot"), n
@@ -81,8 +112,8 @@ def test_long_repetitions_are_one_step(trained):
 
 
 def test_signs_at_edges_doubled_and_mixed_separators(trained):
-    _, _, (words, _, cost) = trained
-    find = tox.Finder([*{*words, "trash", "loser"}], cost)
+    _, _, (words, _, _, cost) = trained
+    find = tox.Finder([*{*words, "trash", "loser"}], [], cost)
     spelled = ("idio7", "tra5#", "1d107", "1053r", "!diot", "(tra5#!!", "i/d/i/o/t", "i  d  i  o  t", "i d ! o t", "i-d_i o.t", "i*d*i*o*t", "iidiioott")
     for x in (*spelled, "you are a i d i o t", "i d i o t   m o r o n"):
         assert find(f"the reand {x}, of th"), x
@@ -92,9 +123,9 @@ def test_signs_at_edges_doubled_and_mixed_separators(trained):
 
 
 def test_stretches_of_the_lattice_are_those_of_brute_force(trained):
-    _, _, (_, _, cost) = trained
+    _, _, (_, _, _, cost) = trained
     words = ["idiot", "scum", "trash", "tool"]
-    find = tox.Finder(words, cost)
+    find = tox.Finder(words, [], cost)
     rng = np.random.default_rng(3)
     for _ in range(300):
         spot = "".join(rng.choice(list("idotscumtrah105!*$7#"), rng.integers(3, 9)))
