@@ -187,6 +187,17 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int =
     return rrf(v, b, n).select("query_id", "uid", "score", "vector_rank", "bm25_rank", "rank")
 
 
+def compared(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """Hits of the modes vector and hybrid, for ``evaluate``: vectors are searched once, as deep as
+    fusion needs, and those hits (so many a query) are kept for both."""
+    asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    depth = candidate_limit(n)
+    v = vector_topk(vectors, asked.select("query_id", "embedding"), depth).persist()
+    b = bm25_topk(chunks, asked.select("query_id", "query"), depth)
+    alone = v.where(F.col("vector_rank") <= n).withColumn("rank", F.col("vector_rank"))
+    return {"vector": alone, "hybrid": rrf(v, b, n)}
+
+
 def formatted(hits: DataFrame, chunks: DataFrame, hybrid: bool = True) -> DataFrame:
     """One line a hit: file, start line (0 if chunks have none), provenance, snippet."""
     start = F.coalesce("start_line", F.lit(0)).cast("string") if "start_line" in chunks.columns else F.lit("0")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import ranking, text
-from tamarack.operators import chunks, dialogue, events, index, neighbours, postings, protocol, retrieval
+from tamarack.operators import chunks, dialogue, embedding, events, index, neighbours, postings, protocol, retrieval, settings
 from tamarack.plans import sql
 from tamarack.sources import files, pages, shared, store
 
@@ -118,7 +118,7 @@ def search_report(spark, d):
 def retrieval_eval(spark, d):
     items = _asked(spark, d)
     relevant = F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")), F.col("query_id").cast("string"))
-    modes = {m: retrieval.retrieve(_chunks(spark, d), _vectors(spark, d), items, 10, m) for m in ("vector", "hybrid")}
+    modes = retrieval.compared(_chunks(spark, d), _vectors(spark, d), items)
     return retrieval.evaluate(modes, _chunks(spark, d), items.select("query_id", "query", relevant.alias("relevant")))
 
 
@@ -238,6 +238,14 @@ def bm25_indexed(spark, d):
     return built.search(asked.select("query_id", "query")).select("query_id", "uid", "score", "bm25_rank")
 
 
+@query
+def index_embedded(spark, d):
+    """Fresh chunks with vectors of a model that is loaded once a worker: here counts of letters."""
+    built = index.build(_files(spark, d).withColumn("mtime", F.lit(1.0)), spark.createDataFrame([], "file string, mtime double"), None, lambda fresh: embedding.embedded(fresh, embedding.letters))
+    at = lambda i: F.get("embedding", F.lit(i)).cast("long")
+    return built.index.select("uid", F.size("embedding").alias("size"), at(0).alias("a"), at(4).alias("e"), at(25).alias("z"))
+
+
 def _on_disk(spark, d, word: str, more: int):
     """Documents as files: a third of them modules of Python, the others their texts and ``word``."""
     number = F.col("doc_id").cast("string")
@@ -455,6 +463,17 @@ def eval_items_valid(spark, d):
     return retrieval.valid_items(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "relevant")).select(F.col("query_id").alias("item_id"))
 
 
+@query
+def settings_merged(spark, d):
+    """Defaults from an event's columns, overridden by its ``props`` under two keys, and by null."""
+    base = F.to_json(F.struct(F.struct(F.lit(-1).alias("k"), F.col("event_type").alias("kind")).alias("agent"), F.col("user_id").alias("user"), F.struct(F.lit(True).alias("on")).alias("rag")))
+    props = F.coalesce("props", F.lit("{}"))
+    override = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"agent": '), props, F.lit(', "user": null}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"rag": '), props, F.lit("}")))
+    rows = table(spark, d, "events").select("event_id", settings.merged(base, override).alias("c"))
+    at = lambda path, kind, default=None: settings.lookup(F.col("c"), path, kind, default)
+    return rows.select("event_id", at("agent.k", "long").alias("agent_k"), at("agent.kind", "string").alias("kind"), at("user", "long", 0).alias("user"), at("rag.k", "long", -2).alias("rag_k"), at("rag.on", "boolean").alias("rag_on"))
+
+
 @query
 def tool_health(spark, d):
     return protocol.health(table(spark, d, "events").select(F.col("event_type").alias("name")).distinct())
@@ -498,6 +517,8 @@ def oracle_sql() -> dict[str, str]:
         "index_store": sql.INDEX_UPSERT,
         "bm25_indexed": sql.BM25_TOPK,
         "folder_build": sql.FOLDER_BUILD,
+        "index_embedded": sql.INDEX_EMBEDDED,
+        "settings_merged": sql.SETTINGS_MERGED,
         "token_estimate": sql.TOKEN_ESTIMATE,
         "context_trim": sql.CONTEXT_TRIM,
         "history_messages": sql.HISTORY,

@@ -85,6 +85,11 @@ REGEX_SEARCH = f"""SELECT file, CAST(i AS INTEGER) AS line_no, substr(regexp_rep
 FROM (SELECT file, l, unnest(range(1, len(l) + 1)) AS i FROM ({_LINES})) WHERE regexp_matches(l[i], '^[A-Z]\\w*.*[Ll]icense.*\\.$') ORDER BY file, line_no LIMIT 50"""
 SNIPPETS = "SELECT doc_id, replace(substr(coalesce(text, ''), 1, 150), chr(10), ' ') AS snippet, substr(text, 1, 500) AS clipped FROM documents"
 
+INDEX_EMBEDDED = f"""SELECT file || ':' || start_line || '-' || end_line AS uid, 26 AS size,
+{", ".join(f"CAST(length(content) - length(replace(content, '{c}', '')) AS BIGINT) AS {c}" for c in "aez")} FROM ({CHUNK_FIXED})"""
+SETTINGS_MERGED = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS agent_k, event_type AS kind,
+CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user, CASE WHEN event_id % 3 = 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -2 END AS rag_k, true AS rag_on FROM events"""
+
 _SNAPS = """disk AS (SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 7 = 0 THEN n_chars + 0.5 ELSE n_chars END::DOUBLE AS mtime FROM documents WHERE doc_id % 5 <> 0),
 state AS (SELECT CAST(doc_id AS VARCHAR) AS file, n_chars::DOUBLE AS mtime FROM documents WHERE doc_id % 3 <> 0),
 ch AS (SELECT file, CASE WHEN d.mtime IS NULL THEN 'deleted' WHEN s.mtime IS NULL THEN 'new' WHEN d.mtime = s.mtime THEN 'unchanged' ELSE 'changed' END AS change

@@ -41,10 +41,9 @@ def replay(rows, per_task, total):
 
 def test_eviction_is_a_replay(spark):
     rng = random.Random(5)
-    for _ in range(3):
-        rows = [(i, f"t{rng.randrange(5)}", i, "x") for i in range(200)]
-        got = sorted(tuple(r) for r in events.evict(frame(spark, rows), 12, 30, 60).collect())
-        assert got == replay(rows, 12, 30)
+    rows = [(i, f"t{rng.randrange(5)}", i, "x") for i in range(400)]
+    got = sorted(tuple(r) for r in events.evict(frame(spark, rows), 12, 30, 150).collect())
+    assert got == replay(rows, 12, 30)
 
 
 def test_eviction_by_bursts_nulls_and_clashing_names(spark):
