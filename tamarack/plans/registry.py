@@ -228,7 +228,7 @@ def index_store(spark, d):
 def bm25_indexed(spark, d):
     """A kept inverted index after three builds: a third of the chunks, stale ones among them, the
     others, and the stale ones anew."""
-    built = postings.Postings(spark, shared.fresh_path(spark, "postings"))
+    built = postings.Postings(spark, shared.fresh_path(spark, "postings"), folders=8)
     docs, number = _chunks(spark, d), F.col("uid").cast("long")
     stale = docs.where(number % 6 == 0).withColumn("document", F.concat(F.lit("stale "), F.coalesce("document", F.lit(""))))
     built.add(docs.where(number % 6 == 3).unionByName(stale))
