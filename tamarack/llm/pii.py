@@ -3,7 +3,9 @@
 Patterns, gazetteers (known key prefixes, given names) and context (key words, titles before a
 name) propose spans. Four labelers vote on each (private, not private, or no vote): a checker
 of the format, a gazetteer of known domains, prefixes, codes and names, a reader of the words
-around the span, and a judge of its characters. Expectation-maximisation over the counts of
+around the span, and a judge of its characters (of a name: of the word that follows). About a
+name each of them can say no: it holds or ends in a word of offices, bodies, places or brands,
+a place word stands before it, such a word or "of" comes after it. Expectation-maximisation over the counts of
 vote patterns estimates, kind by kind, how reliable each labeler is and how likely each span
 is private. Every labeler starts with ``TRUST`` imagined votes at its seed reliability, so a
 kind with few spans follows the seeds and one with many follows its data. A logistic span
@@ -42,11 +44,52 @@ COUNTRY = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40",
 KEY_PREFIXES = ("sk-", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "AIza", "eyJ")
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "0000", "1234567", "insert", "dummy")
 GIVEN_NAMES = (
-    "James", "John", "Robert", "Michael", "William", "David", "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara",
-    "Susan", "Jessica", "Sarah", "Karen", "Thomas", "Charles", "Daniel", "Matthew", "Anna", "Maria", "Peter", "Paul",
-    "Hans", "Klaus", "Jean", "Pierre", "Marie", "Sophie", "Carlos", "Juan", "Carmen", "Ana", "Luis",
+    "James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Christopher", "Daniel",
+    "Matthew", "Anthony", "Steven", "Andrew", "Kenneth", "Kevin", "Brian", "George", "Edward", "Ronald", "Timothy", "Jason",
+    "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa",
+    "Margaret", "Sandra", "Ashley", "Kimberly", "Emily", "Donna", "Michelle", "Laura", "Helen", "Helena", "Rachel", "Emma",
+    "Olivia", "Sophia", "Peter", "Paul", "Anna", "Maria", "Martin", "Stefan", "Thorsten", "Hans", "Klaus", "Jürgen",
+    "Wolfgang", "Dieter", "Uwe", "Heinz", "Ursula", "Monika", "Petra", "Sabine", "Renate", "Ingrid", "Katrin", "Jean",
+    "Pierre", "Michel", "Philippe", "Nicolas", "François", "Jacques", "Marie", "Sophie", "Nathalie", "Isabelle", "Camille", "Chloé",
+    "Carlos", "Juan", "José", "Antonio", "Francisco", "Javier", "Miguel", "Pablo", "Carmen", "Ana", "Luis", "Lucía",
+    "Marta", "Elena", "Pilar", "Giovanni", "Giulia", "Marco", "Francesca", "Ivan", "Olga", "Natasha", "Dmitri", "Mohammed",
+    "Fatima", "Ahmed", "Ali", "Priya", "Rahul", "Wei", "Yuki", "Kenji", "Lars", "Erik", "Ingeborg", "Anders",
 )
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame")
+#: Words written large beside a title, a key word or a given name that don't name a person: offices, bodies, places, the calendar, brands.
+ROLES = ("President", "Chairman", "Chairwoman", "Chair", "Speaker", "Secretary", "Minister", "Ambassador", "Senator", "Doctor", "Doktor", "Professor", "Justice", "Mayor")
+NO_PERSON = (
+    *ROLES,
+    "Director", "Manager", "Officer", "Bürgermeister", "Präsident", "Ministre", "Presidente", "Right", "Order", "Office", "Council", "Committee",
+    "Board", "Court", "Department", "Ministry", "Team", "Sales", "Support", "Service", "Services", "Customer", "Press", "Media",
+    "Marketing", "Security", "Human", "Resources", "Accounting", "Reception", "Company", "Group", "Bank", "Inc", "Ltd", "Corp",
+    "Llc", "Gmbh", "Verein", "Foundation", "Institute", "University", "College", "School", "Schule", "Hospital", "Clinic", "Church",
+    "Cathedral", "Museum", "Library", "Theatre", "Hotel", "Stadium", "Airport", "Station", "Bahnhof", "Street", "Straße", "Avenue",
+    "Road", "Lane", "Square", "Platz", "Plaza", "Bridge", "Brücke", "Park", "Garden", "Island", "Islands", "Insel",
+    "Lake", "River", "Bay", "Beach", "Valley", "Mountain", "Mount", "Hill", "Hills", "Falls", "Forest", "County",
+    "City", "Town", "Village", "District", "State", "Province", "Republic", "Kingdom", "Minnesota", "Texas", "California", "Florida",
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "June",
+    "July", "August", "September", "October", "November", "December", "Prize", "Award", "Medal", "Cup", "Act", "Bill",
+    "Edition", "Version", "Chapter", "Section", "Article", "Note", "Everyone", "Nobody", "Anyone", "The", "This", "That",
+    "Our", "Your", "Pepper", "Martens", "Coffee", "Clean", "Muscle", "Butterworth", "Potato", "Who", "Strangelove", "Robot",
+)
+
+
+def _any(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, by first letter, so that a wrong one fails at once."""
+    heads = sorted({w[0] for w in words})
+    return "(?:" + "|".join(f"{h}(?:{'|'.join(sorted((w[1:] for w in set(words) if w[0] == h), key=lambda w: (-len(w), w)))})" for h in heads) + ")"
+
+
+_HEAD = rf"(?:{_any(TITLES)}\.?\x20(?:{_any(ROLES)}\x20){{0,2}}|(?i:my name is|signed by|contact:)\x20)"
+_PARTICLE = r"(?:\p{Lu}\.|van|von|der|de|del|di|da)\x20"
+_LARGE = r"\p{Lu}\p{Ll}+(?:['’-]\p{Lu}\p{Ll}+)?"
+#: Before a name: what speaks of a person, and what speaks of a place.
+_PERSON = rf"(?:(?<![\p{{L}}0-9])(?:{_any(TITLES)}\.?|{_any(ROLES)})|(?i:\b(?:name is|signed by|contact:|dear|regards,|sincerely,|author|by|with|met|told|asked|and)))\x20$"
+_PLACE = r"(?i)\b(?:the|a|an|saint|st\.?|san|santa|port|fort|mount|lake|cape|in|near|at|via)\x20$"
+#: After a name: what a person does, and what only a place or a body is followed by.
+_DOES = r"^(?:,?\x20(?:was|is|has|had|said|says|wrote|writes|lives|lived|asked|told|will|signed|called|works|worked)\b|['’]s\x20)"
+_BODY = rf"^[\x20-](?:of\b|(?i:{'|'.join(sorted(set(NO_PERSON) - {'The', 'This', 'That', 'Who', 'Our', 'Your', 'Right', 'Clean', 'March', 'April', 'June', 'August', 'Note', 'Act', 'State', 'Chair', 'Bill', 'Support'}))})(?!\p{{L}}))"
 _KEY = r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?"
 _KEY_CHAR = "[A-Za-z0-9_/+~-]"
 #: The patterns. Possessive loops and look-behinds keep them linear.
@@ -57,14 +100,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": rf"(?:{_KEY}(?=[A-Za-z0-9_/+.~-]{{12}})|(?<!{_KEY_CHAR})(?=(?:{'|'.join(KEY_PREFIXES)}){_KEY_CHAR}{{12}})){_KEY_CHAR}++(?:\.{_KEY_CHAR}++)*+={{0,2}}+",
     "local_phone": r"(?<![0-9+(] ?)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![\x20-]?[0-9])",
-    "name": rf"(?:(?<![\p{{L}}0-9])(?:{'|'.join(TITLES)})\.?\x20|(?i:my name is|signed by|contact:)\x20|(?<![\p{{L}}0-9])(?=(?:{'|'.join(GIVEN_NAMES)})\x20\p{{Lu}}))\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}0-9])",
+    "name": rf"(?:(?<![\p{{L}}0-9]){_HEAD}|(?<![\p{{L}}0-9])(?={_any(GIVEN_NAMES)}\x20(?:{_PARTICLE})?\p{{Lu}})){_LARGE}(?:\x20(?:{_PARTICLE}){{0,2}}{_LARGE})?(?![\p{{L}}0-9])",
 }
 #: What stands before the private part of a match.
-HEADS = {"secret": f"^{_KEY}", "name": rf"^(?:(?:{'|'.join(TITLES)})\.?\x20|(?i:my name is|signed by|contact:)\x20)"}
+HEADS = {"secret": f"^{_KEY}", "name": f"^{_HEAD}"}
 #: A text without this can't hold the kind.
 NEEDS = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": "+", "secret": rf"[=:]|{'|'.join(KEY_PREFIXES)}",
-    "local_phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}", "name": rf"\b(?:{'|'.join((*TITLES, *GIVEN_NAMES))})\b|(?i:name is|signed by|contact:)",
+    "local_phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}", "name": rf"(?<![\p{{L}}0-9])(?:{_any((*TITLES, *GIVEN_NAMES))}\.?\x20|(?i:my name is|signed by|contact:))",
 }
 CUES = r"(?i)(mail|e-mail|contact|call|phone|tel|fax|mobile|host|addr|login|from|card|visa|pay|account|token|secret|key|passw|name|signed|dear)"
 COUNTER = r"(?i)(version|ver\.|v\.|isbn|issn|page|section|sect\.|no\.|part|serial|sku)\W{0,3}$"
@@ -122,6 +165,8 @@ def well_formed(kind: str, match: Column) -> Column:
         return F.length(digits).between(10, 15)
     if kind == "secret":
         return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+    if kind == "name":
+        return ~match.rlike(rf"(?<!\p{{L}}){_any(NO_PERSON)}(?!\p{{L}})")
     return ~digits.rlike("^[01]")
 
 
@@ -140,18 +185,21 @@ def _known(kind: str, match: Column) -> Column:
     if kind == "secret":
         return F.when(match.rlike("(?i)" + "|".join(PLACEHOLDERS)), "0").when(match.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), "1").otherwise("x")
     if kind == "name":
-        return F.when(match.rlike(r"\b(?:" + "|".join(GIVEN_NAMES) + r")\b"), "1").otherwise("x")
+        return F.when(match.rlike(rf"(?<!\p{{L}}){_any(NO_PERSON)}$"), "0").when(match.rlike(rf"^{_any(GIVEN_NAMES)}(?!\p{{L}})"), "1").otherwise("x")
     return F.when(digits.rlike("^.11"), "0").otherwise("x")
 
 
-def _votes(kind: str, match: Column, before: Column) -> Column:
+def _votes(kind: str, match: Column, before: Column, after: Column) -> Column:
     digits = F.length(_digits(match))
     distinct = F.size(F.array_distinct(F.split(match if kind == "secret" else _digits(match), "")))
     checked = F.when(well_formed(kind, match), "1").otherwise("0")
     context = F.when(before.rlike(COUNTER), "0").when(before.rlike(CUES), "1").otherwise("x")
-    if kind == "secret":
+    if kind == "name":
+        context = F.when(before.rlike(_PERSON), "1").when(before.rlike(_PLACE) | before.rlike(COUNTER), "0").otherwise("x")
+        shape = F.when(after.rlike(_BODY), "0").when(after.rlike(_DOES), "1").otherwise("x")
+    elif kind == "secret":
         shape = F.when(distinct < 5, "0").when(distinct >= 8, "1").otherwise("x")
-    elif kind in ("email", "name"):
+    elif kind == "email":
         shape = F.lit("x")
     else:
         shape = F.when(digits < 4, "x").when(distinct < 4, "0").otherwise("1")
@@ -170,7 +218,7 @@ def _span(n: int, kind: str, gaps: Column, starts: Column):
         # a span's context ends where its private part begins
         before = F.right(F.concat(F.right(gap, F.lit(AROUND)), F.left(m, F.length(m) - F.length(value))) if kind in HEADS else gap, F.lit(AROUND))
         end = start + F.length(m)
-        votes = _votes(kind, value, before)
+        votes = _votes(kind, value, before, F.left(F.coalesce(after, F.lit("")), F.lit(AROUND)))
         size = F.when(F.length(value) < 12, "s").when(F.length(value) < 16, "m").when(F.length(value) < 24, "l").otherwise("x")
         return F.struct(
             F.lit(n).alias("kind"),
