@@ -271,6 +271,58 @@ def folder_build(spark, d):
     return index.build_folder(spark, root, files.read_state(spark, f"{kept}/state"), spark.read.parquet(f"{kept}/index")).index
 
 
+@query
+def folder_scan(spark, d):
+    """Every document as a file, with bytes that aren't UTF-8 around its text; the scan of an
+    index and that of a search each read the files of their own suffixes outside skipped folders."""
+    number = F.col("doc_id").cast("string")
+    suffix = F.element_at(F.array(*map(F.lit, (".py", ".cpp", ".PY", ".md", ".bin", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
+    folder = F.when(F.col("doc_id") % 11 == 0, "/sub/.git/").when(F.col("doc_id") % 11 == 1, "/node_modules/deep/").when(F.col("doc_id") % 11 == 2, "/.tamarack/").otherwise("/.hidden/")
+    said = F.concat(F.unhex(F.lit("FFFE")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("C3")))
+    root = shared.fresh_path(spark, "scanned")
+    files.write_files(table(spark, d, "documents").select(F.concat("source", folder, number, suffix).alias("file"), said.alias("content")), root)
+    read = lambda kind, suffixes: files.scan(spark, root, suffixes).select(F.lit(kind).alias("kind"), "file", "size", F.md5("content").alias("digest"))
+    return read("index", files.INDEXED).unionByName(read("search", files.SEARCHED))
+
+
+@query
+def folder_entries(spark, d):
+    """What stands right under a folder: files of any name, and folders with a slash."""
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("."), number)).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit("/inner/"), number)).otherwise(F.concat(F.lit("_"), number, F.lit(" [x].bin")))
+    root = shared.fresh_path(spark, "entries")
+    files.write_files(table(spark, d, "documents").select(name.alias("file"), F.col("lang").alias("content")), root)
+    return files.listing(spark, root)
+
+
+@query
+def state_kept(spark, d):
+    """An index's state, written and read again beside a part that is no JSON."""
+    path = shared.fresh_path(spark, "state")
+    files.write_state(table(spark, d, "documents").select(F.concat("source", F.lit('/"é" '), F.col("doc_id").cast("string")).alias("file"), (F.col("n_chars") + 0.25).alias("mtime")), path)
+    spark.range(1).select(F.lit('{"broken": 1').alias("value")).write.mode("append").text(path)
+    return files.read_state(spark, path)
+
+
+@query
+def index_read(spark, d):
+    """A kept index with other columns; missing files and texts are empty."""
+    path = shared.fresh_path(spark, "index")
+    missing = lambda c, n: F.when(F.col("doc_id") % n != 0, F.col(c))
+    table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uid"), missing("source", 3).alias("file"), missing("text", 5).alias("document"), "n_chars").write.parquet(path)
+    return files.read_index(spark, path)
+
+
+@query
+def eval_items_read(spark, d):
+    """Evaluation items as JSON lists, a file for each of eight groups of them."""
+    item = F.struct(F.col("text").alias("query"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")), F.col("item_id").cast("string")).alias("relevant"))
+    path = shared.fresh_path(spark, "items")
+    lists = table(spark, d, "benchmark").groupBy((F.col("item_id") % 8).alias("g")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_eval(spark, path).select("query", F.array_join("relevant", ",").alias("relevant"))
+
+
 # --- conversations ---
 
 
@@ -517,6 +569,11 @@ def oracle_sql() -> dict[str, str]:
         "index_store": sql.INDEX_UPSERT,
         "bm25_indexed": sql.BM25_TOPK,
         "folder_build": sql.FOLDER_BUILD,
+        "folder_scan": sql.FOLDER_SCAN,
+        "folder_entries": sql.FOLDER_ENTRIES,
+        "state_kept": sql.STATE_KEPT,
+        "index_read": sql.INDEX_READ,
+        "eval_items_read": sql.EVAL_ITEMS_READ,
         "index_embedded": sql.INDEX_EMBEDDED,
         "settings_merged": sql.SETTINGS_MERGED,
         "token_estimate": sql.TOKEN_ESTIMATE,

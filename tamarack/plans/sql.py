@@ -124,6 +124,18 @@ c AS (
   UNION ALL SELECT file, 7, 8, 'class Second:' || chr(10) || '    size = 1' FROM d WHERE doc_id % 3 = 0)
 SELECT file || ':' || start_line || '-' || end_line AS uid, * FROM c"""
 
+FOLDER_SCAN = """WITH f AS (SELECT *, doc_id % 6 AS s, source || '/.hidden/' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.cpp' ELSE '.md' END AS file
+  FROM documents WHERE doc_id % 11 > 2 AND doc_id % 6 IN (0, 1, 3))
+SELECT kind, file, CAST(octet_length(encode(coalesce(text, ''))) + 3 AS BIGINT) AS size, md5(coalesce(text, '')) AS digest
+FROM f, (VALUES ('index'), ('search')) k(kind) WHERE kind = 'index' OR s <> 1"""
+FOLDER_ENTRIES = """SELECT '.' || doc_id AS entry FROM documents WHERE doc_id % 3 = 0
+UNION SELECT source || '/' FROM documents WHERE doc_id % 3 = 1
+UNION SELECT '_' || doc_id || ' [x].bin' FROM documents WHERE doc_id % 3 = 2"""
+STATE_KEPT = "SELECT source || '/\"é\" ' || doc_id AS file, n_chars + 0.25::DOUBLE AS mtime FROM documents"
+INDEX_READ = """SELECT CAST(doc_id AS VARCHAR) AS uid, CASE WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS file,
+  CASE WHEN doc_id % 5 <> 0 THEN coalesce(text, '') ELSE '' END AS document FROM documents"""
+EVAL_ITEMS_READ = "SELECT text AS query, 'src' || (item_id % 20) || ',' || item_id AS relevant FROM benchmark"
+
 TOKEN_ESTIMATE = "SELECT conv_id, CAST(trunc(sum(length(coalesce(text, ''))) / 3.0::DOUBLE * 1.2::DOUBLE) AS INTEGER) AS tokens FROM conversations GROUP BY conv_id"
 def _trim(chars: str) -> str:
     return f"""WITH m AS (SELECT conv_id, turn::DOUBLE AS turn, role, coalesce(text, '') AS text,
