@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from tamarack.llm import search
 
 
@@ -55,22 +56,56 @@ def test_ties_repeats_and_odd_rows(spark, odd_docs, no_docs):
     assert search.search(no_docs).count() == 0 and search.search(odd_docs).count() == 0
 
 
-def test_pruning_is_exact_and_skips_blocks():
-    rng = np.random.default_rng(2)
-    n = 5000
+def shard_of(rng, n, monkeypatch, common):
+    monkeypatch.setattr(search, "COMMON", common)
+    monkeypatch.setattr(search, "TERMS", 1)
     row = np.repeat(np.arange(n), 20)
     term = rng.zipf(1.4, len(row)).astype(np.uint64)
-    shard = search.Shard(np.arange(n), term, row, 20.0)
-    skipped = 0
-    for q in range(30):
-        asked = np.unique(rng.zipf(1.4, 6).astype(np.uint64))
-        weight = rng.random(len(asked)) + 0.1
-        ids, scores, used = shard.top(asked, weight, 10)
+    return row, term, search.Shard(np.arange(n)[::-1], term, row, 20.0)
+
+
+@pytest.mark.parametrize("common", [0, 4])  # without and with dense lists
+def test_pivot_is_exact_and_skips_postings(monkeypatch, common):
+    rng = np.random.default_rng(2)
+    n = 5000
+    row, term, shard = shard_of(rng, n, monkeypatch, common)
+    asked = [np.unique(rng.zipf(1.4, 12).astype(np.uint64)) for _ in range(70)]  # more than TOGETHER
+    queries = [(t, rng.random(len(t)) * np.log(1 + t) + 0.1) for t in asked]
+    read = 0
+    for (asked, weight), (ids, scores, n_read) in zip(queries, shard.top(queries, 10), strict=True):
         full = np.zeros(n)
         for t, w in zip(asked, weight, strict=True):
             tf = np.bincount(row[term == t], minlength=n)
             full += w * tf * 2.5 / (tf + 1.5) * (tf > 0)
-        order = np.lexsort((np.arange(n), -np.round(full, 9)))[:10]
-        assert np.allclose(scores, full[order][: len(scores)])
-        skipped += shard.blocks - used
-    assert skipped > 0
+        order = np.lexsort((np.arange(n)[::-1], -np.round(full, 9)))[:10]
+        order = order[full[order] > 0]
+        assert np.allclose(scores, full[order]) and len(scores) == len(order)
+        assert set(np.arange(n)[::-1][full > full[order[-1]] + 1e-9]) <= set(ids)
+        read += n_read
+    at = [np.searchsorted(shard.terms, t) for t, _ in queries]
+    at = [a[(a < len(shard.terms)) & (shard.terms[np.minimum(a, len(shard.terms) - 1)] == t)] for a, (t, _) in zip(at, queries, strict=True)]
+    lists = sum(int((shard.post[a + 1] - shard.post[a])[shard.column[a] < 0].sum()) for a in at)
+    assert read < 0.8 * lists
+
+
+def test_blocks_rows_and_equal_documents():
+    """Every posting lies in its block under the block's maximum; equal documents score equally,
+    whichever shard holds them, long rows (searched) and short ones (read) alike."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 9000, 6000).astype(np.uint64), rng.integers(1, 50, 30).astype(np.uint64)]
+    asked = np.unique(rng.integers(1, 9000, 300).astype(np.uint64))
+    weight = rng.random(len(asked))
+    seen = []
+    for others in (0, 1, 500):
+        docs = [*texts, *(rng.integers(1, 9000, 40).astype(np.uint64) for _ in range(others))]
+        shard = search.Shard(np.arange(len(docs)), np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]), 40.0)
+        for t in range(len(shard.terms)):
+            for e in range(shard.entry[t], shard.entry[t + 1]):
+                own = slice(shard.post[t], shard.post[t + 1])
+                held = shard.impact[own][shard.doc[own] // search.BLOCK == shard.block[e]]
+                assert len(held) and held.max() == shard.block_most[e] <= shard.most[t]
+        at = np.searchsorted(shard.terms, asked)
+        ok = shard.terms[np.minimum(at, len(shard.terms) - 1)] == asked
+        where = np.array([np.flatnonzero(shard.ids == i)[0] for i in (0, 1)])
+        seen.append(tuple(shard._score(where, at[ok], weight[ok])))
+    assert seen[0] == seen[1] == seen[2] and np.diff(shard.own).max() > search.LONG_ROW
