@@ -118,7 +118,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 class Shard:
     """An inverted index with block maxima over documents in memory, and each document's own row."""
 
-    def __init__(self, ids: np.ndarray, term: np.ndarray, row: np.ndarray, mean: float):
+    def __init__(self, parts: list[np.ndarray], mean: float):
+        """``parts``: documents' ids, then term and row (place among the ids) of every occurrence;
+        the list is emptied, so that what the index needs no more is freed while it is built."""
+        row, term, ids = parts.pop(), parts.pop(), parts.pop()
         n = len(ids)
         long = np.bincount(row, minlength=n)
         self.terms, term = np.unique(term, return_inverse=True)
@@ -126,16 +129,19 @@ class Shard:
         wide = max(1, len(self.terms))
         key, tf = np.unique(row * np.int64(wide) + term, return_counts=True)
         row, term = key // wide, key % wide
+        del key
         place = self._order(ids, long, self.terms[term], row, tf)
         self.ids = np.empty_like(ids)
         self.ids[place] = ids
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[row] / mean))
         doc = place[row]
+        del row, tf
         order = np.argsort(doc * wide + term)
         self.own_term, self.own_impact = term[order].astype(np.int32), impact[order]
         self.own = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
         order = np.argsort(term * np.int64(max(1, n)) + doc)
         term, self.doc, self.impact = term[order], doc[order], impact[order]
+        del doc, order, impact
         at = np.flatnonzero(np.diff(term, prepend=-1))
         self.post = np.concatenate((at, [len(term)]))
         self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
@@ -270,7 +276,10 @@ def _found(docs: DataFrame, blocks: list[Broadcast], mean: float, k: int) -> Dat
         ids, terms, rows, n, size = [], [], [], 0, 0
 
         def search() -> Iterator[pa.RecordBatch]:
-            shard = Shard(np.concatenate(ids), np.concatenate(terms), np.concatenate(rows), mean)
+            parts = [np.concatenate(x) for x in (ids, terms, rows)]
+            for x in (ids, terms, rows):
+                x.clear()
+            shard = Shard(parts, mean)
             for block in blocks:
                 asked, ends, term, weight = block.value
                 each = list(zip(np.split(term, ends[:-1]), np.split(weight, ends[:-1]), strict=True))
@@ -287,7 +296,7 @@ def _found(docs: DataFrame, blocks: list[Broadcast], mean: float, k: int) -> Dat
                 n, size = n + count, size + len(term) * 6
                 if size > SHARD_BYTES:
                     yield from search()
-                    ids, terms, rows, n, size = [], [], [], 0, 0
+                    n = size = 0
         if n:
             yield from search()
 

@@ -61,7 +61,7 @@ def shard_of(rng, n, monkeypatch, common):
     monkeypatch.setattr(search, "TERMS", 1)
     row = np.repeat(np.arange(n), 20)
     term = rng.zipf(1.4, len(row)).astype(np.uint64)
-    return row, term, search.Shard(np.arange(n)[::-1], term, row, 20.0)
+    return row, term, search.Shard([np.arange(n)[::-1], term, row], 20.0)
 
 
 @pytest.mark.parametrize("common", [0, 4])  # without and with dense lists
@@ -98,7 +98,7 @@ def test_blocks_rows_and_equal_documents():
     seen = []
     for others in (0, 1, 500):
         docs = [*texts, *(rng.integers(1, 9000, 40).astype(np.uint64) for _ in range(others))]
-        shard = search.Shard(np.arange(len(docs)), np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]), 40.0)
+        shard = search.Shard([np.arange(len(docs)), np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])], 40.0)
         for t in range(len(shard.terms)):
             for e in range(shard.entry[t], shard.entry[t + 1]):
                 own = slice(shard.post[t], shard.post[t + 1])
