@@ -6,14 +6,17 @@ Two sets of sizes ``s <= t`` that link (Jaccard at least ``percent`` in 100) dif
 for the next. Inside a band the feature domain is cut into first-level parts, these into
 second-level ones, and every subset of all but ``k2`` second-level parts of a part gives a
 signature: the hash of the set's elements there. The numbers are chosen so that two linked
-sets agree on at least ``margin`` parts whichever elements differ. A subset without elements
-says nothing and isn't signed, except by a set that has so many of them (``margin``) that a
-partner might agree there only.
+sets agree on some parts whichever elements differ; how many at least, follows from a set's
+size. A subset without elements says nothing and isn't signed, except by a set that has so
+many of them that a partner might agree there only. Nor does a set sign its last parts, as
+long as ``AGREE`` agreements are left over.
 
 Signatures are range-sorted together with their sets, so a common one spreads over tasks.
-Neighbours in that order are compared exactly; components of the links found make most other
-pairs of a signature needless. Only pairs of a signature that lie in different components are
-then compared as well: one by one where they are few. The sets of the other signatures (a
+Neighbours in that order, so often as linked sets agree at least, are compared exactly;
+components of the links found make most other pairs of a signature needless. Only pairs of a
+signature that lie in different components are then compared as well, if both sets have so
+many such signatures (and the pair shares so many) as linked sets of their band agree on at
+least: one by one where they are few. The sets of the other signatures (a
 passage that many documents share, alone in its part) sign anew by their rarest elements: in
 any one order of all elements, linked sets share one of the first ``n - ceil(percent n) + 1``;
 the order is by how many such sets have an element of the same bucket, so common passages come
@@ -47,6 +50,13 @@ PERCENT = 85
 #: Sets up to this size enumerate subsets of second-level parts; larger ones sign whole parts.
 ENUMERATE = 256
 STEP = 1.5
+#: Linked sets agree on so many signatures, where their sizes allow it: one suffices to find a pair,
+#: more tell it from chance.
+AGREE = 4
+#: A signature's last bits are the number of its band.
+BAND = 63
+#: So often sets with too few open signatures are left out; each time closes more signatures.
+ROUNDS = 2
 #: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
 DIRECT = 1 << 8
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1 << 20
@@ -61,7 +71,7 @@ FETCH = 2_000_000
 
 
 class Bands:
-    """First size of each band, and per band: differences, parts, subsets, margin."""
+    """First size of each band, and per band: differences, parts, subsets."""
 
     def __init__(self, percent: int = PERCENT, most: int = 1 << 31):
         self.percent = percent
@@ -78,38 +88,49 @@ class Bands:
         fewest = self.differ // (self.left_out + 1) + 1
         slack = np.where(self.differ > 0, 2 + fewest // 12, 0)
         self.parts = fewest + slack
-        self.margin = 1 + slack
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, sizes, "right") - 1
 
+    def agreed(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """On so many parts of the band a set of that size agrees at least with one that links with it."""
+        other = np.minimum(100 * sizes // self.percent, self.first[band + 1] - 1)
+        differ = (100 - self.percent) * (sizes + other) // (100 + self.percent)
+        return self.parts[band] - differ // (self.left_out[band] + 1)
+
     def next_too(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
         return 100 * sizes >= self.percent * self.first[band + 1]
 
 
 def signatures(elements: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets, end to end by set, and how many each has."""
+    return needing(elements, counts, bands)[:2]
+
+
+def needing(elements: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
+    """``signatures``, each set's band, and on how many it agrees at least with a set that links
+    with it in its own band and in the next one (0 where it doesn't sign)."""
     own = bands.of(np.maximum(counts, 1))
     both = bands.next_too(counts, own) & (counts > 0)
-    a, na = _signed(elements, counts, own, bands)
+    a, na, need = _signed(elements, counts, own, bands)
     chosen = np.repeat(both, counts)
-    b, nb_some = _signed(elements[chosen], counts[both], own[both] + 1, bands)
-    nb = np.zeros(len(counts), np.int64)
-    nb[both] = nb_some
+    b, nb_some, need_some = _signed(elements[chosen], counts[both], own[both] + 1, bands)
+    nb, need_next = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    nb[both], need_next[both] = nb_some, need_some
     out = np.empty(len(a) + len(b), np.uint64)
     ends = np.cumsum(na + nb)
     begin = ends - (na + nb)
     out[np.repeat(begin - (np.cumsum(na) - na), na) + np.arange(len(a))] = a
     out[np.repeat(begin + na - (np.cumsum(nb) - nb), nb) + np.arange(len(b))] = b
-    return out, na + nb
+    return out, na + nb, own, need, need_next
 
 
-def _signed(elements: np.ndarray, counts: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def _signed(elements: np.ndarray, counts: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = np.where(counts > 0, bands.parts[band], 0)
     base = np.cumsum(parts) - parts
     total = int(parts.sum())
     if not total:
-        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
     part = ((elements >> np.uint64(32)) * np.repeat(parts, counts).astype(np.uint64)) >> np.uint64(32)
     key = np.repeat(base, counts) + part.astype(np.int64)
     held = np.bincount(key, minlength=total)
@@ -136,21 +157,28 @@ def _signed(elements: np.ndarray, counts: np.ndarray, band: np.ndarray, bands: B
             empties |= subset & (n == 0)
     lists.append((~subset, held, whole, name))
     empties |= ~subset & (held == 0)
-    short = np.bincount(doc[empties], minlength=len(counts)) >= bands.margin[band]
+    blank = np.bincount(doc[empties], minlength=len(counts))
+    agreed = bands.agreed(counts, band)
+    short = blank >= agreed
     every = short[doc]
+    # of the parts that linked sets agree on, those that this one doesn't sign may be without elements
+    need = np.where(short, 1, agreed - blank)
+    # whichever set of a pair signs fewer parts, all others may be agreed on but for AGREE
+    signing = (np.arange(total) - base[doc]) < (bands.parts[band] - np.maximum(need - AGREE, 0))[doc]
     out, rows = [], []
     for where, n, s, tag in lists:
-        take = where & ((n > 0) | every)
-        out.append(mix(mix(s[take] + n[take].astype(np.uint64)) ^ mix(tag[take] * np.uint64(0xE7037ED1A0B428DB))))
+        take = where & ((n > 0) | every) & signing
+        value = mix(mix(s[take] + n[take].astype(np.uint64)) ^ mix(tag[take] * np.uint64(0xE7037ED1A0B428DB)))
+        out.append((value & ~np.uint64(BAND)) | band[doc[take]].astype(np.uint64))
         rows.append(doc[take])
     out, rows = np.concatenate(out), np.concatenate(rows)
     order = np.argsort(rows, kind="stable")
-    return out[order], np.bincount(rows, minlength=len(counts))
+    return out[order], np.bincount(rows, minlength=len(counts)), np.minimum(need, AGREE)
 
 
 # --- per document ---------------------------------------------------------------------------
 
-SIGNED = "doc_id long, n long, node long, sigs array<long>"
+SIGNED = "doc_id long, n long, node long, band long, need long, need_next long, sigs array<long>"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -158,7 +186,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, words: int, percent: int, sign: bool = True) -> DataFrame:
-    """Every document's set size, set id and, if asked for, signatures."""
+    """Every document's set size, set id, band, needs (see ``needing``) and, if asked for, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -166,11 +194,13 @@ def signed(docs: DataFrame, words: int, percent: int, sign: bool = True) -> Data
             ids = batch.column(0)
             for at, data, offsets in slices(batch.column(1)):
                 elements, counts = sets(data, offsets, words)
-                sigs, n = signatures(elements, counts, bands) if sign else (elements[:0], np.zeros(len(counts), np.int64))
+                sigs, n, *needs = needing(elements, counts, bands)
+                if not sign:
+                    sigs, n = sigs[:0], np.zeros(len(counts), np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(sigs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(counts)), pa.array(counts.astype(np.int64)), pa.array(set_ids(elements, counts)), lists],
-                    names=["doc_id", "n", "node", "sigs"],
+                    [ids.slice(at, len(counts)), pa.array(counts.astype(np.int64)), pa.array(set_ids(elements, counts)), *map(pa.array, needs), lists],
+                    names=["doc_id", "n", "node", "band", "need", "need_next", "sigs"],
                 )
 
     return _texts(docs).mapInArrow(run, SIGNED)
@@ -187,27 +217,33 @@ def sketches(elements: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.minimum(held, 255).astype(np.uint8).reshape(len(counts), SKETCH)]
 
 
-def fetched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, n, elements, sketch`` of the wanted nodes; ``nodes`` has ``node`` and one ``doc_id`` of it."""
+def fetched(docs: DataFrame, nodes: DataFrame, words: int, value: str = "elements") -> DataFrame:
+    """``node, n`` and ``elements`` or ``sketch`` of the wanted nodes, written to shared storage;
+    ``nodes`` has ``node`` and one ``doc_id`` of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in slices(batch.column(1)):
                 elements, counts = sets(data, offsets, words)
                 ends = np.cumsum(counts)
-                raw = [elements[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(set_ids(elements, counts)), pa.array(counts.astype(np.int64)), pa.array(raw, pa.binary()), pa.array(sketches(elements, counts), pa.binary())],
-                    names=["node", "n", "elements", "sketch"],
-                )
+                if value == "sketch":
+                    raw = sketches(elements, counts)
+                else:
+                    raw = [elements[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(elements, counts)), pa.array(counts.astype(np.int64)), pa.array(raw, pa.binary())], names=["node", "n", value])
 
     nodes = keep(nodes.select("node", "doc_id").distinct(), "join-wanted")
     n = nodes.count()
-    ids = nodes.select("doc_id").distinct()
-    some = _texts(docs).join(F.broadcast(ids) if n <= FETCH else ids, "doc_id", "left_semi")
-    found = some.mapInArrow(run, "node long, n long, elements binary, sketch binary")
-    # two texts under one doc_id: keep the wanted sets, each once
-    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    few = F.broadcast if n <= FETCH else lambda x: x
+    some = _texts(docs).join(few(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
+    # two texts under one doc_id: keep the wanted sets
+    found = keep(some.mapInArrow(run, f"node long, n long, {value} binary").join(few(nodes.select("node")), "node", "left_semi"), "join-sets")
+    if found.count() <= n:
+        return found
+    # rows that repeat a doc_id: each set once
+    once = keep(found.dropDuplicates(["node"]), "join-sets")
+    discard(found)
+    return once
 
 
 # --- pairs ----------------------------------------------------------------------------------
@@ -217,20 +253,13 @@ PAIRS = "kind int, x long, y long, at long"
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's sorted ``sig, node`` rows. Kind 0: sets next to each other in a signature;
-    kind 1: rows of signatures with three sets or more, or at an end of the task; kind 2: the
-    task's first and last row."""
-    from pyspark import TaskContext
-
-    me = TaskContext.get().partitionId()
+    """One task's sorted ``sig, node`` rows. Kind 0: sets next to each other in a signature, and its
+    band; kind 1: rows of signatures with two sets or more, or at an end of the task."""
     held = np.zeros((0, 2), np.int64)  # rows of the last signature, or only its last row if told
     first, told = None, False
 
-    def out(kind: int, x: np.ndarray, y: np.ndarray, at: int = 0) -> pa.RecordBatch:
-        n = len(x)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(x), pa.array(y), pa.array(np.full(n, at, np.int64))], names=["kind", "x", "y", "at"]
-        )
+    def out(kind: int, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(at)], names=["kind", "x", "y", "at"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -246,47 +275,50 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(same)
         new = new[new + 1 >= len(held)]
         if len(new):
-            yield out(0, rows[new, 1], rows[new + 1, 1])
+            yield out(0, rows[new, 1], rows[new + 1, 1], rows[new, 0] & BAND)
         begins = np.flatnonzero(np.concatenate(([True], ~same)))
         sizes = np.diff(np.concatenate((begins, [len(rows)])))
-        many = (sizes >= 3) | (rows[begins, 0] == first[0])
+        many = (sizes >= 2) | (rows[begins, 0] == first[0])
         many[0] |= told
         take = np.repeat(many, sizes)
         if told:
             take[: len(held)] = False
         if take.any():
-            yield out(1, rows[take, 0], rows[take, 1])
+            yield out(1, rows[take, 0], rows[take, 1], rows[take, 0] & BAND)
         told = bool(many[-1])
         held = rows[-1:] if told else rows[begins[-1] :]
-    if first is not None:
-        if not told:
-            yield out(1, held[:, 0].copy(), held[:, 1].copy())
-        yield out(2, first[:1].copy(), first[1:].copy(), 2 * me)
-        yield out(2, held[-1:, 0].copy(), held[-1:, 1].copy(), 2 * me + 1)
+    if first is not None and not told:
+        yield out(1, held[:, 0].copy(), held[:, 1].copy(), held[:, 0] & BAND)
 
 
-def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``sig, node``: distinct pairs ``a < b`` that stand next to each other in a signature,
-    and the rows of signatures that may have three sets or more."""
-    spark = rows.sparkSession
+def neighbours(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``sig, node``: pairs ``a < b`` that stand next to each other in so many signatures of a
+    band as both need, and the rows of signatures that may have two sets or more. What these
+    rows hold besides is for ``crossing`` to find."""
     made = keep(rows.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_walk, PAIRS), "join-walk")
-    pairs = made.where("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # a signature that runs on into the next task: two rows a task come here, whatever the input
-    ends = [tuple(r) for r in made.where("kind = 2").orderBy("at").select("x", "y").collect()]
-    over = [(min(p[1], q[1]), max(p[1], q[1])) for p, q in zip(ends, ends[1:], strict=False) if p[0] == q[0] and p[1] != q[1]]
-    pairs = keep(pairs.union(spark.createDataFrame(over, "a long, b long")).distinct(), "join-pairs")
+    met = made.where("kind = 0").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("at").alias("in")).count()
+    need = needs(nodes)
+    for end in "ab":
+        met = met.join(need.toDF(end, "in", "__need"), [end, "in"]).where("count >= __need").drop("__need")
+    pairs = keep(met.select("a", "b").distinct(), "join-pairs")
     members = keep(made.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("node")), "join-members")
     discard(made)
     return pairs, members
 
 
+def needs(nodes: DataFrame) -> DataFrame:
+    """``node, in, need``: the bands in which a set signs, and how many signatures it needs there."""
+    both = F.array(F.struct(F.col("band").alias("in"), "need"), F.struct((F.col("band") + 1).alias("in"), F.col("need_next").alias("need")))
+    return nodes.select("node", F.inline(both)).where("need > 0")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (distinct ``a, b``) whose sets link, compared element by element."""
     size = nodes.select("node", "n", "doc_id")
     sized = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     sized = keep(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "join-sized")
     wanted = size.join(sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct(), "node").select("node", "doc_id")
-    got = keep(fetched(docs, wanted, words).select("node", "elements", "sketch"), "join-sets")
+    got = fetched(docs, wanted, words, "sketch")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,34 +346,61 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, pe
         one = pairs.join(sets_.select(F.col("node").alias("a"), F.col(value).alias("x")), "a")
         return one.join(sets_.select(F.col("node").alias("b"), F.col(value).alias("y")), "b").select(*pairs.columns, "x", "y")
 
-    # sketches, a tenth of a set's size, rule out most pairs that don't link
+    # sketches, far smaller than sets, rule out most pairs that don't link
     close = keep(sided(sized, got, "sketch").mapInArrow(near, "a long, b long"), "join-close")
-    nodes_left = keep(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "join-left")
-    ids = F.broadcast(nodes_left) if nodes_left.count() <= FETCH else nodes_left
-    links = keep(sided(close, got.join(ids, "node", "left_semi"), "elements").mapInArrow(linked, "a long, b long"), "join-links")
-    discard(sized, got, close)
+    discard(sized, got)
+    left = size.join(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "node").select("node", "doc_id")
+    got = fetched(docs, left, words)
+    links = keep(sided(close, got, "elements").mapInArrow(linked, "a long, b long"), "join-links")
+    discard(got, close)
     return links
 
 
-def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def opened(m: DataFrame) -> DataFrame:
+    """``sig, first, pairs`` of signatures (``sig, node, label``) whose sets lie in different components."""
+    per = m.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min("node").alias("first")).groupBy("sig").agg(
+        F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"), F.min("first").alias("first")
+    )
+    return keep(per.where("parts > 1").select("sig", "first", ((F.col("g") * F.col("g") - F.col("within")) / 2).alias("pairs")), "join-open")
+
+
+def living(m: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of open signatures, without sets that have fewer of them in a band than they need."""
+    open_ = m.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("sig")
+    rows = keep(m.join(open_, "sig").withColumn("in", F.col("sig").bitwiseAND(F.lit(BAND))), "join-open-rows")
+    enough = rows.groupBy("node", "in").count().join(needs(nodes), ["node", "in"]).where("count >= need")
+    alive = keep(rows.join(enough.select("node", "in"), ["node", "in"]).select("sig", "node", "label"), "join-living")
+    discard(rows, m)
+    return alive
+
+
+def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, rounds: int = 0) -> tuple[DataFrame, DataFrame]:
     """What neighbours don't settle: signatures whose sets lie in different components.
 
     Gives pairs to compare, for signatures with up to ``DIRECT`` of them, and for the others
-    each set with the signature's least one (``a, b``).
+    each set with the signature's least one (``a, b``). With ``rounds``, signatures are those of
+    parts: sets with fewer open ones than they need go so many times, and pairs that share fewer.
     """
-    m = looked_up(members.distinct(), labels, "node").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    m = keep(m, "join-labelled")
-    per = m.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min("node").alias("first")).groupBy("sig").agg(
-        F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts"), F.min("first").alias("first")
-    )
-    per = keep(per.where("parts > 1").select("sig", "first", ((F.col("g") * F.col("g") - F.col("within")) / 2).alias("pairs")), "join-open")
-    x = m.join(per.where(F.col("pairs") <= DIRECT).select("sig"), "sig").join(nodes.select("node", "n"), "node")
-    y = x.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    m = keep(looked_up(members, labels, "node").select("sig", "node", F.coalesce("label", "node").alias("label")), "join-labelled")
+    for _ in range(rounds):
+        m = living(m, nodes)
+    per = opened(m)
+    x = m.join(per, "sig").join(nodes.select("node", "n"), "node").withColumn("in", F.col("sig").bitwiseAND(F.lit(BAND)) if rounds else F.lit(0).cast("long"))
+    few, many = F.col("pairs") <= DIRECT, F.col("pairs") > DIRECT
+    if rounds:
+        hot = x.where(many).groupBy("node", "in").agg(F.count("*").alias("hot"))
+        x = x.join(needs(nodes), ["node", "in"]).join(hot, ["node", "in"], "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    else:
+        x = x.withColumns({"need": F.lit(0), "hot": F.lit(0)})
+    x_ = keep(x, "join-crossing")
+    star = keep(x_.where(many).select(F.col("node").alias("a"), F.col("first").alias("b")), "join-star")
+    x = x_.where(few)
+    y = x.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("need").alias("need_b"), F.col("hot").alias("hot_b"))
     close = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("label") < F.col("lb"))
-    pairs = x.join(y, "sig").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    star = m.join(per.where(F.col("pairs") > DIRECT).select("sig", "first"), "sig").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    pairs, star = keep(pairs, "join-more"), keep(star, "join-star")
-    discard(m, per)
+    met = x.join(y, "sig").where(close).groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "in")
+    met = met.agg(F.count("*").alias("c"), F.max(F.greatest("need", "need_b")).alias("need"), F.max(F.least("hot", "hot_b")).alias("hot"))
+    pairs = keep(met.where("c + hot >= need").select("a", "b").distinct(), "join-more")
+    discard(m, per, x_)
     return pairs, star
 
 
@@ -351,7 +410,7 @@ def rarest(docs: DataFrame, hot: DataFrame, words: int, percent: int) -> DataFra
     Rarity is counted in ``BUCKETS`` buckets: a vector a task, one sum a bucket, and a broadcast
     of that size whatever the input.
     """
-    sets_ = keep(fetched(docs, hot, words).select("node", "n", "elements"), "join-hot-sets")
+    sets_ = fetched(docs, hot, words)
 
     def bucket(elements: np.ndarray) -> np.ndarray:
         return (mix(elements) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
@@ -418,7 +477,7 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     one, two = each.toDF("cluster", "b1", "j1"), each.toDF("cluster", "b2", "j2")
     near = (F.col("b2") - F.col("b1")).isin(0, 1) & ((F.col("b1") < F.col("b2")) | (F.col("j1") <= F.col("j2")))
     pairs = keep(one.join(two, "cluster").where(near), "join-blocks")
-    got = keep(fetched(docs, rows.select("node", "doc_id"), words).select("node", "elements"), "join-sets")
+    got = fetched(docs, rows.select("node", "doc_id"), words).select("node", "elements")
     rows = keep(rows.join(got, "node").select("cluster", "b", "j", "node", "label", "elements"), "join-block-rows")
     left = pairs.join(rows.withColumnsRenamed({"b": "b1", "j": "j1"}), ["cluster", "b1", "j1"]).withColumn("side", F.lit(0))
     right = pairs.where("b1 <> b2 or j1 <> j2").join(rows.withColumnsRenamed({"b": "b2", "j": "j2"}), ["cluster", "b2", "j2"]).withColumn("side", F.lit(1))
@@ -442,7 +501,7 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     links = keep(both.groupBy(*PAIR).applyInArrow(compare, "a long, b long"), "join-links")
-    discard(got, rows)
+    discard(rows)
     return links
 
 
@@ -494,11 +553,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         # signatures are far larger than texts' sizes and ids: they are made again for the sort
         # (and its sampling) instead of being stored
         made = keep(signed(docs, words, percent, False).drop("sigs"), "join-signed")
-        nodes = keep(made.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")), "join-nodes")
-        pairs, members = neighbours(signed(docs, words, percent).select(F.explode("sigs").alias("sig"), "node"))
+        nodes = keep(made.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("band", "need", "need_next")]), "join-nodes")
+        pairs, members = neighbours(signed(docs, words, percent).select(F.explode("sigs").alias("sig"), "node"), nodes)
         links = verified(docs, pairs, nodes, words, percent)
         labels = components.label(links)
-        more, star = crossing(members, labels, nodes, percent)
+        more, star = crossing(members, labels, nodes, percent, ROUNDS)
         discard(members)
         if not star.isEmpty():
             hot = star.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")

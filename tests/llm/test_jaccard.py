@@ -155,3 +155,23 @@ def test_shingle_hashes_tell_words_apart():
     elements, counts = shingles.sets(data, offsets, 4)
     ids = shingles.set_ids(elements, counts)
     assert ids[0] == ids[1] and len(set(ids.tolist())) == 5
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_agree_as_often_as_both_need(percent):
+    """And sets that have nothing in common don't meet by parts without elements."""
+    rng = np.random.default_rng(9)
+    bands = join.Bands(percent)
+    made = lambda n: np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    for n in [*rng.integers(1, 60, 60).tolist(), *rng.integers(60, 3000, 90).tolist()]:
+        own = made(n)
+        drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        other = np.sort(np.concatenate((own[drop:], made((n - drop) * 100 // percent - n))) if rng.random() < 0.5 and (n - drop) * 100 // percent > n else own[drop:])
+        found = [join.needing(x, np.array([len(x)]), bands) for x in (own, other)]
+        band = max(int(f[2][0]) for f in found)
+        need = max(int(f[3 + (band - int(f[2][0]))][0]) for f in found)
+        both = np.intersect1d(found[0][0], found[1][0])
+        assert need >= 1 and (both & np.uint64(join.BAND) == band).sum() >= need, (n, len(other))
+    for n in range(1000, 4000, 100):
+        a, b = (join.signatures(made(n), np.array([n]), bands)[0] for _ in "ab")
+        assert not len(np.intersect1d(a, b)), n
