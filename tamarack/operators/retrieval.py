@@ -19,6 +19,9 @@ RRF_K = 60
 #: So many query vectors are broadcast at most.
 QUERY_BLOCK = 4096
 BROADCAST_ROWS = 200_000
+#: Scores that a task of BM25 holds at most, if every query meets every chunk.
+SCORES = 1 << 20
+MOST_TASKS = 20_000
 #: Rows multiplied with the queries at once.
 TILE = 256
 #: Stands for a chunk itself among its tokens, which are never empty.
@@ -59,7 +62,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     Texts are cut into tokens once. Only occurrences of query terms are shuffled, by uid, and
     with each chunk one ``COUNTED`` row that stands for the chunk itself; frequencies, number
     and lengths of chunks all come from that one exchange, and a chunk's scores are summed
-    where it lies. Frequencies span the whole corpus.
+    where it lies. There are so many tasks that each holds ``SCORES`` scores at most, whatever
+    the session's own number. Frequencies span the whole corpus.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
     n_asked = asked.limit(BROADCAST_ROWS + 1).count()
@@ -67,7 +71,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     terms = asked.select("tok").distinct().union(own)
     tokens = tokens_of(chunks).select("uid", "tokens", F.size("tokens").alias("dl"))
     marked = tokens.select("uid", "dl", F.explode(F.array_append("tokens", F.lit(COUNTED))).alias("tok"))
-    found = marked.join(small(terms, n_asked), "tok", "left_semi").repartition("uid")
+    found = marked.join(small(terms, n_asked), "tok", "left_semi").repartition(_tasks(chunks, queries), "uid")
     tf = found.groupBy("uid", "dl", "tok").agg(F.count("*").alias("tf"))
     per = tf.groupBy("tok").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("rows"), F.sum(F.col("dl") * F.col("tf")).alias("length"))
     # not a filter, which would be pushed into the exchange and make it another one
@@ -80,6 +84,12 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     return scored.where("score > 0").select("query_id", "uid", F.round("score", 6).alias("score"))
 
 
+def _tasks(chunks: DataFrame, queries: DataFrame) -> int:
+    """For so many scores as there may be, and no fewer than the session's."""
+    asked = queries.select("query_id").distinct().count()
+    return max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-chunks.count() * asked // SCORES), MOST_TASKS))
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     return ranked(bm25_scores(chunks, queries), limit, "bm25_rank")
 
@@ -201,7 +211,8 @@ def compared(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, n: int =
 def formatted(hits: DataFrame, chunks: DataFrame, hybrid: bool = True) -> DataFrame:
     """One line a hit: file, start line (0 if chunks have none), provenance, snippet."""
     start = F.coalesce("start_line", F.lit(0)).cast("string") if "start_line" in chunks.columns else F.lit("0")
-    got = hits.join(chunks.withColumn("_start", start), "uid", "left")
+    # a text's first characters are taken before the join, which would shuffle and sort whole texts
+    got = hits.join(chunks.select("uid", "file", start.alias("_start"), snippet(F.col("document")).alias("_text")), "uid", "left")
     said = F.concat_ws(
         ", ",
         F.format_string("RRF:%.4f", "score") if hybrid else F.lit(None).cast("string"),
@@ -210,7 +221,7 @@ def formatted(hits: DataFrame, chunks: DataFrame, hybrid: bool = True) -> DataFr
     )
     said = F.when(said == "", "unknown").otherwise(said)
     place = F.concat(F.coalesce("file", F.lit("")), F.lit(":"), F.coalesce("_start", F.lit("0")))
-    return got.select("query_id", "rank", F.concat(place, F.lit(" ("), said, F.lit(") | "), snippet(F.col("document"))).alias("line"))
+    return got.select("query_id", "rank", F.concat(place, F.lit(" ("), said, F.lit(") | "), F.coalesce("_text", F.lit(""))).alias("line"))
 
 
 def report(hit_lines: DataFrame, queries: DataFrame) -> DataFrame:

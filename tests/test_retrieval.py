@@ -99,3 +99,13 @@ def test_nearest_of_many_batches_equals_brute_force(spark, monkeypatch):
         d = ((points.astype(float) - points[i * 7].astype(float)) ** 2).sum(1)
         best = sorted(range(len(points)), key=lambda j: (round(d[j], 6), f"{j:03d}"))[:7]
         assert [got[i, k + 1] for k in range(7)] == [f"{j:03d}" for j in best]
+
+
+def test_bm25_has_a_task_for_every_so_many_scores(spark, monkeypatch):
+    """The number of tasks follows chunks times queries, not the session's setting."""
+    monkeypatch.setattr(retrieval, "SCORES", 10)
+    chunks = spark.createDataFrame([(str(i), None, f"alpha w{i}") for i in range(100)], "uid string, file string, document string")
+    queries = spark.createDataFrame([(i, "alpha") for i in range(3)], "query_id long, query string")
+    got = retrieval.bm25_topk(chunks, queries, 2)
+    assert "hashpartitioning(uid" in (plan := got._jdf.queryExecution().toString()) and ", 30)" in plan
+    assert [(r["query_id"], r["uid"]) for r in got.orderBy("query_id", "bm25_rank").collect()] == [(q, u) for q in range(3) for u in ("0", "1")]
