@@ -22,7 +22,7 @@ any one order of all elements, linked sets share one of the first ``n - ceil(per
 the order is by how many such sets have an element of the same bucket, so common passages come
 last. What these signatures leave common is one cluster where they overlap, in which a pair is
 compared once: block of sets against block of sets, where a task holds two bounded blocks and
-gives only their links. No link between different sets is lost, and no signature gives all its
+gives links that connect what all of theirs do. No link between different sets is lost, and no signature gives all its
 pairs.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own
@@ -60,6 +60,8 @@ ROUNDS = 2
 #: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
 DIRECT = 1 << 8
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1 << 20
+#: Sets of a block whose intersections with another block are held at once.
+BLOCK_ROWS = 256
 #: Buckets in which the elements of common signatures' sets are counted.
 BUCKETS = 1 << 13
 #: Elements that more pairs of a block share are counted by matrices, the others pair by pair.
@@ -463,7 +465,8 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     sets against block of sets.
 
     A block holds about ``BLOCK_SETS`` sets or ``BLOCK_ELEMENTS`` elements of one size class; only neighbouring classes can
-    link. A task sees two blocks and gives only their links.
+    link. A task sees two blocks and gives only so many of their links as connect the same sets:
+    no more rows than it reads, however many of its pairs link.
     """
     spark = docs.sparkSession
     if rows.isEmpty():
@@ -493,11 +496,15 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
             y = x
         if not len(x) or not len(y):
             return pa.table({"a": node[:0], "b": node[:0]})
-        common = _common([sets_[i] for i in x], [sets_[i] for i in y])
         n = np.array([len(s) for s in sets_])
-        ok = (100 * common >= percent * (n[x][:, None] + n[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
-        i, j = np.nonzero(ok)
-        a, b = node[x[i]], node[y[j]]
+        found = []
+        for at in range(0, len(x), BLOCK_ROWS):
+            some = x[at : at + BLOCK_ROWS]
+            common = _common([sets_[i] for i in some], [sets_[i] for i in y])
+            linked = (100 * common >= percent * (n[some][:, None] + n[y][None, :] - common)) & (label[some][:, None] != label[y][None, :])
+            found.append(np.packbits(linked, axis=1))  # an eighth, until all rows are there
+        a, b = forest(np.concatenate(found), x, y)
+        a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     links = keep(both.groupBy(*PAIR).applyInArrow(compare, "a long, b long"), "join-links")
@@ -505,6 +512,30 @@ def blockwise(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     return links
 
 
+def forest(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between ``x`` and ``y`` (rows of bits), so many as connect the same: one fewer than
+    sets at most. ``y`` is ``x`` itself or has none of it."""
+    by_row, ends = linked, []
+    by_column = by_row if y is x else np.packbits(np.unpackbits(linked, axis=1, count=len(y)).T, axis=1)
+    fresh_x = np.ones(len(x), bool)
+    fresh_y = fresh_x if y is x else np.ones(len(y), bool)
+    sides = ((by_row, fresh_y, len(y)), (by_column, fresh_x, len(x)))
+    for first in range(len(x)):
+        if not fresh_x[first]:
+            continue
+        fresh_x[first] = False
+        todo = [(0, first)]
+        while todo:
+            side, i = todo.pop()
+            rows, fresh, n = sides[side]
+            met = np.flatnonzero(np.unpackbits(rows[i], count=n).view(bool) & fresh)
+            fresh[met] = False
+            ends += [(i, j) if side == 0 else (j, i) for j in met.tolist()]
+            todo += [(1 - side, j) for j in met.tolist()]
+    i, j = np.array(ends, np.int64).reshape(-1, 2).T
+    return x[i], y[j]
+
+
 def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by counting over the elements that both sides have."""
     nx, ny = [len(s) for s in xs], [len(s) for s in ys]

@@ -107,6 +107,45 @@ def test_sizes_of_intersections(monkeypatch, dense):
     assert join._common([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_a_forest_connects_what_all_links_do(same):
+    rng = np.random.default_rng(7)
+    for density in (0.0, 0.01, 0.05, 0.3, 1.0):
+        x = rng.permutation(200)[:70]
+        y = x if same else rng.permutation(np.setdiff1d(np.arange(200), x))[:90]
+        linked = rng.random((len(x), len(y))) < density
+        if same:
+            linked = np.triu(linked, 1) | np.triu(linked, 1).T
+        a, b = join.forest(np.packbits(linked, axis=1), x, y)
+        i, j = np.nonzero(linked)
+        assert set(zip(a.tolist(), b.tolist())) <= set(zip(x[i].tolist(), y[j].tolist()))
+
+        def parts(a, b):
+            root = np.arange(200)
+            for p, q in zip(a.tolist(), b.tolist()):
+                root[root == root[q]] = root[p]
+            return root[:, None] == root[None, :]
+
+        assert (parts(a, b) == parts(x[i], y[j])).all() and len(a) < len(set(x.tolist()) | set(y.tolist()))
+
+
+def test_a_block_of_near_copies_gives_fewer_links_than_sets(spark, monkeypatch):
+    """All pairs of 300 near copies link; comparing them block by block gives one link a set at most."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(words + [f"o{i}"])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    nodes = join.keep(join.signed(df, 4, 85, False), "test-nodes")
+    rows = nodes.selectExpr("node", "node as label", "n", "doc_id", "0L as cluster")
+    for sets in (2048, 64):
+        monkeypatch.setattr(join, "BLOCK_SETS", sets)
+        links = join.blockwise(df, rows, 4, 85)
+        blocks = -(-300 // sets)
+        assert links.count() < 300 * blocks
+        label = join.components.label(links)
+        assert label.count() == 300 and label.select("label").distinct().count() == 1
+    assert got(df) == brute(docs)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = {r["doc_id"]: r for r in join.link(odd_docs).collect()}
     assert rows[1]["component_id"] == 1 and rows[1]["n_shingles"] == 0
