@@ -6,7 +6,10 @@ query looks at: the least with which ``RECALL`` of the sample's own neighbours a
 vector is indexed, in its cell; a query goes to its nearest cells and meets their vectors in a
 join. A cell of more than ``ROWS`` vectors is cut into shards and one of more than ``ASKED``
 queries into blocks of them, so a task holds one shard and one block, whatever share of all
-rows a cell has. Only the sample, and counts by cell, come to the driver.
+rows a cell has; smaller ones are cut as well, as long as there are too few tasks. A vector is
+shuffled once a block and a query once a shard, so shards and blocks are as large as a task can
+hold, and the distances between them are taken ``PRODUCTS`` at a time. Only the sample, and
+counts by cell, come to the driver.
 
 Exact search is the same join with one cell.
 
@@ -31,7 +34,11 @@ from tamarack.functions.ranking import ranked
 SAMPLE = 20_000
 MOST_CELLS = 1024
 RECALL = 0.95
-ROWS, ASKED = 8192, 1024
+ROWS, ASKED = 1 << 16, 1 << 16
+#: Shards and blocks of this size at most aren't cut further to make tasks, of which each core gets ``TASKS``.
+LEAST, TASKS = 1024, 4
+#: Distances held at once.
+PRODUCTS = 1 << 22
 ITERATIONS = 8
 #: What a product of matrices may be off by: it only chooses, distances are then taken exactly.
 SLACK = 1e-5
@@ -137,11 +144,18 @@ def _met(limit: int):
             return none
         size = len(rows["embedding"][0])
         x, q = _matrix(rows["embedding"], size), _matrix(asked["embedding"], size)
-        near = _far(q, x)
-        border = np.partition(near, limit - 1, axis=1)[:, limit - 1] if len(x) > limit else np.full(len(q), np.inf)
-        which, at = np.nonzero(near <= border[:, None] + SLACK)
-        gone = q[which] - x[at]
-        score = np.round(-np.einsum("ij,ij->i", gone, gone), 6) + 0.0
+        which, at, score = [], [], []
+        step = max(1, PRODUCTS // len(x))
+        for begin in range(0, len(q), step):
+            some = q[begin : begin + step]
+            near = _far(some, x)
+            border = np.partition(near, limit - 1, axis=1)[:, limit - 1] if len(x) > limit else np.full(len(some), np.inf)
+            i, j = np.nonzero(near <= border[:, None] + SLACK)
+            gone = some[i] - x[j]
+            which.append(begin + i)
+            at.append(j)
+            score.append(np.round(-np.einsum("ij,ij->i", gone, gone), 6) + 0.0)
+        which, at, score = np.concatenate(which), np.concatenate(at), np.concatenate(score)
         uid = rows["uid"].combine_chunks()
         by_name = np.empty(len(x), np.int64)
         by_name[pc.sort_indices(uid).to_numpy()] = np.arange(len(x))
@@ -153,14 +167,20 @@ def _met(limit: int):
     return run
 
 
+def cuts(held: dict[int, int], wanted: dict[int, int], cores: int) -> list[tuple[int, int, int]]:
+    """Into how many shards and blocks each cell with so many vectors and queries is cut."""
+    met = [c for c in held if c in wanted]
+    side = max(LEAST, int((sum(held[c] * wanted[c] for c in met) / (TASKS * cores)) ** 0.5))
+    return [(c, -(-held[c] // min(ROWS, side)), -(-wanted[c] // min(ASKED, side))) for c in met]
+
+
 def joined(rows: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     """``query_id, uid, score`` of the best ``limit`` rows (``cell, uid, embedding``) of each cell
     for each query that is there (``cell, query_id, embedding``), shard by shard."""
     spark = rows.sparkSession
     count = lambda df: {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
     held, wanted = count(rows), count(asked)
-    plan = [(c, -(-held[c] // ROWS), -(-wanted[c] // ASKED)) for c in held if c in wanted]
-    plan = F.broadcast(spark.createDataFrame(plan, "cell int, shards int, blocks int"))  # a row a cell
+    plan = F.broadcast(spark.createDataFrame(cuts(held, wanted, spark.sparkContext.defaultParallelism), "cell int, shards int, blocks int"))  # a row a cell
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     left = rows.join(plan, "cell").select("cell", part("uid", "shards").alias("shard"), each("blocks").alias("block"), "uid", "embedding")
@@ -178,5 +198,9 @@ def search(index: DataFrame, queries: DataFrame, cells: Cells, limit: int = 10)
 
 def exact(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """``query_id, uid, score``: every vector against every query of its length, block by block."""
-    whole = lambda df, key: df.where(usable(F.col("embedding"))).select(F.size("embedding").alias("cell"), key, F.col("embedding").cast("array<double>").alias("embedding"))
+    def whole(df: DataFrame, key: str) -> DataFrame:
+        # single precision is half as much to shuffle; tasks compute in double precision anyway
+        kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+        return df.where(usable(F.col("embedding"))).select(F.size("embedding").alias("cell"), key, F.col("embedding").cast(kind).alias("embedding"))
+
     return joined(whole(vectors, "uid").where("cell > 0"), whole(queries, "query_id").where("cell > 0"), limit)

@@ -71,3 +71,28 @@ def test_clustered_vectors_need_few_cells(spark):
     vectors, _ = tables(spark, rows, ASKED)
     cells = neighbours.fit(vectors)
     assert len(cells.centroids) == 39 and cells.probes <= 6
+
+
+def test_vectors_are_shuffled_as_often_whatever_their_number():
+    """Each vector goes once to every block, each query once to every shard; a task's share is bounded."""
+    copies = []
+    for n in (10_000, 100_000, 400_000):
+        ((_, shards, blocks),) = neighbours.cuts({64: n}, {64: n}, 12)
+        assert -(-n // shards) <= neighbours.ROWS and -(-n // blocks) <= neighbours.ASKED and shards * blocks >= 12
+        copies.append(shards + blocks)
+    assert max(copies) <= copies[0]
+    ((_, shards, blocks),) = neighbours.cuts({64: 1_000_000}, {64: 1_000_000}, 12)
+    assert shards + blocks <= 32
+
+
+def test_distances_taken_a_few_at_a_time_and_single_precision(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PRODUCTS", 50)
+    draw = np.random.default_rng(4)
+    rows = [(f"u{i}", draw.integers(-3, 4, 3).astype(float).tolist()) for i in range(90)]
+    asked = [(i, draw.integers(-3, 4, 3).astype(float).tolist()) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "uid string, embedding array<float>")
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    met = neighbours.exact(vectors, queries, 5)
+    assert {tuple(r) for r in neighbours.ranked(met, 5, "vector_rank").collect()} == brute(rows, asked, 5)
+    plan = met._jdf.queryExecution().analyzed().toString()
+    assert "array<float>" in plan and "array<double>" not in plan
