@@ -6,6 +6,10 @@ changes of the totals (``n, length``); a build without totals is not there yet.
 frequencies lie in folders by a hash of the term, so a search reads the folders of its terms.
 A posting counts unless its chunk went in a later build. ``compact`` merges all builds into
 one that stands for those before it.
+
+A build counts a chunk's terms where the chunk lies and moves postings once, to their folders. A
+search moves the postings of its terms once, by chunk, whatever the number of queries: a
+chunk's scores are summed where its postings meet.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.ranking import ranked
 from tamarack.functions.text import tokenize
-from tamarack.operators.retrieval import K1, B, small, tokens_of
+from tamarack.operators.retrieval import K1, MOST_TASKS, SCORES, B, small, tokens_of
 
 FOLDERS = 64
 _SCHEMA = {
@@ -27,6 +31,15 @@ _SCHEMA = {
 }
 
 
+def counted(tokens: Column) -> Column:
+    """``tok, tf`` of each distinct token of an array: runs of the sorted one."""
+    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  evaluated once
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("tok"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    none = F.array().cast("array<struct<tok:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, one(F.array_sort(tokens), lambda s: one(begins(s), lambda b: runs(s, b)))).otherwise(none)
+
+
 class Postings:
     """The index under ``path``, a shared folder."""
 
@@ -67,8 +80,8 @@ class Postings:
         """
         build = max(self.builds(), default=0) + 1
         gone = fresh.limit(0) if gone is None else gone
-        cut = tokens_of(fresh).select("uid", F.size("tokens").alias("dl"), F.explode("tokens").alias("tok"))
-        self._write(build, "postings", cut.groupBy("tok", "uid", "dl").agg(F.count("*").alias("tf")).select("tok", "uid", "tf", "dl", self._folder().alias("folder")))
+        cut = tokens_of(fresh).select("uid", F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("t"))
+        self._write(build, "postings", cut.select("t.tok", "uid", "t.tf", "dl", self._folder("t.tok").alias("folder")))
         self._write(build, "gone", gone.select("uid").distinct())
         signed = tokens_of(fresh).withColumn("sign", F.lit(1)).unionByName(tokens_of(gone).withColumn("sign", F.lit(-1)))
         terms = signed.select("sign", F.explode(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(F.sum("sign").alias("df"))
@@ -99,7 +112,12 @@ class Postings:
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = asked.join(df, "tok").select("query_id", "tok", (F.col("qtf") * idf).alias("w"))
         part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-        alive = self._alive(of("postings"), builds).where(F.lit(avgdl > 0))
+        # postings, not their scores for each query, are shuffled; a task has SCORES scores at most
+        n_asked = queries.select("query_id").distinct().count()
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(-(-n * n_asked // SCORES), MOST_TASKS))
+        alive = self._alive(of("postings").repartition(tasks, "uid"), builds).where(F.lit(avgdl > 0))
+        # rows that repeat a chunk of one build are one
+        alive = alive.groupBy("uid", "tok", "dl", "build").agg(F.sum("tf").alias("tf"))
         scored = alive.join(small(weights), "tok").groupBy("query_id", "uid").agg(F.sum(part).alias("score"))
         return ranked(scored.where("score > 0").select("query_id", "uid", F.round("score", 6).alias("score")), limit, "bm25_rank")
 

@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators import retrieval
-from tamarack.operators.postings import Postings
+from tamarack.operators.postings import Postings, counted
 from tamarack.sources.store import Store
 
 ROW = "uid string, file string, document string"
@@ -101,3 +103,17 @@ def test_a_search_reads_its_terms_folders(spark, tmp_path):
     plan = index.search(one)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [(folder" in plan
     assert "document" not in plan
+
+
+def test_a_search_shuffles_postings_not_scores(spark, tmp_path):
+    """A chunk's postings meet once, by chunk: nothing is dealt out by query and chunk, nor when a build counts terms."""
+    index = Postings(spark, str(tmp_path / "i"), folders=4)
+    index.add(_documents(spark))
+    plan = index.search(_asked(spark))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(uid#\d+", plan) and not re.search(r"hashpartitioning\(query_id#\d+L?, uid", plan), plan
+
+
+def test_runs_of_sorted_tokens_are_counted(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],)], "tokens array<string>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(counted(F.col("tokens"))).collect()]
+    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], [("x", 1)]]
