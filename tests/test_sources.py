@@ -85,6 +85,13 @@ def test_page_text(spark):
     assert rows[3]["text"] == "x" * 4000 + "\n...[cut, 5000 characters in all]" and rows[3]["n_chars"] == 5000
 
 
+def test_page_text_goes_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(pages, "BATCH", 100)
+    df = spark.createDataFrame([(i, f"<p>{'x' * i}</p>") for i in range(200)], "page_id int, html string")
+    assert sorted(tuple(r) for r in pages.page_text(df).collect()) == [(i, "x" * i or pages.EMPTY, i) for i in range(200)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b"
+
+
 def test_text_sink(spark, tmp_path):
     files.write_text(spark.createDataFrame([("a 1",)], "page string"), str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m")).select(F.first("value")).first()[0] == "a 1"
