@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.sources.folder import FolderSource, opened, there
+from tamarack.sources.shared import bounded
 
 #: Folders that are passed over, and suffixes that are read.
 SKIP = (".git", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode")
@@ -20,7 +21,7 @@ SEARCHED = (
 OWN = (".tamarack",)
 STATE_FILES = 10_000
 #: Bytes that a task reads, and characters that it gives at once.
-TASK_BYTES, BATCH = 64 << 20, 8 << 20
+TASK_BYTES, BATCH = 64 << 20, 1 << 20
 INDEXED = (*SEARCHED, ".cpp", ".c", ".h")
 
 
@@ -94,6 +95,7 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_files(rows: DataFrame, root: str) -> None:
     """Each row (``file, content``) as a file under ``root``, parents created; existing ones are replaced."""
+    bounded(rows.sparkSession)
     rows.sparkSession.dataSource.register(FolderSource)
     rows.select("file", "content").write.format("folder").mode("append").save(root)
 

@@ -60,6 +60,12 @@ def test_rows_are_written_as_files_or_not_at_all(spark, tmp_path):
     assert sorted(p.name for p in root.rglob("*") if p.is_file()) == ["a.txt", "b.txt", "c.txt"]
 
 
+def test_files_are_written_from_small_batches(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    files.write_files(spark.createDataFrame([("a.txt", "x")], "file string, content string"), str(tmp_path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b"
+
+
 def test_state_and_eval_files(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"a.py": 1.5, "b.py": 2}))
     (tmp_path / "bad.json").write_text("{")
