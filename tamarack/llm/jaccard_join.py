@@ -11,7 +11,9 @@ size. A subset without elements says nothing and isn't signed, except by a set t
 many of them that a partner might agree there only. Nor does a set sign its last parts, as
 long as ``AGREE`` agreements are left over.
 
-Signatures are range-sorted together with their sets, so a common one spreads over tasks.
+Most signatures are one set's only. Their first bits are sorted first, without the sets and in
+three bytes each, one document a set; a bit map of bounded size tells which may be another
+set's too. Only these are range-sorted together with their sets, so a common one spreads over tasks.
 Neighbours in that order, so often as linked sets agree at least, are compared exactly;
 components of the links found make most other pairs of a signature needless. Only pairs of a
 signature that lie in different components are then compared as well, if both sets have so
@@ -55,6 +57,10 @@ STEP = 1.5
 AGREE = 4
 #: A signature's last bits are the number of its band.
 BAND = 63
+#: Signatures a part of them, and bits of the map of those that are met again, at most (32 MB): where
+#: there are too many for it, more signatures pass that only one set has.
+PART = 1 << 21
+MAP_BITS = 28
 #: So often sets with too few open signatures are left out; each time closes more signatures.
 ROUNDS = 2
 #: Pairs of a signature that are compared one by one; beyond, its sets are compared in blocks.
@@ -180,34 +186,120 @@ def _signed(elements: np.ndarray, counts: np.ndarray, band: np.ndarray, bands: B
 
 # --- per document ---------------------------------------------------------------------------
 
-SIGNED = "doc_id long, n long, node long, band long, need long, need_next long, sigs array<long>"
+SIGNED = "doc_id long, n long, node long, band long, need long, need_next long, signs long, sigs array<long>"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _each(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[tuple]:
+    """Ids, elements and their counts, signatures and their counts, and needs of slices of ``doc_id, text``."""
+    bands = Bands(percent)
+    for batch in batches:
+        for at, data, offsets in slices(batch.column(1)):
+            elements, counts = sets(data, offsets, words)
+            sigs, n, *needs = needing(elements, counts, bands)
+            yield batch.column(0).slice(at, len(counts)), elements, counts, sigs, n, needs
+
+
 def signed(docs: DataFrame, words: int, percent: int, sign: bool = True) -> DataFrame:
-    """Every document's set size, set id, band, needs (see ``needing``) and, if asked for, signatures."""
+    """Every document's set size, set id, band, needs (see ``needing``), number of signatures and, if asked for, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for batch in batches:
-            ids = batch.column(0)
-            for at, data, offsets in slices(batch.column(1)):
-                elements, counts = sets(data, offsets, words)
-                sigs, n, *needs = needing(elements, counts, bands)
-                if not sign:
-                    sigs, n = sigs[:0], np.zeros(len(counts), np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(sigs.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(counts)), pa.array(counts.astype(np.int64)), pa.array(set_ids(elements, counts)), *map(pa.array, needs), lists],
-                    names=["doc_id", "n", "node", "band", "need", "need_next", "sigs"],
-                )
+        for ids, elements, counts, sigs, n, needs in _each(batches, words, percent):
+            signs = pa.array(n)
+            if not sign:
+                sigs, n = sigs[:0], np.zeros(len(counts), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(sigs.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(counts.astype(np.int64)), pa.array(set_ids(elements, counts)), *map(pa.array, needs), signs, lists],
+                names=["doc_id", "n", "node", "band", "need", "need_next", "signs", "sigs"],
+            )
 
     return _texts(docs).mapInArrow(run, SIGNED)
 
 
+def once_each(docs: DataFrame, made: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` without those whose set another document stands for (``nodes``), as long as so
+    many ids (``FETCH``) can be broadcast."""
+    copies = keep(made.where("n > 0").select("doc_id").distinct().join(nodes.select("doc_id").distinct(), "doc_id", "left_anti"), "join-copies")
+    return docs.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= FETCH else docs
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Ascending numbers of 32 bits as differences of three bytes, or four where one is too large."""
+    d = np.diff(x, prepend=x[:0].dtype.type(0)).astype("<u4")
+    width = 3 if not len(d) or int(d.max()) < 1 << 24 else 4
+    return bytes([width]) + np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    d = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    out = np.zeros((len(d), 4), np.uint8)
+    out[:, : raw[0]] = d
+    return np.cumsum(out.reshape(-1).view("<u4"), dtype=np.uint32)
+
+
+def met_again(docs: DataFrame, words: int, percent: int, total: int) -> tuple[int, np.ndarray]:
+    """How many first bits of a signature a map looks at, and the map: a bit is set where two rows or
+    more have the same signature. ``total`` is about the number of signatures of ``docs``.
+
+    A task sends, for each part of the signatures, their first bits in ascending order; a part is
+    ``PART`` signatures, and its piece of the map all that the driver gets.
+    """
+    bits = int(min(MAP_BITS, max(16, total.bit_length() + 1)))
+    high = int(min(bits - 3, max(4, (total // PART).bit_length())))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(held) >> np.uint64(32 - high))
+            ends = np.searchsorted(x >> np.uint64(32), np.arange(1 << high, dtype=np.uint64), "right")
+            parts = [packed(p.astype(np.uint32)) for p in np.split(x, ends[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << high)), pa.array(parts, pa.binary())], names=["part", "raw"])
+
+        for _, _, _, sigs, _, _ in _each(batches, words, percent):
+            held.append(sigs)
+            size += len(sigs)
+            if size > PART:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def count(table: pa.Table) -> pa.Table:
+        x = np.sort(np.concatenate([unpacked(raw.as_py()) for raw in table["raw"]]))
+        piece = np.zeros(1 << (bits - high), bool)
+        piece[x[1:][x[1:] == x[:-1]] >> np.uint32(32 - bits + high)] = True
+        return pa.table({"part": table["part"][:1], "piece": pa.array([np.packbits(piece).tobytes()], pa.binary())})
+
+    sent = _texts(docs).mapInArrow(send, "part long, raw binary")
+    pieces = keep(sent.groupBy("part").applyInArrow(count, "part long, piece binary"), "join-map").toArrow()
+    seen = np.zeros((1 << high, 1 << (bits - high - 3)), np.uint8)
+    for part, piece in zip(pieces["part"].to_pylist(), pieces["piece"], strict=True):
+        seen[part] = np.frombuffer(piece.as_buffer(), np.uint8)
+    return bits, seen.reshape(-1)
+
+
+def shared_signatures(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
+    """``sig, node``, written to shared storage: signatures of every set but for most that are one row's only."""
+    bits, seen = met_again(docs, words, percent, total)
+    held = docs.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, elements, counts, sigs, n, _ in _each(batches, words, percent):
+            at = sigs >> np.uint64(64 - bits)
+            take = (held.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & np.uint8(1) > 0
+            node = np.repeat(set_ids(elements, counts), n)[take]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[take].view(np.int64)), pa.array(node)], names=["sig", "node"])
+
+    made = keep(_texts(docs).mapInArrow(run, "sig long, node long"), "join-signatures")
+    held.destroy()
+    return made
+
+
 def sketches(elements: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """Per set: how many of its elements fall into each of ``SKETCH`` buckets (255 at most).
 
@@ -581,11 +673,12 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """``doc_id, n_shingles, component_id`` of every document, written to shared storage."""
     docs = docs.select("doc_id", "text")
     with scratch() as spare:
-        # signatures are far larger than texts' sizes and ids: they are made again for the sort
-        # (and its sampling) instead of being stored
+        # signatures are far larger than texts' sizes and ids: they are made again instead of being stored
         made = keep(signed(docs, words, percent, False).drop("sigs"), "join-signed")
         nodes = keep(made.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("band", "need", "need_next")]), "join-nodes")
-        pairs, members = neighbours(signed(docs, words, percent).select(F.explode("sigs").alias("sig"), "node"), nodes)
+        rows = shared_signatures(once_each(docs, made, nodes), words, percent, made.agg(F.sum("signs")).first()[0] or 0)
+        pairs, members = neighbours(rows, nodes)
+        discard(rows)
         links = verified(docs, pairs, nodes, words, percent)
         labels = components.label(links)
         more, star = crossing(members, labels, nodes, percent, ROUNDS)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,3 +215,24 @@ def test_linked_sets_agree_as_often_as_both_need(percent):
     for n in range(1000, 4000, 100):
         a, b = (join.signatures(made(n), np.array([n]), bands)[0] for _ in "ab")
         assert not len(np.intersect1d(a, b)), n
+
+
+def test_signatures_of_one_set_only_are_not_sorted(spark, monkeypatch):
+    """Of unrelated texts hardly a signature is shuffled with its set; none is lost that two sets share."""
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 400))]
+    docs = [(i, " ".join(text())) for i in range(400)] + [(1000 + i, t) for i, t in enumerate(chain(30, 300, 3, rng))]
+    docs += [(2000 + i, docs[i][1]) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    met, walk = [], join.neighbours
+    monkeypatch.setattr(join, "neighbours", lambda rows, nodes: met.append([tuple(r) for r in rows.select("sig", "node").collect()]) or walk(rows, nodes))
+    assert got(df) == brute(docs)
+    every = {(s, r["node"]) for r in join.signed(df, 4, 85).collect() for s in r["sigs"]}
+    often = {s for s, n in Counter(s for s, _ in every).items() if n > 1}
+    assert {x for x in every if x[0] in often} <= set(met[0])
+    assert len(met[0]) < len(every) / 2
+
+
+@pytest.mark.parametrize("numbers", [[], [5], [0, 0, 7, 1 << 24, (1 << 24) + 1], [3, 3, (1 << 24) + 3, (1 << 32) - 1]])
+def test_packed_numbers_are_read_back(numbers):
+    assert join.unpacked(join.packed(np.array(numbers, np.uint32))).tolist() == numbers
