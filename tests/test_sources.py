@@ -1,9 +1,12 @@
 import json
+import os
+import pickle
 
 import pytest
 
 from pyspark.sql import functions as F
-from tamarack.sources import files, pages
+from pyspark.sql.types import StructType
+from tamarack.sources import files, folder, pages
 
 
 def test_scan_skips_folders_and_drops_bad_bytes(spark, tmp_path):
@@ -108,3 +111,42 @@ def test_a_written_state_is_read_back(spark, tmp_path, monkeypatch):
     rows = [(f"d/{i}.py", i + 0.5) for i in range(10)]
     files.write_state(spark.createDataFrame(rows, "file string, mtime double"), str(tmp_path / "state"))
     assert sorted(tuple(r) for r in files.read_state(spark, str(tmp_path / "state")).collect()) == sorted(rows)
+
+
+def test_the_driver_holds_no_names_of_files(tmp_path, monkeypatch):
+    """Whatever the number of files: neither what a walk's plan nor what a task's end tells grows with it."""
+    monkeypatch.setattr(folder, "SHARE", 100, raising=False)
+    schema = StructType().add("file", "string").add("content", "string")
+    plans, told = [], []
+    for n in (200, 3000):
+        root = str(tmp_path / str(n))
+        writer = folder.FolderWriter({"path": root}, schema, False)
+        message = writer.write((f"s{i % 3}/f{i}.txt", f"{i}") for i in range(n))
+        told.append(len(pickle.dumps(message)))
+        writer.commit([message, None])
+        reader = folder.FolderReader({"path": root})
+        parts = reader.partitions()
+        plans.append(max(len(pickle.dumps(p)) for p in parts))
+        rows = [r for p in parts for r in reader.read(p)]
+        assert sorted((r[0], r[2], r[4]) for r in rows) == sorted([(f"s{i % 3}/f{i}.txt", False, len(str(i))) for i in range(n)] + [(f"s{i}", True, None) for i in range(3)])
+        assert all(r[1] == f"{root}/{r[0]}" and r[3] == os.stat(r[1]).st_mtime_ns / 1e9 for r in rows)
+    assert max(told) < 500 and max(plans) < 1000
+
+
+def test_a_folder_of_many_folders_is_walked_whole(tmp_path, monkeypatch):
+    monkeypatch.setattr(folder, "WIDE", 20, raising=False)
+    want = {f"a/{i}" for i in range(30)} | {f"a/{i}/b/x.py" for i in range(30)} | {f"a/{i}/b" for i in range(30)} | {"a", "top.md"}
+    for name in want:
+        if name.endswith((".py", ".md")):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text("x")
+    for deep, names in (("true", want), ("false", {"a", "top.md"})):
+        reader = folder.FolderReader({"path": f"file://{tmp_path}", "recursive": deep})
+        assert sorted(r[0] for p in reader.partitions() for r in reader.read(p)) == sorted(names)
+
+
+def test_a_name_written_twice_by_a_task_holds_the_last(tmp_path, monkeypatch):
+    monkeypatch.setattr(folder, "SHARE", 2, raising=False)
+    writer = folder.FolderWriter({"path": str(tmp_path)}, StructType().add("file", "string").add("content", "string"), False)
+    writer.commit([writer.write(iter([("a", "1"), ("b", "2"), ("c", "3"), ("a", "4"), ("a", "5")]))])
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"a": "5", "b": "2", "c": "3"}
